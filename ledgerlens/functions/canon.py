@@ -13,9 +13,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Texts whose canonical form the variant printer does not give: exponents, digits
-# beyond double precision, tiny decimals, control escapes and surrogate escapes.
-_EXACT_PATH = r"[0-9][eE]|[0-9][0-9.]{15}|0\.0{6}|\\u(00[01]|[dD][89a-fA-F])"
+# Texts whose canonical form the variant printer does not give: numbers with an
+# exponent, with more digits than a double holds or tiny ones, control and surrogate escapes.
+_AT = r"(?:^|[:,\[\s])-?"
+_EXACT_PATH = (
+    rf"{_AT}[0-9.]+[eE]|{_AT}[0-9.]{{16}}|{_AT}0\.0{{6}}|\\u(?:00[01]|[dD][89a-fA-F])"
+)
 
 
 def _number(x: float) -> str:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.settings import DEFAULT_PRODUCER, Producer
+
 RAW_EVENTS = (
     "id string, session_id string, seq bigint, ts string, monotonic_ts bigint, source string, "
     "signal_tier string, kind string, actor string, target string, effect_class string, "
@@ -131,7 +133,7 @@ def project_events(raw: DataFrame) -> DataFrame:
     return parsed.select(*kept, *[v.alias(k) for k, v in typed.items()], "_p")
 
 
-def payload_view(raw: DataFrame) -> DataFrame:
+def payload_view(raw: DataFrame, producer: Producer = DEFAULT_PRODUCER) -> DataFrame:
     """Typed events plus the payload fields that judging and reporting read."""
     p = F.col("_p")
     return project_events(raw).withColumns({
@@ -142,8 +144,13 @@ def payload_view(raw: DataFrame) -> DataFrame:
         "end_exit_code": F.when(F.col("kind") == "session.end", number_at(p, "$.exitCode")),
         "recorder": text_at(p, "$.recorder"),
         "recorder_error": F.when(F.col("kind") == "agent.output", text_at(p, "$.recorderError")),
+        "interfered": F.coalesce(flag_at(p, f"$.{producer.interference_key}"), F.lit(False)),
         "refused_command": text_at(p, "$.command"),
         "refused_reason": text_at(p, "$.reason"),
+        "coverage_json": F.when(
+            F.col("kind") == "agent.output",
+            F.to_json(variant_at(p, "$.coverageProbe.commands")),
+        ),
         "coverage": F.when(
             F.col("kind") == "agent.output",
             F.transform(
