@@ -144,6 +144,8 @@ def resolve(evidence: DataFrame, directives: DataFrame | None = None) -> Resolut
     spark = evidence.sparkSession
     if directives is None:
         directives = spark.createDataFrame([], DIRECTIVES)
+    # One row per record, read by every step below.
+    evidence = settle(evidence.select(*EVIDENCE_COLUMNS), "identity-evidence")
     labels = settle(_label_without_claims(evidence), "identity-labels")
     salt = hash_salt("record_id")
 
