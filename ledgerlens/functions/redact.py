@@ -10,7 +10,7 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,7 +50,7 @@ SENSITIVE_FLAGS = (
 
 # NAME=value.  A value runs to the next blank, so a run of non-blanks holds at most
 # one assignment, the first; the prefix therefore must not contain an earlier one.
-_NAME = "[A-Za-z_][A-Za-z0-9_]*"
+_NAME = "[A-Za-z_][A-Za-z0-9_]*+"
 _FIRST = f"(?<!{NOT_S})((?:(?!(?<![A-Za-z0-9_-]){_NAME}={NOT_S}){NOT_S})*+)"
 _SENSITIVE_NAME = (
     "(?!(?i:git_(?:author|committer)))"
@@ -61,12 +61,15 @@ ENV_ASSIGNMENT = (
     rf"{_FIRST}(?<![A-Za-z0-9_-]){_SENSITIVE_NAME}({_NAME})=(?!\[REDACTED\](?!{NOT_S})){NOT_S}+"
 )
 
-# (pattern, replacement with $n groups), in the order they are applied.
+# (pattern, replacement with $n groups, texts of which a match holds one), as applied.
 STEPS = (
-    (URL_CREDENTIALS, "$1$2:" + MARK + "@"),
-    (AUTH_SCHEME, "$1 " + MARK),
-    *((shape, MARK) for shape in TOKEN_SHAPES),
-    (ENV_ASSIGNMENT, "$1$2=" + MARK),
+    (URL_CREDENTIALS, "$1$2:" + MARK + "@", ("://",)),
+    (AUTH_SCHEME, "$1 " + MARK, ()),
+    *zip(TOKEN_SHAPES, [MARK] * len(TOKEN_SHAPES), (
+        ("sk-ant-",), ("sk-",), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("github_pat_",), ("glpat-",),
+        ("npm_",), ("xox",), ("AIza",), ("AKIA", "ASIA"), ("dop_v1_",), ("eyJ",), ("PRIVATE KEY-----",),
+    )),
+    (ENV_ASSIGNMENT, "$1$2=" + MARK, ("=",)),
 )
 FLAG = f"(?i)^--?(?:{'|'.join(SENSITIVE_FLAGS)}){END}"
 FLAG_INLINE = f"(?i)^(--?(?:{'|'.join(SENSITIVE_FLAGS)}))=({DOT}+){END}"
@@ -74,13 +77,58 @@ FLAG_INLINE = f"(?i)^(--?(?:{'|'.join(SENSITIVE_FLAGS)}))=({DOT}+){END}"
 CANDIDATE = "(?i)://|bearer|basic|token|sk-|gh[pousr]_|github_pat_|glpat-|npm_|xox|AIza|AKIA|ASIA|dop_v1_|eyJ|PRIVATE KEY|="
 
 
+def _may_match(value: Column, hints: tuple[str, ...]) -> Column:
+    if not hints:
+        return F.lower(value).rlike("bearer|basic|token")
+    found = value.contains(hints[0])
+    for hint in hints[1:]:
+        found = found | value.contains(hint)
+    return found
+
+
+def _step(value: Column, step: tuple) -> tuple[Column, Column]:
+    pattern, replacement, hints = step
+    may = _may_match(value, hints)
+    return (
+        F.when(may, F.regexp_replace(value, pattern, replacement)).otherwise(value),
+        F.when(may, F.regexp_count(value, F.lit(pattern))).otherwise(0),
+    )
+
+
+def with_redaction(df: DataFrame, text_col: str, value: str, count: str) -> DataFrame:
+    """C3 as columns ``value`` and ``count``.
+
+    One projection per step, so that a step reads its predecessor's text instead of
+    computing it again; texts without any candidate skip every step.
+    """
+    source = F.col(text_col)
+    out = df.withColumns({"_v": F.when(source.rlike(CANDIDATE), source), "_n": F.lit(0)})
+    for step in STEPS:
+        cleaned, n = _step(F.col("_v"), step)
+        out = out.withColumns({"_v": cleaned, "_n": F.col("_n") + F.coalesce(n, F.lit(0))})
+    return out.withColumns({
+        value: F.coalesce("_v", source), count: F.col("_n").cast("bigint"),
+    }).drop("_v", "_n")
+
+
+def _stepper(step: tuple):
+    def apply(s: Column) -> Column:
+        cleaned, n = _step(s["value"], step)
+        return F.struct(cleaned.alias("value"), (s["count"] + n).cast("bigint").alias("count"))
+
+    return apply
+
+
 def redact_text(text: Column) -> Column:
-    """``struct<value, count>``."""
-    value, count = text, F.lit(0)
-    for pattern, replacement in STEPS:
-        count = count + F.regexp_count(value, F.lit(pattern))
-        value = F.regexp_replace(value, pattern, replacement)
-    return F.struct(value.alias("value"), count.cast("bigint").alias("count"))
+    """``struct<value, count>`` as one expression, for short texts inside arrays.
+
+    The text goes through the steps as the only element of an array, so that every
+    step is evaluated once although two results are read from it.
+    """
+    state = F.array(F.struct(text.alias("value"), F.lit(0).cast("bigint").alias("count")))
+    for step in STEPS:
+        state = F.transform(state, _stepper(step))
+    return F.get(state, F.lit(0))
 
 
 def redact_where_needed(text: Column) -> Column:
@@ -124,9 +172,9 @@ def redact_command(command: Column, args: Column) -> Column:
 
 
 def output_tail(output: Column, limit: int = 8 * 1024) -> Column:
-    """C20: the last bytes of captured output, decoded, then redacted."""
+    """C20: the last bytes of captured output, decoded; redact the result before storing it."""
     tail = F.when(F.octet_length(output) > limit, F.substring(output, -limit, limit)).otherwise(output)
-    return redact_where_needed(F.decode(tail, "UTF-8"))
+    return F.decode(tail, "UTF-8")
 
 
 # ---- free JSON (C6) ------------------------------------------------------------------
@@ -138,7 +186,7 @@ def _steps():
     global _COMPILED
     if _COMPILED is None:
         _COMPILED = [
-            (re.compile(p, re.ASCII), re.sub(r"\$(\d)", r"\\\1", r)) for p, r in STEPS
+            (re.compile(p, re.ASCII), re.sub(r"\$(\d)", r"\\\1", r)) for p, r, _ in STEPS
         ]
     return _COMPILED
 

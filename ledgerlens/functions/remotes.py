@@ -60,5 +60,5 @@ def strip_url_credentials(url: Column) -> Column:
 
 def root_commits(lines: Column) -> Column:
     """At most sixteen 40-hex root commits, smallest first."""
-    kept = F.filter(F.transform(lines, F.trim), lambda x: x.rlike("^[0-9a-f]{40}" + END))
+    kept = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x.rlike("^[0-9a-f]{40}" + END))
     return F.slice(F.array_sort(kept), 1, 16)

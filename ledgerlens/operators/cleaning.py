@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.canon import canonical_json, sha256
 from ledgerlens.functions.classify import classify_command, classify_file_event
 from ledgerlens.functions.paths import DEFAULT_IGNORE, is_ignored, rel_path_of
-from ledgerlens.functions.redact import redact_json, redact_where_needed
+from ledgerlens.functions.redact import redact_json, with_redaction
 from ledgerlens.functions.remotes import normalize_remote_url, strip_url_credentials
 from ledgerlens.schemas import iso_ms
 from ledgerlens.settings import DEFAULT_PRODUCER, Producer
@@ -31,9 +31,7 @@ def redact_ledger(drafts: DataFrame) -> DataFrame:
 
 def redact_text_table(df: DataFrame, text_col: str) -> DataFrame:
     """C3 over any text column: adds ``clean`` and ``n``."""
-    return df.withColumn("_r", redact_where_needed(F.col(text_col))).select(
-        "*", F.col("_r.value").alias("clean"), F.col("_r.count").alias("n")
-    ).drop("_r")
+    return with_redaction(df, text_col, "clean", "n")
 
 
 def classify_events(events: DataFrame) -> DataFrame:
