@@ -11,6 +11,7 @@ from ledgerlens.plans import bridge, graph_queries as gq
 from ledgerlens.plans.oracle import RF, with_base
 from ledgerlens.plans.queries_ledger import SESSIONS_SQL, ledger
 from ledgerlens.plans.registry import query
+from ledgerlens.schemas import EVIDENCE
 from ledgerlens.settings import FACT_CATALOG, settle
 
 # The facts that the bridged records carry.
@@ -72,24 +73,35 @@ def bridged_links(spark, sf_dir):
     return made.unionByName(taken_back).drop("doc")
 
 
-def graph(spark, sf_dir):
-    e = ledger(spark, sf_dir)
-    found = facts.with_ordinal(settle(
-        facts.evaluate(e, {k: facts.FACTS[k] for k in CARRIED}), "facts"
-    ))
+NO_FACTS = f"ord int, fact_id string, statement string, ts string, evidence {EVIDENCE}"
+
+
+def graph(spark, sf_dir, with_facts=False, with_files=False):
+    """The bridged collection; facts and file events only for the reports that read them."""
+    e = ledger(spark, sf_dir) if with_facts or with_files else bridge.ledger_events(spark, sf_dir)
+    if with_facts:
+        carried = {k: facts.FACTS[k] for k in CARRIED}
+        found = facts.with_ordinal(settle(facts.evaluate(e, carried), "facts"))
+    else:
+        found = spark.createDataFrame([], NO_FACTS).withColumn("session_id", F.lit(""))
     records, evidence, of_record = bridged_records(spark, sf_dir, e, found)
-    changed = facts.ground_truth(e).where(F.col("kind").isin("file.write", "file.delete"))
-    root = F.concat(F.lit("/w/r"), (F.col("user_id") % 12).cast("string"))
-    touched = cleaning.relate_paths(changed, root).select(
-        "session_id", "seq", "ts", "occurred_ts", "occurred_source", "kind", "rel_path",
-        F.col("path").alias("abs_path"), "in_scope", F.lit(None).cast("bigint").alias("bytes_before"),
-        F.lit(None).cast("bigint").alias("bytes_after"), F.lit(None).cast("string").alias("content_withheld"),
-    )
-    file_events = touched.join(records.select("record_id", "session_id"), "session_id").drop("session_id")
+    file_events = None
+    if with_files:
+        changed = facts.ground_truth(e).where(F.col("kind").isin("file.write", "file.delete"))
+        root = F.concat(F.lit("/w/r"), (F.col("user_id") % 12).cast("string"))
+        touched = cleaning.relate_paths(changed, root).select(
+            "session_id", "seq", "ts", "occurred_ts", "occurred_source", "kind", "rel_path",
+            F.col("path").alias("abs_path"), "in_scope",
+            F.lit(None).cast("bigint").alias("bytes_before"),
+            F.lit(None).cast("bigint").alias("bytes_after"),
+            F.lit(None).cast("string").alias("content_withheld"),
+        )
+        file_events = touched.join(records.select("record_id", "session_id"), "session_id").drop("session_id")
     unreadable = records.agg(F.lit(0).cast("bigint").alias("unreadable"))
     return gq.open_graph(
-        settle(records, "graph-records"), evidence, settle(file_events, "graph-files"),
-        settle(of_record, "graph-facts"), settle(bridged_links(spark, sf_dir), "graph-links"), unreadable,
+        settle(records, "graph-records"), evidence, file_events,
+        settle(of_record, "graph-facts") if with_facts else None,
+        settle(bridged_links(spark, sf_dir), "graph-links"), unreadable,
     )
 
 
@@ -243,7 +255,7 @@ IN_REPO = f"(SELECT lab FROM grp WHERE display_name='{REPO}' OR list_contains(or
 @query("q2_repo_history", G + f""" SELECT started_at, ended_at, runtime_id AS agent, machine_id AS machine, generator_name||' '||generator_version AS generator, integrity_status, event_count AS events, fact_count AS facts,
    reanalyses, 'evidence:record/'||record_id AS cite FROM mem JOIN (SELECT record_id, reanalyses FROM prim) USING (record_id) WHERE lab IN {IN_REPO}""")
 def q2_repo_history(spark, sf_dir):
-    return gq.repo_history(graph(spark, sf_dir), REPO)["sessions"]
+    return gq.repo_history(graph(spark, sf_dir, with_facts=True), REPO)["sessions"]
 
 
 FILES = """SELECT rec.record_id, seq, kind, CASE WHEN mtime_ms IS NOT NULL THEN strftime(make_timestamp(mtime_ms*1000),'%Y-%m-%dT%H:%M:%S.%gZ') ELSE ts END AS occurred_at,
@@ -254,7 +266,7 @@ FILES = """SELECT rec.record_id, seq, kind, CASE WHEN mtime_ms IS NOT NULL THEN
 @query("q3_file_history", G + f""" SELECT occurred_at, occurred_source, f.kind, runtime_id AS agent, machine_id AS machine, started_at AS session_started_at, 'evidence:record/'||record_id||'#'||seq AS cite
   FROM ({FILES}) f JOIN mem USING (record_id) SEMI JOIN prim USING (record_id) WHERE lab IN {IN_REPO} AND rel_path='src/f2.py'""")
 def q3_file_history(spark, sf_dir):
-    return gq.file_history(graph(spark, sf_dir), REPO, ".\\src\\f2.py")["changes"].select(
+    return gq.file_history(graph(spark, sf_dir, with_files=True), REPO, ".\\src\\f2.py")["changes"].select(
         "occurred_at", "occurred_source", "kind", "agent", "machine", "session_started_at", "cite"
     )
 
@@ -263,7 +275,7 @@ def q3_file_history(spark, sf_dir):
    (SELECT string_agg('evidence:record/'||f.record_id||'#'||b.seq, ',') FROM b WHERE b.id=f.cited) AS citations
   FROM rf f JOIN {NAMED} n USING (record_id) SEMI JOIN prim USING (record_id)""")
 def q4_divergences(spark, sf_dir):
-    return gq.divergences(graph(spark, sf_dir))["divergences"].select(
+    return gq.divergences(graph(spark, sf_dir, with_facts=True))["divergences"].select(
         "ts", "fact_id", "statement", "repo", "agent", "machine", "generator", joined("citations")
     )
 
@@ -271,19 +283,19 @@ def q4_divergences(spark, sf_dir):
 @query("q4_not_evaluated", G + " SELECT 'RF-07' AS fact_id, count(*) FILTER (NOT list_contains(catalog,'RF-07')) AS sessions FROM rec SEMI JOIN prim USING (record_id)")
 def q4_not_evaluated(spark, sf_dir):
     """Sessions whose generator never looks for the fact."""
-    return gq.divergences(graph(spark, sf_dir), rf="RF-07")["not_evaluated"].select("fact_id", "sessions")
+    return gq.divergences(graph(spark, sf_dir, with_facts=True), rf="RF-07")["not_evaluated"].select("fact_id", "sessions")
 
 
 @query("a6_catalogs", G + """ SELECT generator_name||' '||generator_version AS generator, array_to_string(min_by(catalog,record_id),',') AS catalog FROM rec SEMI JOIN prim USING (record_id) GROUP BY 1""")
 def a6_catalogs(spark, sf_dir):
-    return gq.divergences(graph(spark, sf_dir))["catalogs"].select("generator", joined("catalog"))
+    return gq.divergences(graph(spark, sf_dir, with_facts=True))["catalogs"].select("generator", joined("catalog"))
 
 
 @query("q5_timeline", G + f""" SELECT started_at, ended_at, repo, runtime_id AS agent, machine_id AS machine, integrity_status, event_count AS events, fact_count AS facts, coalesce(ids,'') AS fact_ids, reanalyses
   FROM {NAMED} n JOIN (SELECT record_id, reanalyses FROM prim) USING (record_id) LEFT JOIN (SELECT record_id, string_agg(fact_id, ',' ORDER BY ord) AS ids FROM rf GROUP BY 1) USING (record_id)
   WHERE runtime_id='codex' AND started_at>='2024-01-01T01:00' AND started_at<='2024-01-03'""")
 def q5_timeline(spark, sf_dir):
-    rows = gq.timeline(graph(spark, sf_dir), agent="codex", since="2024-01-01T01:00", until="2024-01-03")
+    rows = gq.timeline(graph(spark, sf_dir, with_facts=True), agent="codex", since="2024-01-01T01:00", until="2024-01-03")
     return rows["sessions"].select(
         "started_at", "ended_at", "repo", "agent", "machine", "integrity_status", "events", "facts",
         joined("fact_ids"), "reanalyses",
@@ -302,10 +314,9 @@ def q6_coverage(spark, sf_dir):
     row = lambda df, scope, name: df.select(
         F.lit(scope).alias("scope"), F.col(name).alias("name"), "first_seen", "last_seen", "sessions", "records"
     )
-    sizes = g.resolution.groups.select("display_name", "records")
     return row(parts["machines"], "machine", "machine").unionByName(
         row(parts["agents"], "agent", "agent")
-    ).unionByName(row(parts["repos"].join(sizes, "display_name"), "repo", "display_name"))
+    ).unionByName(row(parts["repos"], "repo", "display_name"))
 
 
 @query("q6_degraded_sessions", R_ + " SELECT count(DISTINCT session_id||chain_head) AS degraded_sessions FROM rec SEMI JOIN prim USING (record_id) WHERE integrity_status='DEGRADED'")
