@@ -20,7 +20,7 @@ from ledgerlens.schemas import (
     array_at, class_of, number_at, number_text, payload_view, text_at, variant_at,
 )
 from ledgerlens.settings import (
-    DEFAULT_PRODUCER, FACT_CATALOG, FORMAT_VERSION, GENESIS, MAX_OBJECT_BYTES, Producer,
+    DEFAULT_PRODUCER, FACT_CATALOG, FORMAT_VERSION, GENESIS, MAX_OBJECT_BYTES, Producer, settle,
 )
 
 HEX64 = r"^[0-9a-f]{64}(?![\s\S])"
@@ -99,7 +99,8 @@ def build_records(
     status ``oversize``; a store refuses such objects in any case.
     """
     docs = canonical_docs(raw, exact).withColumn("json", event_json())
-    view = payload_view(raw, producer)
+    # Facts, notes and chain read typed columns only; payloads are parsed once.
+    view = settle(payload_view(raw, producer).drop("_p"), "record-view")
     sizes = docs.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("count"),
         (F.sum(F.octet_length("json")) + F.count(F.lit(1))).alias("bytes"),
@@ -117,14 +118,7 @@ def build_records(
         F.array_join(F.transform(in_order, lambda x: x["json"]), ",").alias("facts"),
     )
     start = view.where((F.col("signal_tier") == "groundTruth") & (F.col("kind") == "session.start"))
-    p = F.col("_p")
-    identity = start.groupBy("session_id").agg(F.min_by(
-        F.struct(
-            variant_text(p, "$.gitCommit", keep_null=True).alias("gitCommit"),
-            variant_text(p, "$.machineId").alias("machineId"),
-            variant_text(p, "$.model").alias("model"),
-            variant_text(p, "$.runtimeVersion").alias("runtimeVersion"),
-        ), "seq").alias("identity"))
+    identity = start.groupBy("session_id").agg(F.min_by("identity", "seq").alias("identity"))
     coverage = view.where(
         (F.col("signal_tier") == "groundTruth") & F.col("coverage_json").isNotNull()
     ).groupBy("session_id").agg(F.min_by("coverage_json", "seq").alias("coverage_json"))
@@ -146,15 +140,6 @@ def build_records(
     return joined.select(*_document(producer))
 
 
-def variant_text(p: Column, path: str, keep_null: bool = False) -> Column:
-    """JSON text of a payload field; empty values count as absent unless null is a claim."""
-    v = variant_at(p, path)
-    text = F.to_json(v)
-    if keep_null:
-        return F.when(class_of(p, path).isNotNull(), F.coalesce(text, F.lit("null")))
-    return F.when(~text.isin('""', "null", "0", "false"), text)
-
-
 def _document(producer: Producer) -> list[Column]:
     chain = F.concat(
         F.lit("{"),

@@ -1 +1,122 @@
+"""Streaming queries, run to the end of what their source holds."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ledgerlens.plans import bridge
+from ledgerlens.plans.oracle import with_base
+from ledgerlens.plans.queries_ledger import RAW_SQL, flat
+from ledgerlens.plans.queries_report import VIEW_FACTS, VIEW_SQL, sealed
+from ledgerlens.plans.registry import query
+from ledgerlens.settings import checkpoint_root
+from ledgerlens.streaming import ingest
+
+HALF = "2024-01-16"
+
+
+def scratch(spark, name):
+    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def in_two_parts(rows, path):
+    """Write rows before and after the middle of the month as two arrivals."""
+    yield rows.where(F.col("ts") < HALF).write.mode("append").parquet(path)
+    yield rows.where(F.col("ts") >= HALF).write.mode("append").parquet(path)
+
+
+# Redaction comes before the chain: the password of a remote is gone from the hashed bytes.
+CLEAN_RAW_SQL = RAW_SQL.replace("https://u:t@", "https://u:[REDACTED]@")
+
+
+@query("t1_stream_chain", with_base(CLEAN_RAW_SQL) + " SELECT session_id, seq, id, prev_hash, hash FROM raw")
+def t1_stream_chain(spark, sf_dir):
+    """Chains sealed by two runs of one query, the second going on from state."""
+    drafts = bridge.ledger_drafts(spark, sf_dir)
+    source, sink, checkpoint = (scratch(spark, n) for n in ("drafts", "chain", "chain-state"))
+    for _ in in_two_parts(drafts, source):
+        stream = ingest.read_drafts(spark, source, drafts.schema)
+        ingest.start_sealing(stream, sink, checkpoint, exact=False).awaitTermination()
+    return spark.read.parquet(sink).select("session_id", "seq", "id", "prev_hash", "hash")
+
+
+@query("t2_stream_without_repeats", with_base() + " SELECT id, session_id FROM b")
+def t2_stream_without_repeats(spark, sf_dir):
+    """Every event arrives twice."""
+    e = bridge.ledger_events(spark, sf_dir).select("id", "session_id", "ts")
+    source, sink, checkpoint = (scratch(spark, n) for n in ("repeats", "once", "once-state"))
+    e.unionByName(e).write.parquet(source)
+    stream = ingest.without_repeats(spark.readStream.schema(e.schema).parquet(source), "40 days")
+    stream.writeStream.format("parquet").option("path", sink).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).select("id", "session_id")
+
+
+@query("t3_stream_settled_writes", with_base() + """,
+ w AS (SELECT session_id, path, id, ts_ms FROM b WHERE kind='file.write')
+ SELECT session_id, path, count(*) AS settled FROM w GROUP BY session_id, path""")
+def t3_stream_settled_writes(spark, sf_dir):
+    """Each write comes as a burst of three and a later no-op; one of them is kept."""
+    w = bridge.ledger_events(spark, sf_dir).where(F.col("kind") == "file.write").select(
+        "session_id", "path", "id", "ts_ms"
+    )
+    source, sink, checkpoint = (scratch(spark, n) for n in ("writes", "settled", "settled-state"))
+    part = lambda n, ms, before, after: w.select(
+        "session_id", "path", F.concat("id", F.lit(f"-{n}")).alias("id"), (F.col("ts_ms") + ms).alias("ts_ms"),
+        F.lit(before).alias("before_ref"), F.lit(after).alias("after_ref"),
+    )
+    rows = part(0, 0, "a", "b").unionByName(part(1, 50, "b", "c")).unionByName(part(2, 100, "c", "d"))
+    rows = rows.unionByName(part(3, 400, "d", "d"))
+    rows.coalesce(1).write.parquet(source)
+    # A late last row moves the watermark past every quiet time.
+    end = rows.limit(1).select(
+        F.lit("end").alias("session_id"), F.lit("end").alias("path"), F.lit("end").alias("id"),
+        F.lit(1_800_000_000_000).cast("bigint").alias("ts_ms"), "before_ref", "after_ref",
+    )
+    for more in (None, end):
+        if more is not None:
+            more.write.mode("append").parquet(source)
+        stream = ingest.settled_writes(spark.readStream.schema(rows.schema).parquet(source))
+        stream.writeStream.format("parquet").option("path", sink).option(
+            "checkpointLocation", checkpoint
+        ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).where(F.col("session_id") != "end").groupBy("session_id", "path").agg(
+        F.count(F.lit(1)).alias("settled")
+    )
+
+
+@query("t4_stream_session_status", with_base(RAW_SQL) + """
+ SELECT session_id, CASE WHEN bool_or(rkind='session.end') THEN 'closed' ELSE 'stale' END AS status, max(ts_ms) AS last_ms FROM raw GROUP BY session_id""")
+def t4_stream_session_status(spark, sf_dir):
+    raw = bridge.ledger_drafts(spark, sf_dir).select(
+        "session_id", "kind", F.unix_millis(F.try_to_timestamp("ts")).alias("ts_ms")
+    )
+    source, sink, checkpoint = (scratch(spark, n) for n in ("status-in", "status", "status-state"))
+    raw.coalesce(1).write.parquet(source)
+    late = raw.limit(1).select(
+        F.lit("end").alias("session_id"), F.lit("session.end").alias("kind"),
+        F.lit(1_800_000_000_000).cast("bigint").alias("ts_ms"),
+    )
+    for more in (None, late):
+        if more is not None:
+            more.write.mode("append").parquet(source)
+        stream = ingest.session_status(spark.readStream.schema(raw.schema).parquet(source))
+        stream.writeStream.format("parquet").option("path", sink).option(
+            "checkpointLocation", checkpoint
+        ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).where(F.col("session_id") != "end")
+
+
+@query("t5_stream_facts", with_base(RAW_SQL, VIEW_SQL, VIEW_FACTS) + " SELECT * FROM vf")
+def t5_stream_facts(spark, sf_dir):
+    """Facts kept current over two arrivals equal those of the whole ledger."""
+    raw = sealed(spark, sf_dir)
+    names = ("sealed-in", "ledger-out", "facts-out", "facts-state")
+    source, ledger, found, checkpoint = (scratch(spark, n) for n in names)
+    for _ in in_two_parts(raw, source):
+        stream = spark.readStream.schema(raw.schema).parquet(source)
+        ingest.start_facts(stream, ledger, found, checkpoint).awaitTermination()
+    return flat(ingest.current_facts(spark, found))

@@ -72,6 +72,14 @@ def texts_in(items: Column) -> Column:
     return F.transform(kept, lambda x: F.try_variant_get(x, "$", "string"))
 
 
+def json_at(v: Column, path: str, keep_null: bool = False) -> Column:
+    """JSON text of a member; empty values count as absent unless null is a claim."""
+    text = F.to_json(variant_at(v, path))
+    if keep_null:
+        return F.when(class_of(v, path).isNotNull(), F.coalesce(text, F.lit("null")))
+    return F.when(~text.isin('""', "null", "0", "false"), text)
+
+
 def number_text(n: Column) -> Column:
     """A number as it is written in a statement: no trailing ``.0``."""
     d = n.cast("double")
@@ -144,6 +152,10 @@ def payload_view(raw: DataFrame, producer: Producer = DEFAULT_PRODUCER) -> DataF
         "end_exit_code": F.when(F.col("kind") == "session.end", number_at(p, "$.exitCode")),
         "recorder": text_at(p, "$.recorder"),
         "recorder_error": F.when(F.col("kind") == "agent.output", text_at(p, "$.recorderError")),
+        "identity": F.when(F.col("kind") == "session.start", F.struct(*[
+            json_at(p, f"$.{k}", keep_null=k == "gitCommit").alias(k)
+            for k in ("gitCommit", "machineId", "model", "runtimeVersion")
+        ])),
         "interfered": F.coalesce(flag_at(p, f"$.{producer.interference_key}"), F.lit(False)),
         "refused_command": text_at(p, "$.command"),
         "refused_reason": text_at(p, "$.reason"),
