@@ -93,6 +93,11 @@ def _exact_without_udf(texts: pd.Series, keys: pd.Series) -> pd.Series:
     return pd.Series([_exact(t, k) for t, k in zip(texts, keys)], dtype=object)
 
 
+def needs_exact(text: Column) -> Column:
+    """Texts that the variant printer alone does not bring into canonical form."""
+    return text.rlike(_EXACT_PATH) | F.try_parse_json(text).isNull()
+
+
 def canonical_json(text: Column, exact: bool = True) -> Column:
     """Canonical JSON of a JSON text; null when the text is not JSON.
 
@@ -122,18 +127,19 @@ def hash_of(text: Column, exact: bool = True) -> Column:
 
 def without_key(text: Column, key: str, exact: bool = True) -> Column:
     """Canonical JSON of an object text with one top-level key removed."""
-    members = F.try_parse_json(text).cast("map<string,variant>")
-    kept = F.map_filter(members, lambda k, _: k != key)
+    parsed = F.try_parse_json(text)
+    members = F.transform_values(
+        F.map_filter(parsed.cast("map<string,variant>"), lambda k, _: k != key),
+        lambda _, v: F.coalesce(F.to_json(v), F.lit("null")),
+    )
     parts = F.transform(
-        F.array_sort(F.map_keys(kept)),
-        lambda k: F.concat(
-            F.to_json(k.cast("variant")), F.lit(":"), F.coalesce(F.to_json(kept[k]), F.lit("null"))
-        ),
+        F.array_sort(F.map_entries(members)),
+        lambda e: F.concat(F.to_json(e["key"].cast("variant")), F.lit(":"), e["value"]),
     )
     fast = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
     if not exact:
         return fast
-    needs_exact = text.rlike(_EXACT_PATH) | members.isNull()
+    needs_exact = text.rlike(_EXACT_PATH) | parsed.isNull()
     slow = _exact_without_udf(F.when(needs_exact, text), F.lit(key))
     return F.when(needs_exact, slow).otherwise(fast)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.addresses import address_kind, repo_signal, target_id
 from ledgerlens.functions.canon import content_address, json_string, sha256
-from ledgerlens.operators.record import HEX64, frame_errors, parse_objects
+from ledgerlens.operators.record import HEX64, check_by_kind, frame_errors, parse_objects
 from ledgerlens.schemas import text_at
 from ledgerlens.settings import DEFAULT_PRODUCER, FORMAT_VERSION, Producer
 
@@ -33,6 +33,10 @@ def make_links(claims: DataFrame, producer: Producer = DEFAULT_PRODUCER) -> Data
 
 def check_links(objects: DataFrame, producer: Producer = DEFAULT_PRODUCER, exact: bool = True) -> DataFrame:
     """Row-local verdict of every link document."""
+    return check_by_kind(objects, lambda o, e: _check_links(o, producer, e), exact)
+
+
+def _check_links(objects: DataFrame, producer: Producer, exact: bool) -> DataFrame:
     v = F.col("v")
     parsed = parse_objects(objects, exact)
     fields = parsed.select(

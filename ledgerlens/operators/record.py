@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.canon import (
-    canonical_json, chain_hash, content_address, event_body, json_string, sha256,
+    canonical_json, chain_hash, content_address, event_body, json_string, needs_exact, sha256,
 )
 from ledgerlens.operators.chain import break_reason, canonical_docs, verify_chain
 from ledgerlens.operators.facts import evaluate
@@ -17,7 +17,7 @@ from ledgerlens.operators.judge import (
 )
 from ledgerlens.operators.ordered import attach, seq_bucket
 from ledgerlens.schemas import (
-    array_at, class_of, number_at, number_text, payload_view, text_at, variant_at,
+    array_at, class_of, is_object_at, number_at, number_text, payload_view, text_at, variant_at,
 )
 from ledgerlens.settings import (
     DEFAULT_PRODUCER, FACT_CATALOG, FORMAT_VERSION, GENESIS, MAX_OBJECT_BYTES, Producer, settle,
@@ -137,10 +137,10 @@ def build_records(
         gather(recorder_errors(view), "recorder_errors"),
     ]
     joined = reduce(lambda a, b: a.join(b, "session_id", "left"), parts)
-    return joined.select(*_document(producer))
+    return _document(joined, producer)
 
 
-def _document(producer: Producer) -> list[Column]:
+def _document(joined: DataFrame, producer: Producer) -> DataFrame:
     chain = F.concat(
         F.lit("{"),
         F.coalesce(F.concat(F.lit('"brokenAt":'), F.col("broken_at").cast("string"), F.lit(",")), F.lit("")),
@@ -196,17 +196,22 @@ def _document(producer: Producer) -> list[Column]:
         F.lit(',"sessionNumber":'), F.col("number").cast("string"),
         F.lit(',"startedAt":'), json_string(F.col("started_at")), F.lit("}"),
     )
-    record_id = sha256(F.concat(F.lit("{"), before, F.lit(","), subject, F.lit("}")))
+    # In steps, so that the long texts are put together and hashed once.
+    texts = joined.select(
+        "session_id", F.col("number").alias("session_number"), status.alias("status"),
+        head.alias("chain_head"), F.coalesce("count", F.lit(0)).alias("event_count"),
+        F.coalesce("fact_count", F.lit(0)).alias("fact_count"), "ended_at",
+        before.alias("before"), subject.alias("subject"),
+    )
+    addressed = texts.withColumn(
+        "record_id", sha256(F.concat(F.lit("{"), "before", F.lit(","), "subject", F.lit("}")))
+    )
     doc = F.concat(
-        F.lit("{"), before, F.lit(',"recordId":"'), record_id, F.lit('",'), subject, F.lit("}")
+        F.lit("{"), "before", F.lit(',"recordId":"'), "record_id", F.lit('",'), "subject", F.lit("}")
     )
-    return [
-        F.col("session_id"), F.col("number").alias("session_number"),
-        F.when(doc.isNull(), "oversize").otherwise(status).alias("status"),
-        head.alias("chain_head"), F.coalesce("count", F.lit(0)).alias("event_count"),
-        F.coalesce("fact_count", F.lit(0)).alias("fact_count"),
-        F.col("ended_at"), record_id.alias("record_id"), doc.alias("doc"),
-    ]
+    return addressed.withColumn("doc", doc).withColumn(
+        "status", F.when(F.col("doc").isNull(), "oversize").otherwise(F.col("status"))
+    ).drop("before", "subject")
 
 
 def _texts(items: Column) -> Column:
@@ -266,8 +271,8 @@ def body_of(e: Column) -> Column:
 def _structural(v: Column) -> Column:
     is_text = lambda path: F.coalesce(class_of(v, path) == "STRING", F.lit(False))
     is_number = lambda path: F.coalesce(number_at(v, path).isNotNull(), F.lit(False))
-    is_object = lambda path: F.coalesce(class_of(v, path).startswith("OBJECT"), F.lit(False))
-    is_array = lambda path: F.coalesce(class_of(v, path).startswith("ARRAY"), F.lit(False))
+    is_object = lambda path: is_object_at(v, path)
+    is_array = lambda path: array_at(v, path).isNotNull()
     is_hex = lambda path: F.coalesce(text_at(v, path).rlike(HEX64), F.lit(False))
     status = text_at(v, "$.evidence.integrity.status")
     subject, seen, evidence = is_object("$.subject"), is_object("$.observations"), is_object("$.evidence")
@@ -312,6 +317,14 @@ def frame_errors(v: Column, format_name: str, version: int, what: str, short: st
     )))
 
 
+def check_by_kind(objects: DataFrame, check, exact: bool) -> DataFrame:
+    """Run ``check(objects, exact)`` without Python for all but the documents that need it."""
+    if not exact:
+        return check(objects, False)
+    odd = F.coalesce(needs_exact(F.col("doc")), F.lit(True))
+    return check(objects.where(~odd), False).unionByName(check(objects.where(odd), True))
+
+
 def check_records(
     objects: DataFrame, producer: Producer = DEFAULT_PRODUCER, exact: bool = True
 ) -> DataFrame:
@@ -319,6 +332,10 @@ def check_records(
 
     ``objects`` holds one document per ``source``, each within the object bound.
     """
+    return check_by_kind(objects, lambda o, e: _check_records(o, producer, e), exact)
+
+
+def _check_records(objects: DataFrame, producer: Producer, exact: bool) -> DataFrame:
     parsed = parse_objects(objects, exact)
     v = F.col("v")
     frame = frame_errors(v, producer.record_format, FORMAT_VERSION, f"{producer.label} evidence record", "")

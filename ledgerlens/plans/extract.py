@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.canon import canonical_json, needs_exact
 from ledgerlens.functions.paths import rel_path_of
 from ledgerlens.operators.identity import evidence_from
-from ledgerlens.operators.record import check_records, fact_pointers, parse_objects, record_events
+from ledgerlens.operators.record import check_records, parse_objects, record_events
 from ledgerlens.schemas import (
-    array_at, class_of, flag_at, iso_ms, non_empty, number_at, text_at, texts_in,
+    array_at, flag_at, iso_ms, non_empty, number_at, text_at, texts_in,
 )
 from ledgerlens.settings import DEFAULT_PRODUCER, Producer, settle
 
@@ -35,7 +36,13 @@ def extract(objects: DataFrame, producer: Producer = DEFAULT_PRODUCER, exact: bo
         check_records(objects, producer, exact).select("source", "verdict"), "extract-checks"
     )
     readable = objects.join(checks.where(F.col("verdict") != "invalid"), "source", "left_semi")
-    parsed = parse_objects(readable, exact)
+    if exact:
+        # Only documents with odd numbers or repeated keys go through Python.
+        odd = needs_exact(F.col("doc"))
+        readable = readable.where(~odd).select("source", "doc").unionByName(
+            readable.where(odd).select("source", canonical_json(F.col("doc")).alias("doc"))
+        )
+    parsed = parse_objects(readable, exact=False)
     v = F.col("v")
     events = record_events(parsed, exact=False)
     p = lambda path: text_at(F.col("e"), f"$.payload.{path}")

@@ -10,7 +10,7 @@ from ledgerlens.operators.identity import evidence_from, find_group
 from ledgerlens.plans import bridge, graph_queries as gq
 from ledgerlens.plans.oracle import RF, with_base
 from ledgerlens.plans.queries_ledger import SESSIONS_SQL, ledger
-from ledgerlens.plans.registry import query
+from ledgerlens.plans.register import query
 from ledgerlens.schemas import EVIDENCE
 from ledgerlens.settings import FACT_CATALOG, settle
 

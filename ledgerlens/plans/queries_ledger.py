@@ -8,7 +8,7 @@ from ledgerlens.operators import chain, facts
 from ledgerlens.operators.ancestry import failing_ancestry
 from ledgerlens.plans import bridge
 from ledgerlens.plans.oracle import CLOCK, FACTS, RF, RF01_FAILED, with_base
-from ledgerlens.plans.registry import query
+from ledgerlens.plans.register import query
 from ledgerlens.settings import settle
 from ledgerlens.sources.ledger import latest_session, list_sessions, open_sessions, scan_events
 

@@ -8,7 +8,7 @@ from ledgerlens.operators import chain, diff, facts, judge, record
 from ledgerlens.plans import bridge, reports
 from ledgerlens.plans.oracle import CLOCK, RF, RF01_FAILED, with_base
 from ledgerlens.plans.queries_ledger import RAW_SQL, SESSIONS_SQL
-from ledgerlens.plans.registry import query
+from ledgerlens.plans.register import query
 from ledgerlens.schemas import payload_view
 from ledgerlens.settings import DEFAULT_PRODUCER, settle
 

@@ -12,7 +12,7 @@ from ledgerlens.plans import bridge, extract
 from ledgerlens.plans.oracle import with_base
 from ledgerlens.plans.queries_ledger import RAW_SQL, SESSIONS_SQL
 from ledgerlens.plans.queries_report import RECORDS, VIEW_SQL, built_records, sealed
-from ledgerlens.plans.registry import query
+from ledgerlens.plans.register import query
 from ledgerlens.settings import checkpoint_root, settle
 from ledgerlens.sources.objects import ObjectStore, classify_paths, union_stores, verify_objects
 

@@ -10,7 +10,7 @@ from ledgerlens.plans import bridge
 from ledgerlens.plans.oracle import with_base
 from ledgerlens.plans.queries_ledger import RAW_SQL, flat
 from ledgerlens.plans.queries_report import VIEW_FACTS, VIEW_SQL, sealed
-from ledgerlens.plans.registry import query
+from ledgerlens.plans.register import query
 from ledgerlens.settings import checkpoint_root
 from ledgerlens.streaming import ingest
 

@@ -14,7 +14,7 @@ from ledgerlens.functions.remotes import root_commits
 from ledgerlens.operators import cleaning
 from ledgerlens.plans import bridge
 from ledgerlens.plans.oracle import with_base
-from ledgerlens.plans.registry import query
+from ledgerlens.plans.register import query
 from ledgerlens.settings import DEFAULT_PRODUCER
 from ledgerlens.sources.blobs import looks_binary
 from ledgerlens.sources.objects import embedded_record

@@ -1,32 +1,8 @@
 """Every registered query with its SQL twin, gathered from the query modules."""
 
-from __future__ import annotations
+from ledgerlens.plans import (  # noqa: F401
+    queries_graph, queries_ledger, queries_report, queries_store, queries_stream, queries_text,
+)
+from ledgerlens.plans.register import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` is the same result in plain SQL over the same tables."""
-    def register(fn):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, sf_dir)
-        run.__doc__ = fn.__doc__
-        QUERIES[name] = run
-        if sql is not None:
-            ORACLES[name] = sql
-        return fn
-    return register
-
-
-from ledgerlens.plans import queries_ledger  # noqa: E402,F401
-from ledgerlens.plans import queries_text  # noqa: E402,F401
-from ledgerlens.plans import queries_report  # noqa: E402,F401
-from ledgerlens.plans import queries_graph  # noqa: E402,F401
-from ledgerlens.plans import queries_store  # noqa: E402,F401
-from ledgerlens.plans import queries_stream  # noqa: E402,F401
+__all__ = ["ORACLES", "QUERIES"]

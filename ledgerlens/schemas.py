@@ -62,8 +62,12 @@ def flag_at(v: Column, path: str) -> Column:
 
 
 def array_at(v: Column, path: str) -> Column:
-    is_array = class_of(v, path).startswith("ARRAY")
-    return F.when(is_array, F.try_variant_get(v, path, "array<variant>"))
+    """A JSON array, or null.  The cast decides: naming the class would read every member."""
+    return F.try_variant_get(v, path, "array<variant>")
+
+
+def is_object_at(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
 
 
 def texts_in(items: Column) -> Column:
@@ -112,8 +116,7 @@ def project_events(raw: DataFrame) -> DataFrame:
         F.try_parse_json("snapshot_ref").alias("_s"),
     )
     p, t, s = F.col("_p"), F.col("_t"), F.col("_s")
-    is_object = F.schema_of_variant(p).startswith("OBJECT")
-    is_exit = (F.col("kind") == "process.exit") & is_object
+    is_exit = (F.col("kind") == "process.exit") & is_object_at(p, "$")
     of_exit = lambda value: F.when(is_exit & text_at(p, "$.command").isNotNull(), value)
     dirty = F.when(F.col("kind") == "git.status", array_at(p, "$.dirtyAtEnd"))
     typed = {
