@@ -23,7 +23,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         both.select("a", "b").unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
         "cc-edges",
     )
-    hooks: list[DataFrame] = []
     while not live.isEmpty():
         hook = live.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("up"))
         # Two jumps flatten most of the chains that hooking makes.
@@ -31,17 +30,18 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             above = hook.select(F.col("a").alias("up"), F.col("up").alias("top"))
             hook = hook.join(above, "up", "left").select("a", F.coalesce("top", "up").alias("up"))
         hook = settle(hook, "cc-hooks")
-        hooks.append(hook.select(F.col("a").alias("label"), "up"))
+        # Written every round: a salted join reads its input twice, so a plan that was
+        # carried along instead would double with each round.
+        label = settle(
+            attach(label, hook.select(F.col("a").alias("label"), "up"), ["label"], hash_salt("node")).select(
+                "node", F.coalesce("up", "label").alias("label")
+            ),
+            "cc-labels",
+        )
         left = attach(live, hook, ["a"], hash_salt("b")).select(F.coalesce("up", "a").alias("a"), "b")
         right_up = hook.select(F.col("a").alias("b"), F.col("up").alias("other"))
         moved = attach(left, right_up, ["b"], hash_salt("a")).select("a", F.coalesce("other", "b").alias("b"))
         live = settle(moved.where(F.col("a") != F.col("b")).distinct(), "cc-edges")
-    # One join per round, and rounds are few: labels follow the hooks only at the end.
-    label = nodes.select("node", F.col("node").alias("label")).distinct()
-    for hook in hooks:
-        label = attach(label, hook, ["label"], hash_salt("node")).select(
-            "node", F.coalesce("up", "label").alias("label")
-        )
     return label
 
 
