@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from ledgerlens.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 CORE = (
@@ -36,5 +37,5 @@ def test_same_rows(spark, duck, name):
     assert ours == sorted(map(repr, cursor.fetchall()))
 
 
-def test_every_query_has_a_twin():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+def test_every_library_query_has_a_twin():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
