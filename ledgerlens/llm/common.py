@@ -17,12 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def narrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Let no Arrow batch hold more than ``rows`` rows, since one row may be a very long text."""
+def narrow_batches(spark: SparkSession, rows: int = 1024, size: str = "16m") -> None:
+    """Let no Arrow batch hold more than ``rows`` rows or about ``size`` bytes, since one row may be a very long text."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     held = int(spark.conf.get(key))
     if held <= 0 or held > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import narrow_batches
-from ledgerlens.llm.tokens import encoder, split_at_blanks
+from ledgerlens.llm.tokens import Counter, encoder
 
 GROUP_BYTES = 4 << 20
 
@@ -38,15 +38,12 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFram
     narrow_batches(docs.sparkSession)
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer, "", True)
+        enc = encoder(Counter, tokenizer)
         for batch in batches:
             text = pc.fill_null(batch.column(1), "")
             counts: list[int] = []
             for group in balanced(text.to_pylist()):
-                parts = [split_at_blanks(t) for t in group]
-                enc.learn(set().union(*parts))
-                known = enc.known
-                counts += [sum(map(known.__getitem__, p)) for p in parts]
+                counts += enc.counts(group)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pc.cast(pc.binary_length(text), pa.int64()), pa.array(counts, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"],

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import narrow_batches
 from ledgerlens.llm.token_counts import balanced
-from ledgerlens.llm.tokens import encoder, split_before_spaces
+from ledgerlens.llm.tokens import SpaceEncoder, encoder
 from ledgerlens.settings import checkpoint_root
 
 ROW_GROUP_BYTES = 16 << 20
@@ -34,18 +34,13 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
         import numpy as np
         from pyspark import TaskContext
 
-        enc, part = encoder(tokenizer, " ", False), TaskContext.get().partitionId()
+        enc, part = encoder(SpaceEncoder, tokenizer), TaskContext.get().partitionId()
         end = np.array([end_id], dtype="<u4").tobytes()
         done = 0
         for batch in batches:
             start = 0
             for group in balanced(pc.fill_null(batch.column(1), "").to_pylist()):
-                parts = [split_before_spaces(t) for t in group]
-                heads = enc.first([p[0] for p in parts])
-                rest = [p[1:] for p in parts]
-                enc.learn(set().union(*rest))
-                known = enc.known
-                rows = [b"".join([h, *map(known.__getitem__, r), end]) for h, r in zip(heads, rest)]
+                rows = [ids + end for ids in enc.ids(group)]
                 lengths = np.array([len(r) // 4 for r in rows], dtype=np.int32)
                 values = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))

@@ -9,71 +9,181 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from array import array
+from collections.abc import Iterable, Iterator
 
-MOST_PARTS = 300_000
+MOST_PARTS = 400_000
 BATCH_BYTES = 1 << 20
-# Spaces are safe to cut before only between two characters that no version of
-# Unicode has called white space.
-_WHITE = r"\s\x1c-\x1f\x85\u180e\u200b\u2060\ufeff"
-_ODD_SPACE = re.compile(rf" [{_WHITE}]|[{_WHITE}] |\A | \Z")
+# What some version of Unicode has called white space, or may be taken for it.
+_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff" + "".join(
+    map(chr, range(0x2000, 0x200C))
+)
+_EDGE = frozenset(_WHITE)
 _SAFE_SPACE = re.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
+# Letters in every version of Unicode, then signs: two tokens of the pre-tokeniser.
+_WORD_SIGNS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([,.;:!?]+)")
+_SIGNS = frozenset(",.;:!?")
 _ENCODERS: dict[tuple, "Encoder"] = {}
 
 
-def split_before_spaces(text: str) -> list[str]:
-    """Parts for byte-level BPE: the first part, then parts whose leading space was taken off."""
-    return _SAFE_SPACE.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-
-
 def split_at_blanks(text: str) -> list[str]:
     """Parts for a tokenizer that drops white space: between spaces and line feeds."""
     return text.replace("\n", " ").split(" ")
 
 
 class Encoder:
-    """Parts to token ids (as int32 bytes) or to counts."""
+    """A tokenizer with a bounded memory of the parts it has encoded."""
 
-    def __init__(self, path: str, lead: str, counts: bool) -> None:
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.lead, self.counts, self.known = lead, counts, {}
-
-    def _encode(self, parts: list[str]) -> list:
-        import numpy as np
-
-        out: list = []
+        # Parts are encoded once, so the library's own memory of words would only cost time.
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)
+        self.known: dict = {}
+        self.older: dict = {}
+
+    def unknown(self, parts: set[str]) -> list[str]:
+        """The parts that are to be encoded; those of the generation before come back."""
+        known, older = self.known, self.older
+        new = parts.difference(known)
+        if not older:
+            return list(new)
+        known.update((p, older[p]) for p in new.intersection(older))
+        return list(new.difference(older))
+
+    def room(self) -> None:
+        """Called between groups: a full memory becomes the older one."""
+        if len(self.known) > MOST_PARTS:
+            self.older, self.known = self.known, {}
+
+    def encode(self, parts: list[str]) -> Iterator[list[int]]:
+        """Ids of each part, in batches of about equal bytes."""
         start = 0
-        while start < len(parts):  # batches of about equal bytes
+        while start < len(parts):
             end, size = start, 0
             while end < len(parts) and (end == start or size + len(parts[end]) < BATCH_BYTES):
                 size += len(parts[end])
                 end += 1
             for e in self.tokenizer.encode_batch_fast(parts[start:end], add_special_tokens=False):
-                out.append(len(e.ids) if self.counts else np.array(e.ids, dtype="<u4").tobytes())
+                yield e.ids
             start = end
-        return out
 
-    def learn(self, parts: Iterable[str]) -> None:
-        """Encode the parts that are not known yet."""
-        new = [p for p in parts if p not in self.known]
-        if len(self.known) + len(new) > MOST_PARTS:
-            self.known.clear()
-            new = list(parts)
-        self.known.update(zip(new, self._encode([self.lead + p for p in new])))
 
-    def first(self, parts: list[str]) -> list:
-        """Encode parts that begin a text, which have no leading space."""
-        return self._encode(parts)
+class Counter(Encoder):
+    """Counts for tokenizers that drop white space."""
+
+    def counts(self, texts: list[str]) -> list[int]:
+        self.room()
+        parts = [split_at_blanks(t) for t in texts]
+        new = self.unknown(set().union(*parts))
+        self.known.update(zip(new, map(len, self.encode(new))))
+        known = self.known
+        return [sum(map(known.__getitem__, p)) for p in parts]
+
+
+class SpaceEncoder(Encoder):
+    """Ids, as little-endian 32-bit bytes, for byte-level BPE whose tokens take one leading space.
+
+    A single space between two characters that are not white space always begins a
+    token, and a single line feed between two such characters is one.  So the parts of a
+    text are what stands between such spaces, and many new parts are encoded as lines of
+    one text, whose ids are cut at the line feeds.
+    """
 
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.heads: dict[str, bytes] = {}
+
+    def _lines(self, parts: list[str], lead: str) -> Iterator[bytes]:
+        import numpy as np
+
+        start = 0
+        while start < len(parts):
+            end, size = start, 0
+            while end < len(parts) and (end == start or size + len(parts[end]) < BATCH_BYTES // 8):
+                size += len(parts[end])
+                end += 1
+            text = "\n".join([lead + p for p in parts[start:end]])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = [-1, *np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+            raw = ids.tobytes()
+            for a, b in zip(cuts, cuts[1:]):
+                yield raw[4 * a + 4:4 * b]
+            start = end
 
-def encoder(path: str, lead: str, counts: bool) -> Encoder:
+    def _learn(self, new: list[str]) -> None:
+        """Encode new parts that follow a space."""
+        stems: list[str] = []
+        signed: list[tuple[str, str, str]] = []
+        lined: list[tuple[str, list[str]]] = []
+        whole: list[str] = []
+        heads: set[str] = {""}
+        for p in new:
+            if "\n" in p:
+                lines = p.split("\n")
+                if all(x and x[0] not in _EDGE and x[-1] not in _EDGE for x in lines):
+                    lined.append((p, lines))
+                    stems.append(lines[0])
+                    heads.update(lines[1:])
+                else:
+                    whole.append(p)
+            elif p[-1] in _SIGNS and (m := _WORD_SIGNS.fullmatch(p)):
+                stem, sign = m.groups()
+                signed.append((p, stem, sign))
+                stems.append(stem)
+                heads.add(sign)
+            else:
+                stems.append(p)
+        known = self.known
+        new = self.unknown(set(stems))
+        known.update(zip(new, self._lines(new, " ")))
+        if len(self.heads) > MOST_PARTS:
+            self.heads = {}
+        head = self.heads
+        new = [h for h in heads if h and h not in head]
+        head.update(zip(new, self._lines(new, "")))
+        for p, stem, sign in signed:
+            known[p] = known[stem] + head[sign]
+        feed = self.feed.to_bytes(4, "little")
+        for p, lines in lined:
+            known[p] = feed.join([known[lines[0]], *map(head.__getitem__, lines[1:])])
+        known.update(zip(whole, map(_raw, self.encode([" " + p for p in whole]))))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The ids of every whole text."""
+        self.room()
+        parts = [t.split(" ") for t in texts]
+        firsts = [p[0] for p in parts]
+        distinct = set().union(*parts)
+        new = self.unknown(distinct)
+        odd = {p for p in new if not p or p[0] in _EDGE or p[-1] in _EDGE}
+        if odd or not _EDGE.isdisjoint(f[-1:] for f in firsts):
+            again: set[str] = set()
+            for i, p in enumerate(parts):
+                if len(p) > 1 and (not odd.isdisjoint(p) or not p[0] or p[0][-1] in _EDGE):
+                    parts[i] = _SAFE_SPACE.split(texts[i])
+                    firsts[i] = parts[i][0]
+                    again.update(parts[i][1:])
+            new = [p for p in new if p not in odd] + self.unknown(again - distinct) + self.unknown(again & odd)
+        self._learn(new)
+        heads = map(_raw, self.encode(firsts))
+        known = self.known
+        return [b"".join([f, *map(known.__getitem__, p[1:])]) for f, p in zip(heads, parts)]
+
+
+def _raw(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
+
+
+def encoder(kind: type, path: str):
     """One encoder per worker process and tokenizer."""
-    key = (path, lead, counts)
+    key = (kind, path)
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(path, lead, counts)
+        _ENCODERS[key] = kind(path)
     return _ENCODERS[key]
