@@ -114,14 +114,20 @@ def permuted_blocks(per: DataFrame, seed: int) -> DataFrame:
         "no_source", "source", F.explode(F.sequence(low, F.least(low + CHUNK, F.col("blocks")) - 1)).alias("block")
     ).withColumn("hash", F.xxhash64(F.lit(seed), "no_source", "source", "block"))
     view = ordered_view(
-        block, ["no_source", "source"], F.shiftright("hash", 54), ["hash", "block"], position="index"
+        settle(block, "mix-block-hashes"), ["no_source", "source"], F.shiftright("hash", 54), ["hash", "block"], position="index"
     )
     return view.select("no_source", "source", "block", (F.col("index") - 1).alias("index"))
 
 
 def taken_blocks(per: DataFrame, seed: int, slots_per_shard: int = 65536) -> DataFrame:
-    """Slots joined with blocks by index: one row per slot of the mix."""
-    return slots_of(per, seed, slots_per_shard).join(permuted_blocks(per, seed), ["no_source", "source", "index"])
+    """Slots joined with blocks by index: one row per slot of the mix.
+
+    Both sides are written first: they are spelled out from a few rows per source, and
+    only a table that exists tells Spark how large they are.
+    """
+    slots = settle(slots_of(per, seed, slots_per_shard), "mix-slots")
+    blocks = settle(permuted_blocks(per, seed), "mix-blocks")
+    return slots.join(blocks, ["no_source", "source", "index"])
 
 
 def pieces(spans: DataFrame) -> DataFrame:
