@@ -31,7 +31,7 @@ TREES = 8
 BRANCHES = 2
 LEVELS = 3
 SMALL_NODE = 256
-BLOCK = 4096
+BLOCK = 1024
 #: Candidates are pairs whose signatures agree at the threshold less this much.
 MARGIN = 0.2
 BROADCAST_IDS = 2_000_000
