@@ -35,7 +35,7 @@ BLOCK = 1024
 #: Candidates are pairs whose signatures agree at the threshold less this much.
 MARGIN = 0.2
 BROADCAST_IDS = 2_000_000
-MEMO = 1_000_000
+MEMO = 250_000
 
 _rng = np.random.default_rng(20)
 _FACTORS = _rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

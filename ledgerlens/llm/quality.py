@@ -26,7 +26,7 @@ MIN_TAIL = 0.4
 MIN_DOCUMENTS = 8
 MIN_SIGNAL = 2.5
 STEPS = 300
-MEMO = 400_000
+MEMO = 200_000
 _EDGES = ".,;:!?%$*#&|\"'()[]{}<>=+-_/\\~^@`"
 _UPPER = re.compile(r"[^\W\d_a-zß-öø-ÿ]+")
 _ANY = re.compile(r"[^\W\d_A]+")
