@@ -56,7 +56,7 @@ def targets(rows: DataFrame, passes: int = PASSES) -> DataFrame:
     level = F.max(F.when(F.col("at") == F.col("first"), F.col("level"))).over(whole)
     per = per.withColumn("target", F.least(F.col("most"), level * F.col("weight")))
     blocks = F.ceil(F.col("source_size") / F.lit(BLOCK_WORDS)).cast("bigint")
-    slots = F.least(blocks * passes, F.round(F.col("target") * blocks / F.col("source_size")).cast("bigint"))
+    slots = F.least(blocks * passes, F.round(F.try_divide(F.col("target") * blocks, F.col("source_size"))).cast("bigint"))
     return per.select(
         "source", "source_size", "target", blocks.alias("blocks"),
         F.when(F.col("source_size") > 0, slots).otherwise(0).alias("slots"),

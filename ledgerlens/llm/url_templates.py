@@ -70,9 +70,10 @@ def templates(distinct: DataFrame, depth: int = DEPTH) -> DataFrame:
         node = child.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "bad")])
         both = attach(child, node, ["host", "template"], hash_salt("part"))
         rest_labelled, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        pooled = F.col("all_bad") / F.col("all_labelled")
-        error = F.sqrt(pooled * (1 - pooled) * (1 / F.col("labelled") + 1 / rest_labelled))
-        apart = F.abs(F.col("bad") / F.col("labelled") - rest_bad / rest_labelled) > DIFFERENT * error
+        pooled = F.try_divide("all_bad", "all_labelled")
+        own, rest = F.try_divide("bad", "labelled"), F.try_divide(rest_bad, rest_labelled)
+        parts = F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_labelled)
+        apart = F.abs(own - rest) > DIFFERENT * F.sqrt(pooled * (1 - pooled) * parts)
         literal = both.where(
             (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("all_pages"))
             & (F.col("labelled") > 0) & (rest_labelled > 0) & apart
@@ -95,7 +96,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     host, path = address(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"), "bad")
     named = templates(paths(rows))
-    prior = named.agg((F.sum("bad") / F.sum("labelled")).alias("prior"))
+    prior = named.agg(F.try_divide(F.sum("bad"), F.sum("labelled")).alias("prior"))
     tallied = named.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
     purity = tallied.crossJoin(prior).withColumn(  # one row
         "bad_share",
