@@ -17,7 +17,6 @@ from pyspark.sql import types as T
 from ledgerlens.functions.text import BLANK_CHARS, DOT, EDGE, END, NOT_S, S
 
 MARK = "[REDACTED]"
-MAX_DEPTH = 12
 
 # The shapes of secrets.
 URL_CREDENTIALS = (
@@ -171,10 +170,12 @@ def redact_command(command: Column, args: Column) -> Column:
     )
 
 
-def output_tail(output: Column, limit: int = 8 * 1024) -> Column:
-    """C20: the last bytes of captured output, decoded; redact the result before storing it."""
-    tail = F.when(F.octet_length(output) > limit, F.substring(output, -limit, limit)).otherwise(output)
-    return F.decode(tail, "UTF-8")
+def output_tail(output: Column, limit: int | None = None) -> Column:
+    """C20: captured output, or its last ``limit`` bytes, decoded with replacement characters; redact it before storing."""
+    tail = output if limit is None else F.when(
+        F.octet_length(output) > limit, F.substring(output, -limit, limit)
+    ).otherwise(output)
+    return F.make_valid_utf8(tail.cast("string"))
 
 
 # ---- free JSON (C6) ------------------------------------------------------------------
@@ -191,22 +192,50 @@ def _steps():
     return _COMPILED
 
 
-def _redact_value(value, depth):
-    if depth > MAX_DEPTH:
-        return value, 0
-    if isinstance(value, str):
-        total = 0
-        for pattern, replacement in _steps():
-            value, n = pattern.subn(replacement, value)
+_LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?', re.S)
+
+
+def _redact_string(value: str) -> tuple[str, int]:
+    total = 0
+    for pattern, replacement in _steps():
+        value, n = pattern.subn(replacement, value)
+        total += n
+    return value, total
+
+
+def _refuse(token: str):
+    raise ValueError(token)
+
+
+def _number(token: str) -> float:
+    value = float(token)
+    return value if abs(value) != float("inf") else _refuse(token)
+
+
+def _is_json(text: str) -> bool:
+    """Strict JSON; what is too deep for the parser counts as JSON, its strings are read one by one anyhow."""
+    try:
+        json.loads(text, parse_constant=_refuse, parse_float=_number)
+    except ValueError:
+        return False
+    except RecursionError:
+        return True
+    return True
+
+
+def _redact_document(text: str) -> tuple[str, int]:
+    """The string values of a JSON text, from left to right; keys, numbers and nesting stay as they are."""
+    out, total, at = [], 0, 0
+    for m in _LITERAL.finditer(text):
+        out.append("".join(text[at:m.start()].split()))
+        at = m.end()
+        value = json.loads(f'"{m[1]}"', strict=False)
+        if m[2] is None:
+            value, n = _redact_string(value)
             total += n
-        return value, total
-    if isinstance(value, list):
-        pairs = [_redact_value(v, depth + 1) for v in value]
-        return [v for v, _ in pairs], sum(n for _, n in pairs)
-    if isinstance(value, dict):
-        pairs = {k: _redact_value(v, depth + 1) for k, v in value.items()}
-        return {k: v for k, (v, _) in pairs.items()}, sum(n for _, n in pairs.values())
-    return value, 0
+        out.append(json.dumps(value, ensure_ascii=False) + (":" if m[2] else ""))
+    out.append("".join(text[at:].split()))
+    return "".join(out), total
 
 
 _RESULT = T.StructType([T.StructField("value", T.StringType()), T.StructField("count", T.LongType())])
@@ -220,12 +249,8 @@ def _redact_json_udf(texts: pd.Series) -> pd.DataFrame:
             values.append(None)
             counts.append(None)
             continue
-        try:
-            clean, n = _redact_value(json.loads(text), 0)
-            values.append(json.dumps(clean, ensure_ascii=False, separators=(",", ":")) if n else text)
-        except ValueError:
-            clean, n = _redact_value(text, 0)
-            values.append(clean)
+        clean, n = _redact_document(text) if _is_json(text) else _redact_string(text)
+        values.append(clean if n else text)
         counts.append(n)
     return pd.DataFrame({"value": values, "count": counts})
 

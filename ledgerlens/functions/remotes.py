@@ -58,7 +58,7 @@ def strip_url_credentials(url: Column) -> Column:
     )
 
 
-def root_commits(lines: Column) -> Column:
-    """At most sixteen 40-hex root commits, smallest first."""
+def root_commits(lines: Column, limit: int | None = None) -> Column:
+    """The 40-hex root commits, smallest first; the first ``limit`` where one is given."""
     kept = F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x.rlike("^[0-9a-f]{40}" + END))
-    return F.slice(F.array_sort(kept), 1, 16)
+    return F.array_sort(kept) if limit is None else F.slice(F.array_sort(kept), 1, limit)

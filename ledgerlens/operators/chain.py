@@ -40,10 +40,10 @@ def canonical_docs(raw: DataFrame, exact: bool = True) -> DataFrame:
 def break_reason(position: Column, seq: Column, prev_ok: Column, hash_ok: Column) -> Column:
     return (
         F.when(
-            seq != position,
+            ~seq.eqNullSafe(position),
             F.concat(
                 F.lit("sequence gap: expected "), position.cast("string"),
-                F.lit(", found "), seq.cast("string"),
+                F.lit(", found "), F.coalesce(seq.cast("string"), F.lit("null")),
             ),
         )
         .when(~prev_ok, "prevHash does not match the previous event")
@@ -99,17 +99,20 @@ def verify_chain(raw: DataFrame, exact: bool = True) -> DataFrame:
 
 
 def build_chain(drafts: DataFrame, exact: bool = True) -> DataFrame:
-    """Order drafts by (ts, id), assign seq and fold the hashes.
+    """Order drafts by (ts, id), nulls last, assign seq and fold the hashes.
 
-    The fold is sequential by definition, so a session is sealed run by run: each
-    run of events is folded by one task from the hash the previous run ended with.
+    The fold is sequential by definition: a session's events stream, in order, through
+    one task that holds one Arrow batch at a time.
     """
     docs = canonical_docs(drafts.select(*DRAFT_COLUMNS), exact)
     minute = F.substring("ts", 1, 16)
     placed = ordered_view(docs, ["session_id"], minute, ["ts", "id"], position="seq")
     head, tail = event_body()
     hashes = fold_hashes(placed.select("session_id", "seq", head.alias("h"), tail.alias("t")))
-    return placed.join(hashes, ["session_id", "seq"])
+    sealed = hashes.withColumnsRenamed({"session_id": "_session", "seq": "_seq"})
+    return placed.join(
+        sealed, F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("seq") == F.col("_seq"))
+    ).drop("_session", "_seq")
 
 
 _SEALED = T.StructType([

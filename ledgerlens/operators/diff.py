@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from ledgerlens.operators.ordered import attach, hash_salt
 
-MAX_DIFF_LINES = 2000
-
 
 def diff_inputs(changes: DataFrame, blobs: DataFrame) -> DataFrame:
     """Changes with both contents, or the reason why there is no diff."""
@@ -40,11 +38,11 @@ _LINES = T.StructType([
 ])
 
 
-def line_diff(inputs: DataFrame) -> DataFrame:
+def line_diff(inputs: DataFrame, max_lines: int | None = None) -> DataFrame:
     """Q12: ``session_id, path, line_no, op, text``; op is ' ', '-', '+', or 'note'.
 
-    Pairs are independent, so each is aligned where it lies; both sides are at most
-    2000 lines, beyond which the change comes back as one note.
+    Pairs are independent, so each is aligned where it lies.  With ``max_lines``, longer
+    files come back as one note.
     """
     lines = lambda c: F.coalesce(F.size(F.split(c, "\n")), F.lit(0))
     sized = inputs.withColumn("n", F.greatest(
@@ -54,7 +52,7 @@ def line_diff(inputs: DataFrame) -> DataFrame:
     same = F.col("before").eqNullSafe(F.col("after"))
     note = (
         F.when(F.col("reason").isNotNull(), F.col("reason"))
-        .when(F.col("n") > MAX_DIFF_LINES, F.concat(
+        .when((F.col("n") > max_lines) if max_lines is not None else F.lit(False), F.concat(
             F.lit("This file is "), F.col("n").cast("string"), F.lit(" lines — too large to diff.")))
         .when(same, "The content is identical between the two snapshots.")
     )
@@ -79,7 +77,11 @@ def _align_batches(batches):
 
 
 def _align(before: str | None, after: str | None) -> list[tuple[str, str]]:
-    """Longest common subsequence of two line lists, deletions before insertions on ties."""
+    """A shortest edit script, in space linear in the number of lines.
+
+    Halves of the first text are matched against every split of the second; the split
+    with the longest common lines is where both texts are cut, until one side is empty.
+    """
     import numpy as np
 
     a = [] if before is None else before.split("\n")
@@ -87,22 +89,36 @@ def _align(before: str | None, after: str | None) -> list[tuple[str, str]]:
     codes: dict[str, int] = {}
     x = np.array([codes.setdefault(t, len(codes)) for t in a], dtype=np.int64)
     y = np.array([codes.setdefault(t, len(codes)) for t in b], dtype=np.int64)
-    # table[i, j]: common length of a[i:] and b[j:].  Row i follows from row i+1 as a
-    # running maximum from the right, because a match adds one to its diagonal neighbour.
-    table = np.zeros((len(a) + 1, len(b) + 1), dtype=np.int32)
-    for i in range(len(a) - 1, -1, -1):
-        below = table[i + 1]
-        row = np.where(y == x[i], below[1:] + 1, below[:-1])
-        table[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
-    out, i, j = [], 0, 0
-    while i < len(a) and j < len(b):
-        if x[i] == y[j]:
-            out.append((" ", a[i]))
-            i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            out.append(("-", a[i]))
-            i += 1
+    out: list[tuple[str, str]] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        low, high, left, right = todo.pop()
+        while low < high and left < right and x[low] == y[left]:
+            out.append((" ", a[low]))
+            low, left = low + 1, left + 1
+        if low == high or left == right:
+            out += [("-", t) for t in a[low:high]] + [("+", t) for t in b[left:right]]
+        elif high - low == 1:
+            # The first common line is the cut; before it all is new.
+            at = np.flatnonzero(y[left:right] == x[low])
+            if len(at):
+                cut = left + int(at[0])
+                out += [("+", t) for t in b[left:cut]] + [(" ", a[low])] + [("+", t) for t in b[cut + 1:right]]
+            else:
+                out += [("-", a[low])] + [("+", t) for t in b[left:right]]
         else:
-            out.append(("+", b[j]))
-            j += 1
-    return out + [("-", t) for t in a[i:]] + [("+", t) for t in b[j:]]
+            middle = (low + high) // 2
+            common = _common(x[low:middle], y[left:right]) + _common(x[middle:high][::-1], y[left:right][::-1])[::-1]
+            cut = left + int(np.argmax(common))
+            todo += [(middle, high, cut, right), (low, middle, left, cut)]
+    return out
+
+
+def _common(x, y):
+    """For every beginning of ``y``, how many lines it shares, in order, with all of ``x``."""
+    import numpy as np
+
+    row = np.zeros(len(y) + 1, dtype=np.int32)
+    for code in x:
+        row[1:] = np.maximum.accumulate(np.where(y == code, row[:-1] + 1, row[1:]))
+    return row

@@ -368,7 +368,7 @@ def find_group(groups: DataFrame, argument: str) -> DataFrame:
         raise LookupError(f'no repository matches "{argument}"')
     best = min(counted)
     if counted[best] > 1:
-        shown = matches.where(F.col("tier") == best).orderBy("display_name").select("display_name").limit(100)
+        shown = matches.where(F.col("tier") == best).orderBy("display_name").select("display_name")
         listed = ", ".join(r["display_name"] for r in shown.collect())
         raise LookupError(
             f'"{argument}" matches {counted[best]} repository groups ({listed}) — equally strong '

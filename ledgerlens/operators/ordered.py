@@ -9,6 +9,7 @@ carries counts, last values and totals across buckets, and a join on
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,9 @@ def ordered_view(
     ``lags`` maps a new column to the column whose previous value it holds.
     ``totals`` maps a new column to ``(aggregate over a bucket, combine)`` where
     combine is one of ``min``, ``max`` or ``sum``.
+
+    Every row comes back: null keys are a key of their own, and rows whose order or
+    bucket is null stand last in their key.
     """
     lags, totals = dict(lags or {}), dict(totals or {})
     rows = df.withColumn("_bucket", bucket)
@@ -48,13 +52,13 @@ def ordered_view(
         summary_aggs.append(F.count(F.lit(1)).alias("_n"))
     if lags:
         last = F.struct(*[F.col(c).alias(f"_l_{new}") for new, c in lags.items()])
-        summary_aggs.append(F.max_by(last, F.struct(*order)).alias("_last"))
+        summary_aggs.append(F.max_by(last, F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])).alias("_last"))
     summary = rows.groupBy(*group).agg(*summary_aggs)
 
-    across = Window.partitionBy(*keys).orderBy("_bucket")
+    across = Window.partitionBy(*keys).orderBy(F.col("_bucket").asc_nulls_last())
     before = across.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
-    carried = [F.col(c) for c in group]
+    carried = [F.col(c).alias(f"_g_{c}") for c in group]
     if position:
         carried.append(F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     if lags:
@@ -63,12 +67,12 @@ def ordered_view(
         carried.append(getattr(F, combine)(f"_t_{name}").over(whole).alias(name))
     summary = summary.select(*carried)
 
-    local = Window.partitionBy(*group).orderBy(*order)
+    local = Window.partitionBy(*group).orderBy(*[F.col(c).asc_nulls_last() for c in order])
     if position or lags:
         rows = rows.withColumn("_rank", F.row_number().over(local))
         for new, c in lags.items():
             rows = rows.withColumn(f"_p_{new}", F.lag(c).over(local))
-    out = rows.join(summary, group)
+    out = rows.join(summary, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group]))
     added = [F.col(c) for c in df.columns]
     if position:
         added.append((F.col("_offset") + F.col("_rank")).alias(position))

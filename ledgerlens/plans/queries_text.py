@@ -119,10 +119,12 @@ def c6_redact_ledger(spark, sf_dir):
     return cleaning.redact_ledger(drafts).select("event_id", "payload", F.col("redaction_count").alias("n"))
 
 
-@query("c20_output_tails", "SELECT doc_id, text[-100:] AS tail FROM documents WHERE octet_length(encode(text)) = length(text)")
+@query("c20_output_tails", """ SELECT doc_id, repeat(chr(65533), cut) || decode(unhex(h[2*cut+1:])) AS tail
+  FROM (SELECT doc_id, h, length(regexp_extract(h, '^([89AB][0-9A-F])*'))//2 AS cut
+    FROM (SELECT doc_id, right(hex(encode(text)), 200) AS h FROM documents))""")
 def c20_output_tails(spark, sf_dir):
-    """The last hundred bytes of every single-byte text."""
-    docs = bridge.load(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
+    """The last hundred bytes of every text; what is left of a cut character becomes replacement characters."""
+    docs = bridge.load(spark, sf_dir, "documents")
     tails = docs.select("doc_id", output_tail(F.col("text").cast("binary"), 100).alias("raw_tail"))
     return cleaning.redact_text_table(tails, "raw_tail").select("doc_id", F.col("clean").alias("tail"))
 
@@ -198,13 +200,14 @@ def p5_verdicts(spark, sf_dir):
 
 # ---- remotes and addresses ------------------------------------------------------------
 
-@query("c9_normalize_origins", """ SELECT DISTINCT user_id, concat(CASE WHEN user_id%4=3 THEN 'github.com:8443' ELSE 'github.com' END,'/acme/r',user_id%12) AS normalized,
-  CASE user_id%4 WHEN 0 THEN concat('https://GitHub.com/acme/r',user_id%12,'.git') WHEN 1 THEN concat('git@github.com:acme/r',user_id%12,'.git')
-   WHEN 2 THEN concat('ssh://github.com:22/acme/r',user_id%12) ELSE concat('https://github.com:8443/acme/r',user_id%12,'/') END AS stripped
-  FROM events WHERE user_id%5<>0""")
+@query("c9_normalize_origins", """ SELECT DISTINCT user_id,
+  CASE WHEN user_id%5<>0 THEN concat(CASE WHEN user_id%4=3 THEN 'github.com:8443' ELSE 'github.com' END,'/acme/r',user_id%12) END AS normalized,
+  CASE WHEN user_id%5<>0 THEN CASE user_id%4 WHEN 0 THEN concat('https://GitHub.com/acme/r',user_id%12,'.git') WHEN 1 THEN concat('git@github.com:acme/r',user_id%12,'.git')
+   WHEN 2 THEN concat('ssh://github.com:22/acme/r',user_id%12) ELSE concat('https://github.com:8443/acme/r',user_id%12,'/') END END AS stripped
+  FROM events""")
 def c9_normalize_origins(spark, sf_dir):
     users = bridge.load(spark, sf_dir, "events").select("user_id").distinct()
-    urls = users.withColumn("url", bridge.origin_of(F.col("user_id"))).where(F.col("url").isNotNull())
+    urls = users.withColumn("url", bridge.origin_of(F.col("user_id")))
     return cleaning.normalize_remotes(urls, "url").select("user_id", "normalized", "stripped")
 
 
@@ -242,7 +245,7 @@ def c19_root_commits(spark, sf_dir):
         F.sequence(F.lit(0), F.lit(18)),
         lambda i: F.when(i < 18, F.substring(F.sha2((F.col("k") + i).cast("string").cast("binary"), 256), 1, 40)).otherwise("bad"),
     )
-    return numbered(spark, sf_dir).select("event_id", F.array_join(root_commits(lines), ",").alias("roots"))
+    return numbered(spark, sf_dir).select("event_id", F.array_join(root_commits(lines, 16), ",").alias("roots"))
 
 
 # ---- paths --------------------------------------------------------------------------
@@ -329,9 +332,10 @@ def c1_hash_documents(spark, sf_dir):
 
 
 @query("c1_canonical_numbers", NUMBERED + """ SELECT event_id,
-   '{"big":'||CASE WHEN k<9 THEN (k+1)||'e+21' ELSE ((k+1)//10)||'.'||((k+1)%10)||'e+22' END||',"n":'||CASE WHEN k=0 THEN '0' ELSE k||'000' END||
-   ',"small":'||CASE WHEN k<9 THEN (k+1)||'e-7' ELSE '0.00000'||(k+1) END||'}' AS canonical
-  FROM n WHERE (k+1)%10<>0""")
+   '{"big":'||CASE WHEN k<9 THEN (k+1)||'e+21' WHEN k=99 THEN '1e+23' WHEN (k+1)%10=0 THEN ((k+1)//10)||'e+22' ELSE ((k+1)//10)||'.'||((k+1)%10)||'e+22' END||
+   ',"n":'||CASE WHEN k=0 THEN '0' ELSE k||'000' END||
+   ',"small":'||CASE WHEN k<9 THEN (k+1)||'e-7' WHEN k=99 THEN '0.00001' ELSE '0.00000'||rtrim((k+1)::VARCHAR, '0') END||'}' AS canonical
+  FROM n""")
 def c1_canonical_numbers(spark, sf_dir):
     """Numbers that need the exact printer."""
     k = F.col("k")
@@ -339,7 +343,7 @@ def c1_canonical_numbers(spark, sf_dir):
         F.lit('{"small":'), (k + 1).cast("string"), F.lit("E-7,\"n\":"), k.cast("string"),
         F.lit("e3,\"big\":"), (k + 1).cast("string"), F.lit("e21}"),
     )
-    rows = numbered(spark, sf_dir).where((k + 1) % 10 != 0).withColumn("json", text)
+    rows = numbered(spark, sf_dir).withColumn("json", text)
     return cleaning.hash_documents(rows, "json").select("event_id", "canonical")
 
 

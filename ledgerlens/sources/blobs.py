@@ -7,44 +7,44 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.paths import is_sensitive_path
 
-MAX_FILE_BYTES = 1024 * 1024
-PROBE_BYTES = 8000
 
+def looks_binary(content: Column, probe: int | None = None) -> Column:
+    """A NUL byte in the content, or among its first ``probe`` bytes."""
+    head = content if probe is None else F.substring(content, 1, probe)
+    return F.position(F.lit(b"\x00"), head) > 0
 
-def looks_binary(content: Column) -> Column:
-    """A NUL byte among the first bytes."""
-    head = F.substring(content, 1, PROBE_BYTES)
-    return F.hex(head).rlike("^(?:..)*?00")
 
-
-def blob_manifest(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def blob_manifest(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """``path, bytes, ref, binary, oversized, sensitive`` of every file.
 
-    Content is read only for files that are neither credential-shaped nor too large.
+    Content is not read of credential-shaped files, nor of files above ``max_bytes``
+    where a bound is given.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     sensitive = is_sensitive_path(F.col("path"))
     stamp = F.unix_millis("modificationTime").cast("double")
+    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     held = lambda df, s, o: df.select(
         "path", F.col("length").alias("bytes"), stamp.alias("mtime_ms"),
         F.lit(None).cast("string").alias("ref"), F.lit(False).alias("binary"),
         F.lit(o).alias("oversized"), F.lit(s).alias("sensitive"),
     )
-    read = files.where(~sensitive & (F.col("length") <= max_bytes)).select(
+    read = files.where(~sensitive & small).select(
         "path", F.col("length").alias("bytes"), stamp.alias("mtime_ms"),
         F.sha2("content", 256).alias("ref"), looks_binary(F.col("content")).alias("binary"),
         F.lit(False).alias("oversized"), F.lit(False).alias("sensitive"),
     )
     return (
         read.unionByName(held(files.where(sensitive), True, False))
-        .unionByName(held(files.where(~sensitive & (F.col("length") > max_bytes)), False, True))
+        .unionByName(held(files.where(~sensitive & ~small), False, True))
     )
 
 
-def blob_table(spark: SparkSession, path: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def blob_table(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
     """Distinct contents: ``ref, length, content``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kept = files.where(~is_sensitive_path(F.col("path")) & (F.col("length") <= max_bytes))
+    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    kept = files.where(~is_sensitive_path(F.col("path")) & small)
     return kept.select(
         F.sha2("content", 256).alias("ref"), "length", "content"
     ).dropDuplicates(["ref"])

@@ -89,25 +89,28 @@ _WRITE = "session_id string, path string, id string, ts_ms bigint, before_ref st
 
 
 def _settle_path(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold the last write of a path until it has been quiet; a burst comes out as one."""
-    out = []
-    held = state.get if state.exists else None
-    if state.hasTimedOut:
-        out.append((*key, *held))
+    """Hold the writes of a path until the watermark has passed them and the quiet time after
+    them, so that late rows take their place before bursts are put together."""
+    held = list(zip(*state.get)) if state.exists else []
+    if not state.hasTimedOut:
+        for part in parts:
+            held += list(part[["id", "ts_ms", "before_ref", "after_ref"]].itertuples(index=False, name=None))
+    held.sort(key=lambda w: (w[1], w[0] is None, w[0]))
+    bursts: list[list[tuple]] = []
+    for write in held:
+        if bursts and write[1] - bursts[-1][-1][1] <= DEBOUNCE_MS:
+            bursts[-1].append(write)
+        else:
+            bursts.append([write])
+    passed = state.getCurrentWatermarkMs()
+    done = [b for b in bursts if b[-1][1] + DEBOUNCE_MS < passed]
+    open_ = bursts[len(done):]
+    if open_:
+        state.update(tuple(map(list, zip(*[w for b in open_ for w in b]))))
+        state.setTimeoutTimestamp(max(int(open_[0][-1][1]) + DEBOUNCE_MS + 1, passed + 1))
+    elif state.exists:
         state.remove()
-    else:
-        for id_, ts, before, after in (
-            row for part in parts
-            for row in part.sort_values(["ts_ms", "id"])[["id", "ts_ms", "before_ref", "after_ref"]].itertuples(index=False)
-        ):
-            if held is not None and ts - held[1] <= DEBOUNCE_MS:
-                held = (id_, ts, held[2], after)
-            else:
-                if held is not None:
-                    out.append((*key, *held))
-                held = (id_, int(ts), before, after)
-        state.update(held)
-        state.setTimeoutTimestamp(max(int(held[1]) + DEBOUNCE_MS, state.getCurrentWatermarkMs() + 1))
+    out = [(*key, b[-1][0], int(b[-1][1]), b[0][2], b[-1][3]) for b in done]
     kept = [w for w in out if w[4] is None or w[4] != w[5]]
     yield pd.DataFrame(kept, columns=["session_id", "path", "id", "ts_ms", "before_ref", "after_ref"])
 
@@ -118,7 +121,8 @@ def settled_writes(writes: DataFrame, delay: str = "1 second") -> DataFrame:
         writes.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", delay)
         .groupBy("session_id", "path")
         .applyInPandasWithState(
-            _settle_path, _WRITE, "id string, ts_ms bigint, before_ref string, after_ref string",
+            _settle_path, _WRITE,
+            "id array<string>, ts_ms array<bigint>, before_ref array<string>, after_ref array<string>",
             "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
@@ -131,22 +135,22 @@ _STATUS = "session_id string, status string, last_ms bigint"
 
 def _watch_session(quiet_ms: int):
     def watch(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """A session ends once; its mark stays for another quiet time, so late events do not open it again."""
         out = []
+        last, ended = state.get if state.exists else (0, False)
         if state.hasTimedOut:
-            out.append((key[0], "stale", state.get[0]))
+            if not ended:
+                out.append((key[0], "stale", last))
             state.remove()
         else:
-            last, ended = (state.get if state.exists else (0, False))
+            closed = ended
             for part in parts:
                 last = max(last, int(part["ts_ms"].max()))
                 ended = ended or bool((part["kind"] == "session.end").any())
-            if ended:
+            if ended and not closed:
                 out.append((key[0], "closed", last))
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((last, False))
-                state.setTimeoutTimestamp(max(last + quiet_ms, state.getCurrentWatermarkMs() + 1))
+            state.update((last, ended))
+            state.setTimeoutTimestamp(max(last + quiet_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session_id", "status", "last_ms"])
 
     return watch

@@ -10,6 +10,7 @@ from ledgerlens.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 CORE = (
+    "c20_output_tails", "c1_canonical_numbers", "c9_normalize_origins", "q12_line_diff", "c19_root_commits",
     "rf_all_ordered", "rf03_by_day", "w2_clock_regression", "w1_verify_tampered_chain", "a13_limitations",
     "a12_degradations", "c7_classify_commands", "c3_redact_texts", "p6_p7_paths", "s1_scan_events",
     "t2_stream_without_repeats", "t3_stream_settled_writes", "t4_stream_session_status",
