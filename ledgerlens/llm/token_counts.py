@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import narrow_batches
 from ledgerlens.llm.tokens import Counter, encoder
 
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
 
 
 def balanced(texts: list[str], limit: int = GROUP_BYTES) -> Iterator[list[str]]:

@@ -12,7 +12,7 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
-MOST_PARTS = 200_000
+MOST_PARTS = 100_000
 BATCH_BYTES = 1 << 20
 # What some version of Unicode has called white space, or may be taken for it.
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff" + "".join(
