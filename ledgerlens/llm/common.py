@@ -57,6 +57,21 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         yield pa.Table.from_batches(held)
 
 
+def gathered(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive batches put together until they reach about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 class Forest:
     """Union by smallest member, for the groups that one task holds."""
 

@@ -11,19 +11,22 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import narrow_batches
-from ledgerlens.llm.token_counts import balanced
+from ledgerlens.llm.common import gathered, narrow_batches
 from ledgerlens.llm.tokens import SpaceEncoder, encoder
 from ledgerlens.settings import checkpoint_root
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 DICTIONARY_BYTES = 1 << 20
+# Words repeat more in a larger group of texts; its ids leave in smaller batches.
+GROUP_BYTES = 8 << 20
+OUT_ROWS = 1024
 
 
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
@@ -31,27 +34,20 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
     narrow_batches(docs.sparkSession)
 
     def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
         from pyspark import TaskContext
 
         enc, part = encoder(SpaceEncoder, tokenizer), TaskContext.get().partitionId()
-        end = np.array([end_id], dtype="<u4").tobytes()
         done = 0
-        for batch in batches:
-            start = 0
-            for group in balanced(pc.fill_null(batch.column(1), "").to_pylist()):
-                rows = [ids + end for ids in enc.ids(group)]
-                lengths = np.array([len(r) // 4 for r in rows], dtype=np.int32)
-                values = pa.array(np.frombuffer(b"".join(rows), dtype="<i4"))
-                offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(group)), pa.array(lengths.astype(np.int64)),
-                     pa.array(np.full(len(group), part, dtype=np.int32)),
-                     pa.array(np.arange(done, done + len(group), dtype=np.int64)), pa.ListArray.from_arrays(offsets, values)],
-                    ["doc_id", "n_tokens", "part", "row", "ids"],
-                )
-                start += len(group)
-                done += len(group)
+        for group in gathered(batches, GROUP_BYTES):
+            ids = enc.ids(pc.fill_null(group.column(1), ""), end_id)
+            n = len(ids)
+            coded = pa.RecordBatch.from_arrays(
+                [group.column(0), pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int64)),
+                 pa.array(np.full(n, part, dtype=np.int32)), pa.array(np.arange(done, done + n, dtype=np.int64)), ids],
+                ["doc_id", "n_tokens", "part", "row", "ids"],
+            )
+            yield from (coded.slice(i, OUT_ROWS) for i in range(0, n, OUT_ROWS))
+            done += n
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema[0].dataType.simpleString()
@@ -87,8 +83,6 @@ def digest(stored: DataFrame) -> DataFrame:
     kind = stored.schema["doc_id"].dataType.simpleString()
 
     def checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         for batch in batches:
             ids = batch.column(3)
             values, offsets = ids.values.to_numpy(), ids.offsets.to_numpy()

@@ -2,15 +2,18 @@
 
 A text is cut only where the tokenizer's own pre-tokeniser always cuts, so the
 tokens of the parts, one after the other, are the tokens of the text.  Each
-distinct part is encoded once per worker; the memory for that is bounded.
+distinct part is encoded once per group of texts or worker, in bounded memory.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MOST_PARTS = 100_000
 BATCH_BYTES = 1 << 20
@@ -18,11 +21,9 @@ BATCH_BYTES = 1 << 20
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff" + "".join(
     map(chr, range(0x2000, 0x200C))
 )
-_EDGE = frozenset(_WHITE)
 _SAFE_SPACE = re.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
-# Letters in every version of Unicode, then signs: two tokens of the pre-tokeniser.
-_WORD_SIGNS = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([,.;:!?]+)")
-_SIGNS = frozenset(",.;:!?")
+# Letters in every version of Unicode, before signs: two tokens of the pre-tokeniser.
+_LETTER_SIGN = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}])([,.;:!?])"
 _ENCODERS: dict[tuple, "Encoder"] = {}
 
 
@@ -87,98 +88,111 @@ class Counter(Encoder):
 
 
 class SpaceEncoder(Encoder):
-    """Ids, as little-endian 32-bit bytes, for byte-level BPE whose tokens take one leading space.
+    """Ids for byte-level BPE whose tokens take one leading space.
 
     A single space between two characters that are not white space always begins a
-    token, and a single line feed between two such characters is one.  So the parts of a
-    text are what stands between such spaces, and many new parts are encoded as lines of
-    one text, whose ids are cut at the line feeds.
+    token, a single line feed between two such characters is one, and letters never share
+    a token with the signs after them.  So a plain text falls into pieces: words after a
+    space, words after a line feed, and signs after a letter.  Arrow finds the distinct
+    pieces of a group of texts, each is encoded once, as a line of a longer text, and the
+    ids of the texts are gathered from those.  Texts with other white space or with
+    special strings are cut at safe spaces only.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
         (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.heads: dict[str, bytes] = {}
-
-    def _lines(self, parts: list[str], lead: str) -> Iterator[bytes]:
-        import numpy as np
-
+        special = "".join("|" + re.escape(str(a.content)) for a in self.tokenizer.get_added_tokens_decoder().values())
+        self.odd = rf"\A[{_WHITE}]|[{_WHITE}]\z|[ \n][{_WHITE}]|[{_WHITE}][ \n]" + special
+        self.not_a_word = re.compile(rf"[{_WHITE}]" + special)
+
+    def _lines(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids of the pieces, with the start and the number of each piece's own.
+
+        A piece that begins with a line feed keeps its id; carriage returns mark bare
+        pieces; all others are words after a space.
+        """
+        fed, bare = pc.starts_with(pieces, "\n"), pc.starts_with(pieces, "\r")
+        lines = pc.if_else(
+            fed, pieces,
+            pc.binary_join_element_wise(pc.if_else(bare, "\n", "\n "), pc.replace_substring_regex(pieces, "\\A\r", ""), ""),
+        )
+        cut = pc.cumulative_sum(pc.cast(pc.binary_length(lines), pa.int64())).to_numpy()
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "")[0].as_buffer()
+        found: list[np.ndarray] = []
         start = 0
-        while start < len(parts):
-            end, size = start, 0
-            while end < len(parts) and (end == start or size + len(parts[end]) < BATCH_BYTES // 8):
-                size += len(parts[end])
-                end += 1
-            text = "\n".join([lead + p for p in parts[start:end]])
-            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = [-1, *np.flatnonzero(ids == self.feed).tolist(), len(ids)]
-            raw = ids.tobytes()
-            for a, b in zip(cuts, cuts[1:]):
-                yield raw[4 * a + 4:4 * b]
+        while start < len(lines):
+            done = cut[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(cut, done + BATCH_BYTES // 8)))
+            part = text.slice(done, cut[end - 1] - done).to_pybytes().decode()
+            ids = self.tokenizer.encode_batch_fast([part], add_special_tokens=False)[0].ids
+            found.append(np.array(ids, dtype=np.int32))
             start = end
-
-    def _learn(self, new: list[str]) -> None:
-        """Encode new parts that follow a space."""
-        stems: list[str] = []
-        signed: list[tuple[str, str, str]] = []
-        lined: list[tuple[str, list[str]]] = []
-        whole: list[str] = []
-        heads: set[str] = {""}
-        for p in new:
-            if "\n" in p:
-                lines = p.split("\n")
-                if all(x and x[0] not in _EDGE and x[-1] not in _EDGE for x in lines):
-                    lined.append((p, lines))
-                    stems.append(lines[0])
-                    heads.update(lines[1:])
-                else:
-                    whole.append(p)
-            elif p[-1] in _SIGNS and (m := _WORD_SIGNS.fullmatch(p)):
-                stem, sign = m.groups()
-                signed.append((p, stem, sign))
-                stems.append(stem)
-                heads.add(sign)
-            else:
-                stems.append(p)
-        known = self.known
-        new = self.unknown(set(stems))
-        known.update(zip(new, self._lines(new, " ")))
-        if len(self.heads) > MOST_PARTS:
-            self.heads = {}
-        head = self.heads
-        new = [h for h in heads if h and h not in head]
-        head.update(zip(new, self._lines(new, "")))
-        for p, stem, sign in signed:
-            known[p] = known[stem] + head[sign]
-        feed = self.feed.to_bytes(4, "little")
-        for p, lines in lined:
-            known[p] = feed.join([known[lines[0]], *map(head.__getitem__, lines[1:])])
-        known.update(zip(whole, map(_raw, self.encode([" " + p for p in whole]))))
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of every whole text."""
-        self.room()
-        parts = [t.split(" ") for t in texts]
-        firsts = [p[0] for p in parts]
-        distinct = set().union(*parts)
-        new = self.unknown(distinct)
-        odd = {p for p in new if not p or p[0] in _EDGE or p[-1] in _EDGE}
-        if odd or not _EDGE.isdisjoint(f[-1:] for f in firsts):
-            again: set[str] = set()
-            for i, p in enumerate(parts):
-                if len(p) > 1 and (not odd.isdisjoint(p) or not p[0] or p[0][-1] in _EDGE):
-                    parts[i] = _SAFE_SPACE.split(texts[i])
-                    firsts[i] = parts[i][0]
-                    again.update(parts[i][1:])
-            new = [p for p in new if p not in odd] + self.unknown(again - distinct) + self.unknown(again & odd)
-        self._learn(new)
-        heads = map(_raw, self.encode(firsts))
-        known = self.known
-        return [b"".join([f, *map(known.__getitem__, p[1:])]) for f, p in zip(heads, parts)]
-
-
-def _raw(ids: list[int]) -> bytes:
-    return array("I", ids).tobytes()
+        ids = np.concatenate([np.empty(0, np.int32), *found])
+        at = np.flatnonzero(ids == self.feed)
+        if len(at) != len(lines):
+            raise ValueError("the tokenizer joined a line feed with its neighbours")
+        skip = np.where(fed.to_numpy(zero_copy_only=False), 0, 1)
+        return ids, at + skip, np.diff(np.append(at, len(ids))) - skip
+
+    def _plain(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """Each text is led by a line feed, whose id falls out as the end id comes in."""
+        spaced = pc.replace_substring_regex(texts, pattern=_LETTER_SIGN, replacement="\\1 \r\\2")
+        spaced = pc.binary_join_element_wise("\n", pc.replace_substring(spaced, "\n", " \n"), "")
+        words = pc.split_pattern(spaced, " ")
+        coded = words.flatten().dictionary_encode()
+        ids, starts, lengths = self._lines(coded.dictionary)
+        return _gather(ids, starts, lengths, coded.indices.to_numpy(), words.offsets.to_numpy(), end_id, led=True)
+
+    def _odd(self, texts: list[str], end_id: int) -> pa.ListArray:
+        """Texts with runs of white space or special strings."""
+        parts = [_SAFE_SPACE.split(t) for t in texts]
+        words: dict[str, int] = {}
+        others: dict[str, int] = {}
+        coded: list[int] = []
+        for first, *rest in parts:
+            coded.append(~others.setdefault(first, len(others)))
+            for p in rest:
+                known = words.get(p)
+                if known is None and not self.not_a_word.search(p):
+                    known = words.setdefault(p, len(words))
+                coded.append(~others.setdefault(" " + p, len(others)) if known is None else known)
+        ids, starts, lengths = self._lines(pa.array(list(words), pa.string()))
+        whole = [np.array(i, dtype=np.int32) for i in self.encode(list(others))]
+        sizes = np.array([len(w) for w in whole], dtype=np.int64)
+        starts = np.concatenate([starts, len(ids) + np.cumsum(sizes) - sizes])
+        index = np.array(coded)
+        index = np.where(index < 0, len(words) + ~index, index)
+        offsets = np.cumsum([0, *map(len, parts)])
+        return _gather(np.concatenate([ids, *whole]), starts, np.concatenate([lengths, sizes]), index, offsets, end_id, led=False)
+
+    def ids(self, texts: pa.Array, end_id: int) -> pa.ListArray:
+        """The ids of every whole text, and ``end_id`` after them."""
+        odd = pc.fill_null(pc.match_substring_regex(texts, self.odd), False)
+        odd = pc.or_(odd, pc.equal(pc.binary_length(texts), 0))
+        plain = texts.filter(pc.invert(odd))
+        if len(plain) == len(texts):
+            return self._plain(texts, end_id)
+        at = odd.to_numpy(zero_copy_only=False)
+        place = np.empty(len(texts), dtype=np.int64)
+        place[np.concatenate([np.flatnonzero(~at), np.flatnonzero(at)])] = np.arange(len(texts))
+        strange = self._odd(texts.filter(odd).to_pylist(), end_id)
+        return pa.concat_arrays([self._plain(plain, end_id), strange]).take(pa.array(place)) if len(plain) else strange
+
+
+def _gather(ids, starts, lengths, index, offsets, end_id: int, led: bool) -> pa.ListArray:
+    """Lists of the ids of ``index[offsets[i]:offsets[i + 1]]`` and the end id; ``led`` lists lose their first id."""
+    sizes = lengths[index]
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    flat = ids[np.repeat(starts[index] - ends[:-1], sizes) + np.arange(ends[-1])]
+    bounds = ends[offsets]
+    if led:
+        flat = np.append(flat[1:], flat[:1])
+        flat[bounds[1:] - 1] = end_id
+    else:
+        flat = np.insert(flat, bounds[1:], end_id)
+        bounds = bounds + np.arange(len(bounds))
+    return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat.astype(np.int32, copy=False)))
 
 
 def encoder(kind: type, path: str):
