@@ -11,7 +11,7 @@ from ledgerlens.plans.oracle import with_base
 from ledgerlens.plans.queries_ledger import RAW_SQL, flat
 from ledgerlens.plans.queries_report import VIEW_FACTS, VIEW_SQL, sealed
 from ledgerlens.plans.register import query
-from ledgerlens.settings import checkpoint_root
+from ledgerlens.settings import checkpoint_root, settle
 from ledgerlens.streaming import ingest
 
 HALF = "2024-01-16"
@@ -31,7 +31,22 @@ def in_two_parts(rows, path):
 CLEAN_RAW_SQL = RAW_SQL.replace("https://u:t@", "https://u:[REDACTED]@")
 
 
-@query("t1_stream_chain", with_base(CLEAN_RAW_SQL) + " SELECT session_id, seq, id, prev_hash, hash FROM raw")
+# Classification comes before the chain too.
+SEALED_SQL = CLEAN_RAW_SQL.replace(
+    '"blastRadius":null,"effectClass":null,',
+    """"blastRadius":'||coalesce('"'||blast_radius||'"','null')||',"effectClass":'||coalesce('"'||effect_class||'"','null')||',""",
+).replace(
+    '"reversible":null,', """"reversible":'||coalesce(CAST(reversible AS VARCHAR),'null')||',""",
+).replace("FROM kn),", """,
+   CASE WHEN rkind='process.exit' THEN CASE WHEN command='git push --force' THEN 'destroy' ELSE 'execute' END
+     WHEN rkind='file.read' THEN 'read' WHEN rkind='file.write' THEN 'write' WHEN rkind='file.delete' THEN 'destroy' END AS effect_class,
+   CASE WHEN rkind='process.exit' THEN 'repo' WHEN rkind IN ('file.read','file.write','file.delete') THEN 'file' END AS blast_radius,
+   CASE WHEN rkind='process.exit' THEN CASE WHEN command='git push --force' THEN false END WHEN rkind='file.read' THEN true
+     WHEN rkind='file.write' THEN before_ref IS NOT NULL OR after_ref IS NOT NULL WHEN rkind='file.delete' THEN false END AS reversible FROM kn),""")
+
+
+@query("t1_stream_chain", with_base(SEALED_SQL) + """ SELECT session_id, seq, id, rkind AS kind, payload, target, effect_class, blast_radius, reversible,
+   prev_hash, hash FROM raw""")
 def t1_stream_chain(spark, sf_dir):
     """Chains sealed by two runs of one query, the second going on from state."""
     drafts = bridge.ledger_drafts(spark, sf_dir)
@@ -39,7 +54,9 @@ def t1_stream_chain(spark, sf_dir):
     for _ in in_two_parts(drafts, source):
         stream = ingest.read_drafts(spark, source, drafts.schema)
         ingest.start_sealing(stream, sink, checkpoint, exact=False).awaitTermination()
-    return spark.read.parquet(sink).select("session_id", "seq", "id", "prev_hash", "hash")
+    return spark.read.parquet(sink).select(
+        "session_id", "seq", "id", "kind", "payload", "target", "effect_class", "blast_radius", "reversible", "prev_hash", "hash"
+    )
 
 
 @query("t2_stream_without_repeats", with_base() + " SELECT id, session_id FROM b")
@@ -55,59 +72,59 @@ def t2_stream_without_repeats(spark, sf_dir):
     return spark.read.parquet(sink).select("id", "session_id")
 
 
-@query("t3_stream_settled_writes", with_base() + """,
- w AS (SELECT session_id, path, id, ts_ms FROM b WHERE kind='file.write')
- SELECT session_id, path, count(*) AS settled FROM w GROUP BY session_id, path""")
+def run_arrivals(spark, name, arrivals, transform):
+    """Feed each table as an arrival of its own to a query that goes on from its state; all that it put out."""
+    source, sink, checkpoint = (scratch(spark, f"{name}-{n}") for n in ("in", "out", "state"))
+    for rows in arrivals:
+        rows.write.mode("append").parquet(source)
+        stream = transform(spark.readStream.schema(rows.schema).parquet(source))
+        stream.writeStream.format("parquet").option("path", sink).option(
+            "checkpointLocation", checkpoint
+        ).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(sink).where(F.col("session_id") != "end")
+
+
+# A last arrival that moves the watermark past every quiet time.
+END_MS = 1_800_000_000_000
+
+
+@query("t3_stream_settled_writes", with_base() + """ SELECT session_id, path, id||'-2' AS id, (ts_ms+100)::BIGINT AS ts_ms, 'a' AS before_ref, 'd' AS after_ref
+ FROM b WHERE kind='file.write'""")
 def t3_stream_settled_writes(spark, sf_dir):
-    """Each write comes as a burst of three and a later no-op; one of them is kept."""
+    """Each write comes as a burst of three and a later no-op, the middle of the burst first; one row is left."""
     w = bridge.ledger_events(spark, sf_dir).where(F.col("kind") == "file.write").select(
         "session_id", "path", "id", "ts_ms"
     )
-    source, sink, checkpoint = (scratch(spark, n) for n in ("writes", "settled", "settled-state"))
     part = lambda n, ms, before, after: w.select(
         "session_id", "path", F.concat("id", F.lit(f"-{n}")).alias("id"), (F.col("ts_ms") + ms).alias("ts_ms"),
         F.lit(before).alias("before_ref"), F.lit(after).alias("after_ref"),
     )
-    rows = part(0, 0, "a", "b").unionByName(part(1, 50, "b", "c")).unionByName(part(2, 100, "c", "d"))
-    rows = rows.unionByName(part(3, 400, "d", "d"))
-    rows.coalesce(1).write.parquet(source)
-    # A late last row moves the watermark past every quiet time.
-    end = rows.limit(1).select(
+    end = w.limit(1).select(
         F.lit("end").alias("session_id"), F.lit("end").alias("path"), F.lit("end").alias("id"),
-        F.lit(1_800_000_000_000).cast("bigint").alias("ts_ms"), "before_ref", "after_ref",
-    )
-    for more in (None, end):
-        if more is not None:
-            more.write.mode("append").parquet(source)
-        stream = ingest.settled_writes(spark.readStream.schema(rows.schema).parquet(source))
-        stream.writeStream.format("parquet").option("path", sink).option(
-            "checkpointLocation", checkpoint
-        ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(sink).where(F.col("session_id") != "end").groupBy("session_id", "path").agg(
-        F.count(F.lit(1)).alias("settled")
+        F.lit(END_MS).cast("bigint").alias("ts_ms"), F.lit("a").alias("before_ref"), F.lit("b").alias("after_ref"),
     )
+    arrivals = [part(1, 50, "b", "c").unionByName(part(3, 400, "d", "d")), part(0, 0, "a", "b"), part(2, 100, "c", "d"), end]
+    return run_arrivals(spark, "writes", arrivals, lambda s: ingest.settled_writes(s, "40 days"))
 
 
 @query("t4_stream_session_status", with_base(RAW_SQL) + """
  SELECT session_id, CASE WHEN bool_or(rkind='session.end') THEN 'closed' ELSE 'stale' END AS status, max(ts_ms) AS last_ms FROM raw GROUP BY session_id""")
 def t4_stream_session_status(spark, sf_dir):
-    raw = bridge.ledger_drafts(spark, sf_dir).select(
-        "session_id", "kind", F.unix_millis(F.try_to_timestamp("ts")).alias("ts_ms")
+    """Events before and after the middle of the month, then every closed session's first event once more."""
+    raw = settle(bridge.ledger_drafts(spark, sf_dir).select(
+        "session_id", "kind", "ts", F.unix_millis(F.try_to_timestamp("ts")).alias("ts_ms")
+    ), "status-events")
+    rows = raw.drop("ts")
+    ended = rows.where(F.col("kind") == "session.end").select("session_id").distinct()
+    again = rows.join(ended, "session_id", "left_semi").groupBy("session_id").agg(
+        F.lit("file.read").alias("kind"), F.min("ts_ms").alias("ts_ms")
     )
-    source, sink, checkpoint = (scratch(spark, n) for n in ("status-in", "status", "status-state"))
-    raw.coalesce(1).write.parquet(source)
-    late = raw.limit(1).select(
-        F.lit("end").alias("session_id"), F.lit("session.end").alias("kind"),
-        F.lit(1_800_000_000_000).cast("bigint").alias("ts_ms"),
+    end = rows.limit(1).select(
+        F.lit("end").alias("session_id"), F.lit("session.end").alias("kind"), F.lit(END_MS).cast("bigint").alias("ts_ms"),
     )
-    for more in (None, late):
-        if more is not None:
-            more.write.mode("append").parquet(source)
-        stream = ingest.session_status(spark.readStream.schema(raw.schema).parquet(source))
-        stream.writeStream.format("parquet").option("path", sink).option(
-            "checkpointLocation", checkpoint
-        ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(sink).where(F.col("session_id") != "end")
+    arrivals = [raw.where(F.col("ts") < HALF).drop("ts"), raw.where(F.col("ts") >= HALF).drop("ts"), again, end]
+    quiet = 40 * 86_400_000
+    return run_arrivals(spark, "status", arrivals, lambda s: ingest.session_status(s, quiet, "40 days"))
 
 
 @query("t5_stream_facts", with_base(RAW_SQL, VIEW_SQL, VIEW_FACTS) + " SELECT * FROM vf")

@@ -17,16 +17,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ledgerlens.functions.canon import event_body
 from ledgerlens.operators.chain import canonical_docs
-from ledgerlens.operators.cleaning import redact_ledger
+from ledgerlens.operators.cleaning import classify_events, redact_ledger
 from ledgerlens.operators.facts import evaluate
-from ledgerlens.schemas import DRAFT_COLUMNS, payload_view
+from ledgerlens.schemas import DRAFT_COLUMNS, RAW_EVENTS, non_empty, number_at, payload_view, text_at
 from ledgerlens.settings import DEFAULT_PRODUCER, GENESIS, Producer
 
 # Stands for the sequence number until state assigns it; JSON text cannot contain it.
 SLOT = "\u0001"
 DEBOUNCE_MS = 120
 
-_SEALED = "id string, session_id string, seq bigint, prev_hash string, hash string"
+_SEALED = [part.split(" ")[0] for part in RAW_EVENTS.split(", ")]
 
 
 def read_drafts(spark, path: str, schema: str | T.StructType, max_files: int | None = None) -> DataFrame:
@@ -51,27 +51,47 @@ def _chain_session(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState)
 
     seq, head = state.get if state.exists else (0, GENESIS)
     # A micro-batch arrives in any order; (ts, id) makes the chain's order its own.
-    batch = pd.concat(parts).sort_values(["ts", "id"], kind="stable")
-    out = []
-    for id_, before, after in zip(batch["id"], batch["h"], batch["t"]):
-        seq += 1
-        tail = after.replace(SLOT, str(seq))
-        hash_ = hashlib.sha256((head + before + head + tail).encode("utf-8")).hexdigest()
-        out.append((id_, key[0], seq, head, hash_))
-        head = hash_
-    state.update((seq, head))
-    yield pd.DataFrame(out, columns=["id", "session_id", "seq", "prev_hash", "hash"])
+    batch = pd.concat(parts).sort_values(["ts", "id"], kind="stable", ignore_index=True)
+    prevs, hashes = [], []
+    for n, (before, after) in enumerate(zip(batch["h"], batch["t"]), seq + 1):
+        prevs.append(head)
+        tail = after.replace(SLOT, str(n))
+        head = hashlib.sha256((head + before + head + tail).encode("utf-8")).hexdigest()
+        hashes.append(head)
+    state.update((seq + len(batch), head))
+    batch["seq"] = range(seq + 1, seq + len(batch) + 1)
+    batch["prev_hash"], batch["hash"] = prevs, hashes
+    yield batch[_SEALED]
+
+
+def classified(drafts: DataFrame) -> DataFrame:
+    """C7, C8 on drafts: what a recorder has not classified itself is classified before the chain."""
+    stated = ("effect_class", "blast_radius", "reversible")
+    p, s = F.try_parse_json("payload"), F.try_parse_json("snapshot_ref")
+    found = classify_events(
+        drafts.withColumnsRenamed({c: f"_{c}" for c in stated}).withColumns({
+            "command": text_at(p, "$.command"), "bytes_before": number_at(p, "$.bytesBefore"),
+            "before_ref": non_empty(text_at(s, "$.before")), "after_ref": non_empty(text_at(s, "$.after")),
+        })
+    )
+    own = F.col("_effect_class").isNotNull()
+    return found.withColumns(
+        {c: F.when(own, F.col(f"_{c}")).otherwise(F.col(c)) for c in stated}
+    ).select(*drafts.columns)
 
 
 def seal_stream(drafts: DataFrame, exact: bool = True) -> DataFrame:
-    """Redact, canonicalise and chain; one row of hashes per event."""
-    clean = redact_ledger(drafts.select(*DRAFT_COLUMNS)).drop("redaction_count")
-    docs = canonical_docs(clean, exact).withColumn("seq", F.lit(SLOT))
+    """Classify, redact, canonicalise and chain; whole events (schemas.RAW_EVENTS).
+
+    A session's share of one micro-batch is sorted in memory: ``read_drafts(max_files=...)`` bounds it.
+    """
+    clean = redact_ledger(classified(drafts.select(*DRAFT_COLUMNS))).drop("redaction_count")
+    docs = canonical_docs(clean, exact)
     head, tail = event_body()
-    return docs.select("session_id", "id", "ts", head.alias("h"), tail.alias("t")).groupBy(
-        "session_id"
-    ).applyInPandasWithState(
-        _chain_session, _SEALED, "seq bigint, head string", "append", GroupStateTimeout.NoTimeout
+    slotted = docs.withColumn("seq", F.lit(SLOT))
+    bodies = slotted.select(*DRAFT_COLUMNS, head.alias("h"), tail.alias("t"))
+    return bodies.groupBy("session_id").applyInPandasWithState(
+        _chain_session, RAW_EVENTS, "seq bigint, head string", "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -13,7 +13,7 @@ CORE = (
     "c20_output_tails", "c1_canonical_numbers", "c9_normalize_origins", "q12_line_diff", "c19_root_commits",
     "rf_all_ordered", "rf03_by_day", "w2_clock_regression", "w1_verify_tampered_chain", "a13_limitations",
     "a12_degradations", "c7_classify_commands", "c3_redact_texts", "p6_p7_paths", "s1_scan_events",
-    "t2_stream_without_repeats", "t3_stream_settled_writes", "t4_stream_session_status",
+    "t1_stream_chain", "t2_stream_without_repeats", "t3_stream_settled_writes", "t4_stream_session_status",
 )
 NAMES = sorted(entry.oracle_sql()) if os.environ.get("LEDGERLENS_PARITY") == "all" else CORE
 
