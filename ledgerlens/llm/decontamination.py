@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import DOCUMENT_COLUMNS, as_bytes, narrow_batches
+from ledgerlens.llm.common import DOCUMENT_COLUMNS, as_bytes, lean, narrow_batches
 
 WINDOW = 10
 PIECE_WORDS = 4096
@@ -164,7 +164,7 @@ def item_pieces(benchmark: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(parts, pa.string())], ["item", "words"])
 
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").alias("words"))
-    return rows.mapInArrow(cut, "item string, words string")
+    return rows.mapInArrow(lean(cut), "item string, words string")
 
 
 def automata(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES) -> list:
@@ -220,7 +220,7 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
                  pa.array(items, pa.list_(pa.string()))], [f.name for f in schema],
             )
 
-    return rows.mapInArrow(stream, schema)
+    return rows.mapInArrow(lean(stream), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -262,7 +262,7 @@ def decontaminate(
                 list(DOCUMENT_COLUMNS),
             )
 
-    return kept.mapInArrow(cut, schema)
+    return kept.mapInArrow(lean(cut), schema)
 
 
 def without(text: str, spans: list[list[int]]) -> str:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import DOCUMENT_COLUMNS, count_words, narrow_batches
+from ledgerlens.llm.common import DOCUMENT_COLUMNS, count_words, lean, narrow_batches
 from ledgerlens.operators.ordered import attach, hash_salt, ordered_view
 from ledgerlens.settings import settle
 
@@ -212,4 +212,4 @@ def mixed_texts(docs: DataFrame, seed: int = 17) -> DataFrame:
             made = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
             yield pa.RecordBatch.from_pydict({f.name: made.get(f.name, kept.get(f.name)) for f in schema})
 
-    return held.select(*DOCUMENT_COLUMNS, "words").mapInArrow(cut_texts, schema)
+    return held.select(*DOCUMENT_COLUMNS, "words").mapInArrow(lean(cut_texts), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import LOWER, as_bytes, cluster, narrow_batches, runs
+from ledgerlens.llm.common import LOWER, as_bytes, cluster, lean, narrow_batches, runs
 from ledgerlens.operators.components import connected_components
 from ledgerlens.settings import settle
 
@@ -110,7 +110,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint"), "text")
-    return rows.mapInArrow(make, "doc_id bigint, n_shingles bigint, print binary, tokens array<int>")
+    return rows.mapInArrow(lean(make), "doc_id bigint, n_shingles bigint, print binary, tokens array<int>")
 
 
 def _shared_nodes(rows: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def _grouped(rows: DataFrame, keys: list[str], links, schema: str) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(close, schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(close), schema)
 
 
 def _star(ids: np.ndarray, roots: list[int]) -> list[tuple[int, int]]:
@@ -245,7 +245,7 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, percent: int) -> DataF
         sets = [values[a:b] for a, b in zip(offsets, offsets[1:])]
         return _star(ids, cluster(len(ids), exact_links(sets, percent)))
 
-    made = rows.mapInArrow(make, "id bigint, cluster bigint, members bigint, shingles array<bigint>")
+    made = rows.mapInArrow(lean(make), "id bigint, cluster bigint, members bigint, shingles array<bigint>")
     return _grouped(
         in_blocks(made, "cluster", "members", "id").select("cluster", "a", "b", "id", "shingles"),
         ["cluster", "a", "b"], links, "a bigint, b bigint",

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import DOCUMENT_COLUMNS, narrow_batches
+from ledgerlens.llm.common import DOCUMENT_COLUMNS, lean, narrow_batches
 from ledgerlens.settings import settle
 
 DIMENSIONS = 1 << 18
@@ -107,7 +107,7 @@ def feature_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
                 ["doc_id", "grade", "features"],
             )
 
-    return rows.mapInArrow(make, "doc_id bigint, grade int, features array<int>")
+    return rows.mapInArrow(lean(make), "doc_id bigint, grade int, features array<int>")
 
 
 def _logistic(z):
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, rated: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame
         )
 
     # One sort key: all rows of the bounded sample meet in one task.
-    return settle(made.repartition(1).mapInArrow(train, "feature int, weight double"), "quality-model")
+    return settle(made.repartition(1).mapInArrow(lean(train), "feature int, weight double"), "quality-model")
 
 
 def score(docs: DataFrame, model: DataFrame, min_tail: float = MIN_TAIL) -> DataFrame:
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: DataFrame, min_tail: float = MIN_TAIL) -> Data
                 [f.name for f in schema],
             )
 
-    return rows.mapInArrow(predict, schema)
+    return rows.mapInArrow(lean(predict), schema)
 
 
 def rate(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, min_tail: float = MIN_TAIL) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import gathered, narrow_batches
+from ledgerlens.llm.common import gathered, give_back, lean, narrow_batches
 from ledgerlens.llm.tokens import SpaceEncoder, encoder
 from ledgerlens.settings import checkpoint_root
 
@@ -25,7 +25,7 @@ ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 256 << 10
 DICTIONARY_BYTES = 1 << 20
 # Words repeat more in a larger group of texts; its ids leave in smaller batches.
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 6 << 20
 OUT_ROWS = 1024
 
 
@@ -48,10 +48,12 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:
             )
             yield from (coded.slice(i, OUT_ROWS) for i in range(0, n, OUT_ROWS))
             done += n
+            del group, ids, coded
+            give_back()
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema[0].dataType.simpleString()
-    return rows.mapInArrow(ids_of, f"doc_id {kind}, n_tokens bigint, part int, row bigint, ids array<int>")
+    return rows.mapInArrow(lean(ids_of), f"doc_id {kind}, n_tokens bigint, part int, row bigint, ids array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
@@ -94,7 +96,7 @@ def digest(stored: DataFrame) -> DataFrame:
 
     narrow_batches(stored.sparkSession)
     rows = stored.select("doc_id", "part", "row", "ids").mapInArrow(
-        checksums, f"doc_id {kind}, part int, row bigint, n_tokens bigint, ids_crc32 bigint"
+        lean(checksums), f"doc_id {kind}, part int, row bigint, n_tokens bigint, ids_crc32 bigint"
     )
     parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select(
