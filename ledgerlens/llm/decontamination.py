@@ -184,6 +184,15 @@ def automata(benchmark: DataFrame, window: int, block_bytes: int = BLOCK_BYTES)
     return out
 
 
+def find(held: list, words: list[bytes]) -> tuple[list[list[int]], set]:
+    """Hit ranges and items by all of the broadcast automata."""
+    ranges, of = held[0].value.match(words)
+    for other in held[1:]:
+        more, also = other.value.match(words)
+        ranges, of = merge(ranges, more), of | also
+    return ranges, of
+
+
 def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` (columns of documents) with ``n_words``, ``spans`` (hit word
     ranges) and ``items`` (ids with occurring windows).
@@ -203,15 +212,11 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW)
     ).schema
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [h.value for h in held]
         for batch in batches:
             counts, spans, items = [], [], []
             for text in as_bytes(batch.column(at)):
                 words = words_of(text)
-                ranges, of = found[0].match(words)
-                for other in found[1:]:
-                    more, also = other.match(words)
-                    ranges, of = merge(ranges, more), of | also
+                ranges, of = find(held, words)
                 counts.append(len(words))
                 spans.append(ranges)
                 items.append(sorted(i for i in of if i is not None))
@@ -242,32 +247,39 @@ def decontaminate(
     words are more than ``max_coverage`` of its words goes.  Columns are those of
     documents, ``n_chars`` counted anew where a text changed.
     """
-    found = match_documents(docs.select(*DOCUMENT_COLUMNS), benchmark, window)
-    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + F.element_at(s, 2) - F.element_at(s, 1))
-    kept = found.where(hit <= max_coverage * F.col("n_words"))
-    schema = docs.select(*DOCUMENT_COLUMNS).schema
+    narrow_batches(docs.sparkSession)
+    held = automata(benchmark, window)
+    rows = docs.select(*DOCUMENT_COLUMNS)
+    at, chars_at = DOCUMENT_COLUMNS.index("text"), DOCUMENT_COLUMNS.index("n_chars")
+    schema = rows.schema
 
+    # One function matches and cuts, so a task needs one Python worker.
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, chars = [], []
-            for text, spans, n in zip(batch.column(1).to_pylist(), batch.column(6).to_pylist(), batch.column(4).to_pylist()):
+            keep, texts, chars = [], [], []
+            for text, n in zip(as_bytes(batch.column(at)), batch.column(chars_at).to_pylist()):
+                words = words_of(text)
+                spans, _ = find(held, words)
+                keep.append(sum(high - low for low, high in spans) <= max_coverage * len(words))
+                if not keep[-1]:
+                    continue
                 drop = [s for s in spans if s[1] - s[0] >= min_span]
                 if drop:
                     text = without(text, drop)
-                    n = len(text)
+                    n = len(text.decode())
                 texts.append(text)
                 chars.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(texts, pa.string()), batch.column(2), batch.column(3), pa.array(chars, pa.int64())],
-                list(DOCUMENT_COLUMNS),
-            )
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            columns = list(kept.columns)
+            columns[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            columns[chars_at] = pa.array(chars, pa.int64()).cast(kept.schema.field(chars_at).type)
+            yield pa.RecordBatch.from_arrays(columns, list(DOCUMENT_COLUMNS))
 
-    return kept.mapInArrow(lean(cut), schema)
+    return rows.mapInArrow(lean(cut), schema)
 
 
-def without(text: str, spans: list[list[int]]) -> str:
-    """The text without the words of ``spans`` and what stands between those words."""
-    raw = text.encode()
+def without(raw: bytes, spans: list[list[int]]) -> bytes:
+    """The UTF-8 text without the words of ``spans`` and what stands between those words."""
     shown = raw.translate(_WORDS)
     starts, ends, at = [], [], 0
     for w in shown.split():
@@ -280,4 +292,4 @@ def without(text: str, spans: list[list[int]]) -> str:
         out.append(raw[done:starts[low]])
         done = ends[high - 1]
     out.append(raw[done:])
-    return b"".join(out).decode()
+    return b"".join(out)
