@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ class Graph:
     """Extracted tables with the resolution of their repositories.
 
     ``primaries`` holds one elected record per session; ``unreadable`` is one row.
+    Repositories are resolved when a query first asks for them, and once per graph.
     """
 
     records: DataFrame
@@ -31,9 +33,13 @@ class Graph:
     facts: DataFrame
     links: DataFrame
     unreadable: DataFrame
-    resolution: Resolution
+    evidence: DataFrame
     primaries: DataFrame
 
+    @cached_property
+    def resolution(self) -> Resolution:
+        return resolve(self.evidence, derive_directives(self.links))
+
 
 def signals_as_evidence(records: DataFrame, signals: DataFrame) -> DataFrame:
     """Records with their signals gathered back into arrays."""
@@ -67,8 +73,7 @@ def open_graph(
     records: DataFrame, evidence: DataFrame, file_events: DataFrame, facts: DataFrame,
     links: DataFrame, unreadable: DataFrame,
 ) -> Graph:
-    resolution = resolve(evidence, derive_directives(links))
-    return Graph(records, file_events, facts, links, unreadable, resolution, elect_primaries(records))
+    return Graph(records, file_events, facts, links, unreadable, evidence, elect_primaries(records))
 
 
 def _session() -> Column:

@@ -149,7 +149,7 @@ s AS (SELECT concat('u',user_id) AS id, user_id AS number,
 @query("s3_list_sessions", with_base(SESSIONS_SQL) + """
  SELECT id, number, runtime_id, mission, started_at, ended_at, exit_code, cwd FROM s ORDER BY number DESC LIMIT 50""")
 def s3_list_sessions(spark, sf_dir):
-    return list_sessions(bridge.ledger_sessions(spark, sf_dir)).drop("first_ms", "last_ms")
+    return list_sessions(bridge.ledger_sessions(spark, sf_dir), 50).drop("first_ms", "last_ms")
 
 
 @query("o3_latest_session", with_base(SESSIONS_SQL) + " SELECT id, number FROM s ORDER BY number DESC LIMIT 1")

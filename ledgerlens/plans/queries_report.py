@@ -304,7 +304,7 @@ def judged(raw, view):
 def q9_session_index(spark, sf_dir):
     """The fifty newest sessions, judged."""
     raw, view, sessions = report_inputs(spark, sf_dir)
-    return reports.session_index(sessions, view, facts.evaluate(view), judged(raw, view)).select(
+    return reports.session_index(sessions, view, facts.evaluate(view), judged(raw, view), limit=50).select(
         "session_id", "number", "status", "facts_verdict", "fact_count", "closed", "files_changed",
         "commands", "events",
     )
@@ -317,7 +317,7 @@ def q9_session_index(spark, sf_dir):
 def c23_verdicts(spark, sf_dir):
     raw, view, sessions = report_inputs(spark, sf_dir)
     states = settle(judged(raw, view), "judged")
-    index = reports.session_index(sessions, view, facts.evaluate(view), states, limit=None)
+    index = reports.session_index(sessions, view, facts.evaluate(view), states)
     return reports.session_verdicts(index, states.select("session_id", "gaps")).select(
         "session_id", "finding", "finding_tone", "coverage"
     )
@@ -328,7 +328,7 @@ def c23_verdicts(spark, sf_dir):
 def q13_status(spark, sf_dir):
     raw = sealed(spark, sf_dir)
     sessions = bridge.ledger_sessions(spark, sf_dir)
-    return reports.status_report(sessions, raw, chain.verify_chain(raw, exact=False)).select(
+    return reports.status_report(sessions, raw).select(
         "session_id", "number", "open", "events_captured", "intact"
     )
 
@@ -337,7 +337,7 @@ def q13_status(spark, sf_dir):
  SELECT number, coalesce(mission,'(no mission recorded)') AS label, started_at, CASE WHEN ended_at IS NOT NULL THEN last_ms-first_ms END AS duration_ms, ended_at IS NULL AS open
  FROM s ORDER BY number DESC LIMIT 50""")
 def q14_sessions(spark, sf_dir):
-    return reports.session_listing(bridge.ledger_sessions(spark, sf_dir))
+    return reports.session_listing(bridge.ledger_sessions(spark, sf_dir), limit=50)
 
 
 # ---- diffs --------------------------------------------------------------------------
@@ -375,15 +375,23 @@ def j16_diff_inputs(spark, sf_dir):
 
 @query("q12_line_diff", r"""
  WITH d AS (SELECT doc_id, string_split(regexp_replace(text, '\. ', E'.\n', 'g'), E'\n') AS t FROM documents),
- p AS (SELECT a.doc_id::VARCHAR AS path, len(a.t) AS n_after, len(b.t) AS n_before, b.t=a.t AS same FROM d a LEFT JOIN d b ON a.doc_id=b.doc_id+1)
- SELECT path, CASE WHEN same THEN 0 ELSE coalesce(n_before,0) END::BIGINT AS before_lines, CASE WHEN same THEN 0 ELSE n_after END::BIGINT AS after_lines, CASE WHEN same THEN 1 ELSE 0 END::BIGINT AS notes
+ p AS (SELECT a.doc_id::VARCHAR AS path, len(a.t) AS n_after, len(b.t) AS n_before, b.t=a.t AS same,
+   array_to_string(b.t, chr(10)) AS before, array_to_string(a.t, chr(10)) AS after FROM d a LEFT JOIN d b ON a.doc_id=b.doc_id+1)
+ SELECT path, CASE WHEN same THEN 0 ELSE coalesce(n_before,0) END::BIGINT AS before_lines, CASE WHEN same THEN 0 ELSE n_after END::BIGINT AS after_lines, CASE WHEN same THEN 1 ELSE 0 END::BIGINT AS notes,
+   sha256(CASE WHEN same THEN '' ELSE coalesce(before,'') END) AS before_hash, sha256(CASE WHEN same THEN '' ELSE coalesce(after,'') END) AS after_hash
  FROM p""")
 def q12_line_diff(spark, sf_dir):
-    """A diff must use every line of both sides exactly once."""
+    """A diff must use every line of both sides exactly once and rebuild both texts."""
     changes, blobs = document_changes(spark, sf_dir)
     lines = diff.line_diff(diff.diff_inputs(changes, blobs))
+
+    def rebuilt(*ops):
+        side = F.sort_array(F.collect_list(F.when(F.col("op").isin(*ops), F.struct("line_no", "text"))))
+        return F.sha2(F.array_join(F.transform(side, lambda x: x["text"]), "\n").cast("binary"), 256)
+
     return lines.groupBy("path").agg(
         F.count_if(F.col("op").isin(" ", "-")).alias("before_lines"),
         F.count_if(F.col("op").isin(" ", "+")).alias("after_lines"),
         F.count_if(F.col("op") == "note").alias("notes"),
+        rebuilt(" ", "-").alias("before_hash"), rebuilt(" ", "+").alias("after_hash"),
     )

@@ -9,6 +9,7 @@ from ledgerlens.functions.narrate import (
     fact_assumptions, fact_consequence, fact_title, facts_verdict, outcome, summarize, verdict,
 )
 from ledgerlens.functions.paths import basename, display_path
+from ledgerlens.operators.chain import verify_chain
 from ledgerlens.operators.facts import ground_truth
 from ledgerlens.operators.ordered import attach, hash_salt, seq_bucket
 from ledgerlens.schemas import iso_ms, non_empty
@@ -193,11 +194,11 @@ def outcomes(view: DataFrame) -> DataFrame:
 
 
 def session_index(
-    sessions: DataFrame, view: DataFrame, facts: DataFrame, judged: DataFrame, limit: int | None = 50
+    sessions: DataFrame, view: DataFrame, facts: DataFrame, judged: DataFrame, limit: int | None = None
 ) -> DataFrame:
     """One row per session; ``judged`` is ``judge.integrity`` with ``closed``.
 
-    The newest ``limit`` sessions are picked before anything is counted.
+    With ``limit``, the newest sessions are picked before anything is counted.
     """
     newest = sessions if limit is None else sessions.orderBy(F.desc("number")).limit(limit)
     ids = newest.select(F.col("id").alias("session_id"))
@@ -246,12 +247,15 @@ def explain_facts(facts: DataFrame) -> DataFrame:
     )
 
 
-def status_report(sessions: DataFrame, events: DataFrame, chains: DataFrame) -> DataFrame:
-    """Q13: the latest session, how much was captured and whether its chain holds."""
+def status_report(sessions: DataFrame, raw: DataFrame, exact: bool = True) -> DataFrame:
+    """Q13: the latest session, how much was captured and whether its chain holds.
+
+    Only that session's events are checked; ``raw`` is cut to them before anything else.
+    """
     latest = sessions.orderBy(F.desc("number")).limit(1)
-    counted = events.join(
-        latest.select(F.col("id").alias("session_id")), "session_id", "left_semi"
-    ).groupBy("session_id").agg(F.count(F.lit(1)).alias("events_captured"))
+    held = raw.join(latest.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    chains = verify_chain(held, exact)
+    counted = held.groupBy("session_id").agg(F.count(F.lit(1)).alias("events_captured"))
     return (
         latest.withColumnRenamed("id", "session_id").join(counted, "session_id", "left")
         .join(chains.select("session_id", "intact", "events_checked", "broken_at", "reason"), "session_id", "left")
@@ -263,10 +267,12 @@ def status_report(sessions: DataFrame, events: DataFrame, chains: DataFrame) ->
     )
 
 
-def session_listing(sessions: DataFrame, limit: int = 50) -> DataFrame:
-    """Q14: newest sessions with mission, start and duration, or open."""
+def session_listing(sessions: DataFrame, limit: int | None = None) -> DataFrame:
+    """Q14: sessions, newest first, with mission, start and duration, or open."""
     ms = lambda c: F.unix_millis(F.try_to_timestamp(c))
-    newest = sessions.orderBy(F.desc("number")).limit(limit)
+    newest = sessions.orderBy(F.desc("number"))
+    if limit is not None:
+        newest = newest.limit(limit)
     return newest.select(
         "number", F.coalesce("mission", F.lit("(no mission recorded)")).alias("label"), "started_at",
         (ms(F.col("ended_at")) - ms(F.col("started_at"))).alias("duration_ms"),
@@ -279,7 +285,7 @@ def session_report(
     blobs: DataFrame | None = None, producer: Producer = DEFAULT_PRODUCER,
 ) -> dict[str, DataFrame]:
     """Q8: all report tables; filter any of them by session for one report."""
-    index = session_index(sessions, view, facts, judged, limit=None)
+    index = session_index(sessions, view, facts, judged)
     git, commits = git_view(view)
     replay = timeline(view, sessions, facts)
     return {

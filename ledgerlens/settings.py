@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
+import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -49,13 +53,30 @@ DEFAULT_PRODUCER = Producer()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, as the cluster configures it."""
+    """This application's folder for intermediate tables, below the cluster's shared one.
+
+    A local session without ``spark.checkpoint.dir`` gets a folder that ends with the process.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return "/tmp/ledgerlens-checkpoints"
-    raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
+        root = _own_folder()
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+@functools.cache
+def _own_folder() -> str:
+    folder = tempfile.mkdtemp(prefix="ledgerlens-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_root(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

@@ -34,16 +34,21 @@ def scan_events(
     if until:
         out = out.where(F.col("ts") <= until)
     out = out.orderBy("session_id", "seq")
-    return out.limit(limit) if limit else out
+    if limit is None:
+        return out
+    if limit < 1:
+        raise ValueError("limit must be a positive number")
+    return out.limit(limit)
 
 
 def session_by_number(sessions: DataFrame, number: int) -> DataFrame:
     return sessions.where(F.col("number") == number)
 
 
-def list_sessions(sessions: DataFrame, limit: int = 50) -> DataFrame:
-    """S3: the newest sessions by number."""
-    return sessions.orderBy(F.desc("number")).limit(limit)
+def list_sessions(sessions: DataFrame, limit: int | None = None) -> DataFrame:
+    """S3: sessions, newest number first; the newest ``limit`` of them where it is given."""
+    newest = sessions.orderBy(F.desc("number"))
+    return newest if limit is None else newest.limit(limit)
 
 
 def latest_session(sessions: DataFrame) -> DataFrame:

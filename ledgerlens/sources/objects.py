@@ -11,6 +11,8 @@ from ledgerlens.operators.record import build_records, check_records
 from ledgerlens.settings import DEFAULT_PRODUCER, MAX_OBJECT_BYTES, Producer, settle
 
 RESULT = "source string, kind string, object_id string, status string, errors array<string>"
+#: Rows of one stored file; longer appends write more files.
+FILE_ROWS = 100_000
 OBJECT_NAME = r"/([0-9a-f]{2})/([0-9a-f]{64})\.(record|link)\.json\z"
 
 
@@ -24,14 +26,16 @@ def embedded_record(html: Column, producer: Producer = DEFAULT_PRODUCER) -> Colu
 
 def read_object_files(
     spark: SparkSession, path: str, producer: Producer = DEFAULT_PRODUCER,
-    max_bytes: int = MAX_OBJECT_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """``source, doc, errors`` for every file below ``path``.
 
-    The size bound is tested on the file listing, so an oversized file is never read.
+    Where ``max_bytes`` is given it is tested on the file listing, so an oversized file is
+    refused without being read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    too_big = files.where(F.col("length") > max_bytes).select(
+    fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    too_big = files.where(~fits).select(
         F.col("path").alias("source"), F.lit(None).cast("string").alias("doc"),
         F.array(F.concat(
             F.lit("file is "), F.col("length").cast("string"),
@@ -41,7 +45,7 @@ def read_object_files(
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
     is_html = F.col("source").rlike(r"(?i)\.html?\z") | F.col("text").rlike(r"^\s*<")
     embedded = embedded_record(F.col("text"), producer)
-    read = files.where(F.col("length") <= max_bytes).select(
+    read = files.where(fits).select(
         F.col("path").alias("source"), text.alias("text")
     ).select(
         "source",
@@ -122,8 +126,11 @@ def verify_objects(
 class ObjectStore:
     """A write-once store: one Parquet table per object kind, partitioned by id prefix."""
 
-    def __init__(self, spark: SparkSession, root: str, producer: Producer = DEFAULT_PRODUCER):
-        self.spark, self.root, self.producer = spark, root.rstrip("/"), producer
+    def __init__(
+        self, spark: SparkSession, root: str, producer: Producer = DEFAULT_PRODUCER, max_bytes: int | None = None,
+    ):
+        """Objects above ``max_bytes`` are refused where it is given."""
+        self.spark, self.root, self.producer, self.max_bytes = spark, root.rstrip("/"), producer, max_bytes
 
     def objects(self, kind: str) -> DataFrame:
         """``object_id, doc, prefix`` of every stored object."""
@@ -153,13 +160,16 @@ class ObjectStore:
         )
         size = F.octet_length("doc")
         stored = self.objects(kind).select(F.col("object_id").alias(id_col), F.lit(True).alias("stored"))
-        first = F.row_number().over(Window.partitionBy(id_col, "ok").orderBy("source")) == 1
+        # Refused objects have no id that counts: each is a group of its own.
+        one = F.when(F.col("ok"), F.col(id_col)).otherwise(F.col("source"))
+        first = F.row_number().over(Window.partitionBy(one, "ok").orderBy("source")) == 1
+        too_big = F.lit(False) if self.max_bytes is None else F.coalesce(size > self.max_bytes, F.lit(False))
         judged = with_doc.join(stored, id_col, "left").withColumns({
-            "first": F.when(F.col("ok"), first).otherwise(True), "too_big": size > MAX_OBJECT_BYTES,
+            "first": F.when(F.col("ok"), first).otherwise(True), "too_big": too_big,
         })
         bound = F.array(F.concat(
             F.lit(f"{kind} is "), size.cast("string"),
-            F.lit(f" bytes; the ingestion bound is {MAX_OBJECT_BYTES}"),
+            F.lit(f" bytes; the ingestion bound is {self.max_bytes}"),
         ))
         outcome = settle(judged.select(
             "source", F.lit(kind).alias("kind"), F.col(id_col).alias("object_id"),
@@ -176,8 +186,14 @@ class ObjectStore:
         return outcome.select("source", "kind", "object_id", "status", "errors")
 
     def _append(self, kind: str, rows: DataFrame) -> None:
-        # One writer task per id prefix: 256 files an append, not one per task and prefix.
-        rows.repartition("prefix").write.mode("append").partitionBy("prefix").parquet(f"{self.root}/{kind}s")
+        # As many writers as the shuffle has partitions, and files of bounded length.
+        spread = F.pmod(F.xxhash64("object_id"), F.lit(self.writers_per_prefix()))
+        placed = rows.repartition("prefix", spread).write.option("maxRecordsPerFile", FILE_ROWS)
+        placed.mode("append").partitionBy("prefix").parquet(f"{self.root}/{kind}s")
+
+    def writers_per_prefix(self) -> int:
+        """Ids have 256 prefixes; with more shuffle partitions than those, each prefix gets several writers."""
+        return -(-int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 256)
 
     def add_records(self, objects: DataFrame, exact: bool = True) -> DataFrame:
         """``source, doc`` rows to ``source, kind, object_id, status, errors``."""
