@@ -4,17 +4,20 @@ Documents are sets of word shingles.  In each of several independent trees a doc
 goes down the branches named by a few of its minwise tokens, the positions being chosen
 by the path so far; documents of similarity ``s`` share each branch with probability
 ``s``.  A node that holds one document ends, a small node is compared exhaustively, a
-large one branches again.  Candidates are then confirmed on full shingle sets, and
-confirmed links are closed to groups.
+large one branches again.  Pairs of a leaf whose tokens agree often enough are candidates,
+which are then confirmed on full shingle sets, and confirmed links are closed to groups.
 
 With two branches a level and similarity 0.8, a pair is missed by one tree of three
-levels with probability under 0.06 (0.04 at the root, where small nodes already end),
-so eight trees miss about one pair in ten thousand million; see ``miss_probability``.
+levels with probability under 0.06 (0.04 at the root, where small nodes already end).
+No two branches of a tree and no two trees read the same token, so eight trees miss about
+1.5 pairs in ten thousand million.  A pair at the threshold has too few agreeing tokens
+with a probability of at most ``FILTER_MISS``; ``miss_probability`` adds both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +29,16 @@ from ledgerlens.operators.components import connected_components
 from ledgerlens.settings import settle
 
 SHINGLE = 5
-POSITIONS = 64
 TREES = 8
 BRANCHES = 2
 LEVELS = 3
+#: Every branch of every tree has a minwise token of its own.
+TREE_TOKENS = sum(BRANCHES**k for k in range(1, LEVELS + 1))
+POSITIONS = TREES * TREE_TOKENS
 SMALL_NODE = 256
 BLOCK = 1024
-#: Candidates are pairs whose signatures agree at the threshold less this much.
-MARGIN = 0.2
+#: Highest chance that a pair at the threshold agrees in too few tokens to be a candidate.
+FILTER_MISS = 1e-10
 BROADCAST_IDS = 2_000_000
 MEMO = 250_000
 
@@ -42,12 +47,28 @@ _FACTORS = _rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) +
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 2**64) for k in range(SHINGLE - 1, -1, -1)], dtype=np.uint64)
 
 
-def miss_probability(similarity: float, trees: int = TREES, branches: int = BRANCHES, levels: int = LEVELS) -> float:
-    """Chance that no tree keeps a pair together down to its leaves."""
+def filter_miss(similarity: float, need: int) -> float:
+    """Chance that a pair agrees in fewer than ``need`` of its tokens."""
+    return sum(comb(POSITIONS, k) * similarity**k * (1 - similarity) ** (POSITIONS - k) for k in range(need))
+
+
+def needed(threshold: float) -> int:
+    """Tokens in which candidates agree: as many as lose a pair at the threshold with ``FILTER_MISS`` at most."""
+    need = 0
+    while need < POSITIONS and filter_miss(threshold, need + 1) <= FILTER_MISS:
+        need += 1
+    return need
+
+
+def miss_probability(
+    similarity: float, trees: int = TREES, branches: int = BRANCHES, levels: int = LEVELS, threshold: float | None = None,
+) -> float:
+    """Upper bound of the chance that a pair is lost: no tree keeps it together down to its
+    leaves, or it agrees in too few tokens for ``threshold`` (the similarity itself if not given)."""
     lost = 0.0
     for _ in range(levels):
         lost = (1 - similarity + similarity * lost) ** branches
-    return lost**trees
+    return lost**trees + filter_miss(similarity, needed(similarity if threshold is None else threshold))
 
 
 class Shingles:
@@ -123,11 +144,16 @@ def leaves(representatives: DataFrame) -> DataFrame:
     """``node, members, id, tokens`` of every node that is to be compared.
 
     ``representatives`` has ``id, tokens``.  Nodes are narrow rows (node, id) until they
-    are known to hold two documents.
+    are known to hold two documents.  The tokens of a tree are laid out as a heap: a branch
+    that read token ``k`` of its tree is followed by ``BRANCHES * (k + 1)`` and the next ones.
     """
-    roots = representatives.select("id", F.posexplode(F.slice("tokens", 1, TREES * BRANCHES)).alias("at", "token"))
+    tree, k = F.floor(F.col("at") / F.lit(TREE_TOKENS)), F.col("at") % F.lit(TREE_TOKENS)
+    starts = [t * TREE_TOKENS + b for t in range(TREES) for b in range(BRANCHES)]
+    roots = representatives.select("id", "tokens", F.explode(F.array(*map(F.lit, starts))).alias("at")).select(
+        "id", "at", F.element_at("tokens", F.col("at") + 1).alias("token")
+    )
     first = settle(
-        _shared_nodes(roots.select(F.xxhash64("at", "token").alias("node"), "id")), "paths-1"
+        _shared_nodes(roots.select(F.xxhash64("at", "token").alias("node"), "id", "at")), "paths-1"
     ).join(representatives, "id")
     live = first
     out = None
@@ -138,10 +164,10 @@ def leaves(representatives: DataFrame) -> DataFrame:
         if level == LEVELS:
             break
         large = live.where(F.col("members") > SMALL_NODE)
-        branch = F.explode(F.sequence(F.lit(1), F.lit(BRANCHES)))
-        down = large.select("id", "tokens", "node", branch.alias("b")).withColumn(
-            "at", F.pmod(F.xxhash64("node", "b"), F.lit(POSITIONS)).cast("int") + 1
-        ).select("id", "tokens", F.xxhash64("node", "at", F.element_at("tokens", F.col("at"))).alias("node")).distinct()
+        branch = F.explode(F.sequence(F.lit(0), F.lit(BRANCHES - 1)))
+        down = large.select("id", "tokens", "node", "at", branch.alias("b")).withColumn(
+            "at", (tree * TREE_TOKENS + BRANCHES * (k + 1) + F.col("b")).cast("int")
+        ).select("id", "tokens", "at", F.xxhash64("node", "at", F.element_at("tokens", F.col("at") + 1)).alias("node"))
         live = settle(_shared_nodes(down), f"paths-{level + 1}")
         if live.isEmpty():
             break
@@ -185,7 +211,7 @@ def _star(ids: np.ndarray, roots: list[int]) -> list[tuple[int, int]]:
 
 def candidate_links(nodes: DataFrame, threshold: float) -> DataFrame:
     """Compare the members of every node by their minwise tokens; stars instead of pairs."""
-    need = int(np.ceil((threshold - MARGIN) * POSITIONS))
+    need = needed(threshold)
 
     def links(group: pa.Table) -> list[tuple[int, int]]:
         ids = group.column("id").combine_chunks().to_numpy()
