@@ -3,6 +3,7 @@
 Per host, paths are read segment by segment.  A segment stays literal where it recurs
 and its labelled pages differ, statistically, from the rest of its branch; all others
 share one wildcard branch.  A template is judged by the smoothed share of bad labels.
+A branch is followed as deep as its labels are mixed; below that no segment can differ.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
+#: Tails without mixed labels are spelled out up to this segment.
 DEPTH = 8
 MIN_PAGES = 5
-MIN_SHARE = 0.01
 DIFFERENT = 1.96
 PRIOR_PAGES = 5.0
 BAD_SHARE = 0.5
@@ -56,33 +57,43 @@ def paths(pages: DataFrame) -> DataFrame:
 
 
 def templates(distinct: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``host, path, template``.  Segments beyond ``depth`` are one ``**`` segment."""
+    """``host, path, template``.
+
+    Each round reads one more segment of the paths in branches that hold good and bad
+    labels, for as many rounds as there are such branches.  In any other branch nothing
+    can differ statistically: its segments are wildcards, those beyond ``depth`` one ``**``.
+    """
     parts = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.substring(F.col("path"), 2, 1 << 30), "/", -1))
-    rows = distinct.withColumn("parts", parts).withColumn(
-        "parts", F.when(F.size("parts") > depth, F.concat(F.slice("parts", 1, depth), F.array(F.lit("**")))).otherwise(F.col("parts"))
-    ).withColumn("template", F.lit(""))
-    rows = settle(rows, "url-paths")
-    levels = rows.agg(F.max(F.size("parts"))).first()[0] or 0
-    for i in range(levels):
-        live = rows.withColumn("part", F.get("parts", F.lit(i)))
+    names = ["host", "path", "pages", "labelled", "bad", "template"]
+    rows = settle(distinct.withColumn("parts", parts).withColumn("template", F.lit("")), "url-paths")
+    out, live, i = rows.where(F.size("parts") == 0).select(*names), rows.where(F.size("parts") > 0), 0
+    while not live.isEmpty():
+        live = live.withColumn("part", F.get("parts", F.lit(i)))
         sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
-        child = live.where("part IS NOT NULL").groupBy("host", "template", "part").agg(*sums)
+        child = live.groupBy("host", "template", "part").agg(*sums)
         node = child.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "bad")])
-        both = attach(child, node, ["host", "template"], hash_salt("part"))
+        mixed = node.where((F.col("all_pages") >= MIN_PAGES) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_labelled")))
+        both = attach(child, mixed, ["host", "template"], hash_salt("part"), "inner")
         rest_labelled, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
         pooled = F.try_divide("all_bad", "all_labelled")
         own, rest = F.try_divide("bad", "labelled"), F.try_divide(rest_bad, rest_labelled)
-        parts = F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_labelled)
-        apart = F.abs(own - rest) > DIFFERENT * F.sqrt(pooled * (1 - pooled) * parts)
+        inverse = F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_labelled)
+        apart = F.abs(own - rest) > DIFFERENT * F.sqrt(pooled * (1 - pooled) * inverse)
         literal = both.where(
-            (F.col("pages") >= MIN_PAGES) & (F.col("pages") >= MIN_SHARE * F.col("all_pages"))
-            & (F.col("labelled") > 0) & (rest_labelled > 0) & apart
+            (F.col("pages") >= MIN_PAGES) & (F.col("labelled") > 0) & (rest_labelled > 0) & apart
         ).select("host", "template", "part", F.lit(True).alias("literal"))
-        marked = attach(live, literal, ["host", "template", "part"], hash_salt("path"))
-        step = F.when(F.col("part").isNull(), "").when(F.col("literal"), F.concat(F.lit("/"), "part")).when(
-            F.col("part") == "**", "/**").otherwise("/*")
-        rows = settle(marked.withColumn("template", F.concat("template", step)).select(*rows.columns), "url-templates")
-    return rows.select("host", "path", "pages", "labelled", "bad", "template")
+        opened = attach(live, mixed.select("host", "template", F.lit(True).alias("open")), ["host", "template"], hash_salt("path"))
+        marked = attach(opened, literal, ["host", "template", "part"], hash_salt("path"))
+        left = F.size("parts")
+        tail = F.when(left <= depth, F.repeat(F.lit("/*"), left - i)).otherwise(F.lit("/*" * max(0, depth - i) + "/**"))
+        step = F.when(F.col("open").isNull(), tail).when(F.col("literal"), F.concat(F.lit("/"), "part")).otherwise("/*")
+        i += 1
+        rows = settle(marked.withColumns({
+            "template": F.concat("template", step), "ended": F.col("open").isNull() | (left == i),
+        }).select(*names, "parts", "ended"), "url-templates")
+        out = out.unionByName(rows.where("ended").select(*names))
+        live = rows.where("NOT ended").drop("ended")
+    return out
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
