@@ -20,7 +20,7 @@ from ledgerlens.schemas import (
     array_at, class_of, is_object_at, number_at, number_text, payload_view, text_at, variant_at,
 )
 from ledgerlens.settings import (
-    DEFAULT_PRODUCER, FACT_CATALOG, FORMAT_VERSION, GENESIS, MAX_OBJECT_BYTES, Producer, settle,
+    DEFAULT_PRODUCER, FACT_CATALOG, FORMAT_VERSION, GENESIS, Producer, settle,
 )
 
 HEX64 = r"^[0-9a-f]{64}(?![\s\S])"
@@ -90,13 +90,13 @@ def _json_list(name: str) -> Column:
 
 def build_records(
     raw: DataFrame, sessions: DataFrame, producer: Producer = DEFAULT_PRODUCER,
-    exact: bool = True, max_bytes: int = MAX_OBJECT_BYTES, facts: DataFrame | None = None,
+    exact: bool = True, max_bytes: int | None = None, facts: DataFrame | None = None,
 ) -> DataFrame:
     """One canonical document per session, with its content address.
 
-    A record is one value, so its session is gathered.  Sessions whose events alone
-    exceed the object bound are measured first and come back with ``doc`` null and
-    status ``oversize``; a store refuses such objects in any case.
+    A record is one value, so its session is gathered.  Where ``max_bytes`` is given,
+    sessions whose events alone exceed it come back with ``doc`` null and status
+    ``oversize``.
     """
     docs = canonical_docs(raw, exact).withColumn("json", event_json())
     # Facts, notes and chain read typed columns only; payloads are parsed once.
@@ -105,8 +105,10 @@ def build_records(
         F.count(F.lit(1)).alias("count"),
         (F.sum(F.octet_length("json")) + F.count(F.lit(1))).alias("bytes"),
     )
-    fits = sizes.where(F.col("bytes") <= max_bytes).select("session_id")
-    kept = attach(docs.select("session_id", "seq", "json"), fits, ["session_id"], seq_bucket(), "inner")
+    kept = docs.select("session_id", "seq", "json")
+    if max_bytes is not None:
+        fits = sizes.where(F.col("bytes") <= max_bytes).select("session_id")
+        kept = attach(kept, fits, ["session_id"], seq_bucket(), "inner")
     listed = F.array_sort(F.collect_list(F.struct("seq", "json")))
     events = kept.groupBy("session_id").agg(
         F.array_join(F.transform(listed, lambda x: x["json"]), ",").alias("events")

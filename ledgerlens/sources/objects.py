@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.canon import canonical_json
 from ledgerlens.operators.links import check_links, dangling_links
 from ledgerlens.operators.record import build_records, check_records
-from ledgerlens.settings import DEFAULT_PRODUCER, MAX_OBJECT_BYTES, Producer, settle
+from ledgerlens.settings import DEFAULT_PRODUCER, Producer, settle
 
 RESULT = "source string, kind string, object_id string, status string, errors array<string>"
 #: Rows of one stored file; longer appends write more files.
@@ -214,7 +214,7 @@ class ObjectStore:
             F.lit("skipped-open").alias("status"), F.array().cast("array<string>").alias("errors"),
         )
         events = raw.join(wanted.select(F.col("id").alias("session_id")), "session_id", "left_semi")
-        sealed = build_records(events, wanted, self.producer, exact)
+        sealed = build_records(events, wanted, self.producer, exact, self.max_bytes)
         docs = settle(sealed.select(
             F.concat(F.lit("session #"), F.col("session_number").cast("string")).alias("source"),
             F.col("doc"), "session_id",
@@ -222,7 +222,7 @@ class ObjectStore:
         oversize = docs.where(F.col("doc").isNull()).select(
             "source", F.lit("record").alias("kind"), F.lit(None).cast("string").alias("object_id"),
             F.lit("refused").alias("status"),
-            F.array(F.lit(f"session exceeds the ingestion bound of {MAX_OBJECT_BYTES} bytes")).alias("errors"),
+            F.array(F.lit(f"session exceeds the ingestion bound of {self.max_bytes} bytes")).alias("errors"),
         )
         added = self.add_records(docs.where(F.col("doc").isNotNull()).select("source", "doc"), exact)
         return added.unionByName(oversize).unionByName(skipped)
