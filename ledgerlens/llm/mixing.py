@@ -1,11 +1,11 @@
-"""Mixing sources to target weights: blocks, multinomial shards, permuted indices.
+"""Mixing sources to target weights: blocks, fixed quotas, permuted indices.
 
 Every source's documents are packed end to end and cut into blocks of a fixed number
-of words.  A source gets as many slots as its target asks for.  Each slot falls into
-an output shard by a uniform draw of its own, so the source counts of a shard are a
-multinomial draw whose totals are fixed.  Slot ``i`` of a source takes the block whose
-place in the source's pseudorandom permutation is ``i``; a source that is taken more
-than once runs through its blocks again.  Slots and blocks meet in one join by index.
+of words.  A source gets a fixed quota of slots, as many as its target asks for; source
+counts are not drawn.  Each slot also has a pseudorandom shard, which the mix by documents
+below does not read.  Slot ``i`` of a source takes the block whose place in the source's
+pseudorandom permutation is ``i``; a source that is taken more than once runs through its
+blocks again.  Slots and blocks meet in one join by index.
 """
 
 from __future__ import annotations
