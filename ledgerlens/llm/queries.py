@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    chat, decontamination, mixing, near_duplicates, quality, sharding, token_counts, token_files, url_templates, vectors,
+    chat, decontamination, mixing, near_duplicates, periodic_runs, quality, sharding, token_counts, token_files, twins,
+    url_templates, vectors,
 )
 from ledgerlens.llm.common import table
 
@@ -134,3 +135,9 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and position of every document."""
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs", twins.RUNS)
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, one in ten made periodic, and the text without repeated periods."""
+    return periodic_runs.summaries(periodic_runs.scan(table(spark, sf_dir, "documents"), plant=True))
