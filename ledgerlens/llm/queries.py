@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    chat, decontamination, mixing, near_duplicates, periodic_runs, quality, sharding, token_counts, token_files, twins,
-    url_templates, vectors,
+    chat, decontamination, mixing, near_duplicates, periodic_runs, prefix_trie, quality, sharding, token_counts,
+    token_files, twins, url_templates, vectors,
 )
 from ledgerlens.llm.common import table
 
@@ -141,3 +141,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document, one in ten made periodic, and the text without repeated periods."""
     return periodic_runs.summaries(periodic_runs.scan(table(spark, sf_dir, "documents"), plant=True))
+
+
+@query("op12_prefix_trie", twins.TRIE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared prefix of the rebuilt conversations."""
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))

@@ -35,3 +35,23 @@ c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM e ANTI JOIN x
 SELECT r.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, CAST(1000 * l // q AS BIGINT) AS exponent_milli,
   sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM r LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
+TRIE = f"""
+WITH t AS (SELECT conv_id, coalesce(role,'') AS role, coalesce(text,'') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role,''), coalesce(text,'')) - 1 AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {crc32('conv_id')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+o AS (SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND i < h
+  UNION ALL SELECT conv_id, i + 1000000000, role, text FROM c JOIN t USING (conv_id) WHERE i >= h),
+p AS (SELECT conv_id, coalesce(w, []) AS w FROM c LEFT JOIN
+  (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY i) AS w FROM o GROUP BY conv_id) USING (conv_id)),
+m AS (SELECT conv_id, len(w) AS n, d, w[1:d] AS path FROM (SELECT conv_id, w, unnest(range(0, len(w) + 1)) AS d FROM p)),
+v AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, max(n) = d AS childless,
+  string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d) AS ends,
+  CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(path[d].text, '[^\\x20\\x09-\\x0D]+')) END AS words FROM m GROUP BY path, d),
+u AS (SELECT path[1:k] AS path, sum((n_convs - 1) * words) AS saved, count(*) FILTER (childless) AS leaves,
+  count(*) FILTER (d = k + 1) AS children
+  FROM (SELECT path, d, n_convs, words, childless, unnest(range(0, d + 1)) AS k FROM v) GROUP BY ALL)
+SELECT v.conv_id, v.d AS depth, x.conv_id AS parent_conv_id, v.n_convs, children AS n_children, leaves AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN u USING (path) LEFT JOIN v x ON v.d > 0 AND x.d = v.d - 1 AND x.path = v.path[1:v.d-1]"""
