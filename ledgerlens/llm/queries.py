@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import (
-    chat, decontamination, mixing, near_duplicates, periodic_runs, prefix_trie, quality, sharding, token_counts,
-    token_files, twins, url_templates, vectors,
+    chat, decontamination, mixing, near_duplicates, notices, periodic_runs, prefix_trie, quality, sharding,
+    token_counts, token_files, twins, url_templates, vectors,
 )
 from ledgerlens.llm.common import table
 
@@ -147,3 +147,9 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every shared prefix of the rebuilt conversations."""
     return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_license_scan", twins.notices_sql(notices.notices()))
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return notices.licenses(table(spark, sf_dir, "documents"))

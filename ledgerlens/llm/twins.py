@@ -41,7 +41,7 @@ WITH t AS (SELECT conv_id, coalesce(role,'') AS role, coalesce(text,'') AS text,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role,''), coalesce(text,'')) - 1 AS i
   FROM conversations WHERE conv_id IS NOT NULL),
 c AS (SELECT conv_id, {crc32('conv_id')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
-o AS (SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND i < h
+o AS MATERIALIZED (SELECT c.conv_id, i, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND i < h
   UNION ALL SELECT conv_id, i + 1000000000, role, text FROM c JOIN t USING (conv_id) WHERE i >= h),
 p AS (SELECT conv_id, coalesce(w, []) AS w FROM c LEFT JOIN
   (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY i) AS w FROM o GROUP BY conv_id) USING (conv_id)),
@@ -55,3 +55,36 @@ u AS (SELECT path[1:k] AS path, sum((n_convs - 1) * words) AS saved, count(*) FI
 SELECT v.conv_id, v.d AS depth, x.conv_id AS parent_conv_id, v.n_convs, children AS n_children, leaves AS n_leaves,
   CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
 FROM v JOIN u USING (path) LEFT JOIN v x ON v.d > 0 AND x.d = v.d - 1 AND x.path = v.path[1:v.d-1]"""
+
+
+def notices_sql(known) -> str:
+    """All spans of whole words within the edits of a notice, by edit distance alone.
+
+    The distance is computed where lengths and counts of letters leave room for it.
+    """
+    rows = ", ".join(f"('{n.text}', '{n.label}', {n.base}, {n.edits})" for n in known)
+    lower = "translate(coalesce(text,''),'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz')"
+    letters = "eiotsnrc"
+    widest = max(len(n.text.split()) + n.edits for n in known)
+    counts = [f"length(replace({{0}}, '{x}', '')) AS {{1}}{x}" for x in letters]
+    apart = " + ".join(f"abs(s.length - s.s{x} - k.m + k.k{x})" for x in letters)
+    return rf"""
+WITH k AS (SELECT *, length(notice) AS m, len(string_split(notice, ' ')) AS nw, {", ".join(c.format("notice", "k") for c in counts)}
+  FROM (VALUES {rows}) AS t(notice, label, base, edits)),
+w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+c AS (SELECT DISTINCT m + e AS length, c FROM (SELECT m, unnest(range(-edits, edits + 1)) AS e, unnest AS c
+  FROM k, unnest(range(greatest(1, nw - edits), nw + edits + 1)))),
+o AS MATERIALIZED (SELECT doc_id, o, w[o+1:o+64+{widest}] AS w, greatest(0, len(w) - o) AS n FROM (SELECT doc_id, w, unnest(range(0, len(w), 64)) AS o FROM w)),
+i AS MATERIALIZED (SELECT doc_id, w, n, o, unnest(range(1, least(64, n) + 1)) AS i FROM o),
+s AS MATERIALIZED (SELECT *, length(s) AS length, {", ".join(c.format("s", "s") for c in counts)}
+  FROM (SELECT doc_id, o + i AS i, c, array_to_string(w[i:i+c-1], ' ') AS s FROM i, (SELECT DISTINCT c FROM c) WHERE i + c - 1 <= n)
+  WHERE (length(s), c) IN (SELECT (length, c) FROM c)),
+f AS (SELECT doc_id, i - 1 AS i, notice, label, base, m, edits, levenshtein(s.s, notice) AS e
+  FROM s JOIN k ON s.length BETWEEN m - edits AND m + edits AND c BETWEEN nw - edits AND nw + edits AND {apart} <= 2 * edits),
+d AS (SELECT doc_id, count(*) FILTER (base AND e = 0) AS n_base, min(i) FILTER (base AND e = 0) AS first_word,
+  max(i) FILTER (base AND e = 0) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND e = 0) AS base_labels,
+  string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(1.0::DOUBLE - e / m::DOUBLE) AS score
+  FROM f WHERE e <= edits GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM w LEFT JOIN d USING (doc_id)"""
