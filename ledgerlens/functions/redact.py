@@ -193,6 +193,12 @@ def _steps():
 
 
 _LITERAL = re.compile(r'"((?:[^"\\]|\\.)*)"(\s*:)?', re.S)
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def _quoted(value: str) -> str:
+    """A JSON string; halves of surrogate pairs, which have no UTF-8, stay escapes."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", json.dumps(value, ensure_ascii=False))
 
 
 def _redact_string(value: str) -> tuple[str, int]:
@@ -233,7 +239,7 @@ def _redact_document(text: str) -> tuple[str, int]:
         if m[2] is None:
             value, n = _redact_string(value)
             total += n
-        out.append(json.dumps(value, ensure_ascii=False) + (":" if m[2] else ""))
+        out.append(_quoted(value) + (":" if m[2] else ""))
     out.append("".join(text[at:].split()))
     return "".join(out), total
 

@@ -395,3 +395,29 @@ def q12_line_diff(spark, sf_dir):
         F.count_if(F.col("op") == "note").alias("notes"),
         rebuilt(" ", "-").alias("before_hash"), rebuilt(" ", "+").alias("after_hash"),
     )
+
+
+@query("q12_odd_bytes", """
+ WITH d AS (SELECT doc_id, replace(text, chr(10), ' ') || chr(10) || CASE WHEN doc_id%3=0 THEN 'caf' || chr(65533) ELSE 'plain' END AS t FROM documents),
+ p AS (SELECT a.doc_id, a.t AS a, b.t AS b FROM d a LEFT JOIN d b ON a.doc_id=b.doc_id+1)
+ SELECT doc_id::VARCHAR AS path, CASE WHEN a=b THEN 'note' WHEN b IS NULL THEN '++' WHEN string_split(a,chr(10))[1]=string_split(b,chr(10))[1] THEN ' -+'
+   WHEN string_split(a,chr(10))[2]=string_split(b,chr(10))[2] THEN '-+ ' ELSE '--++' END AS ops,
+   coalesce(contains(a, chr(65533)) AND a IS DISTINCT FROM b, false) AS replaced FROM p""")
+def q12_odd_bytes(spark, sf_dir):
+    """Every third blob ends in a byte that is no UTF-8; all changes still get their diff."""
+    docs = bridge.load(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    text = F.concat(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n"))
+    odd = F.when(F.col("doc_id") % 3 == 0, F.unhex(F.lit("636166E9"))).otherwise(F.lit(b"plain"))
+    rows = docs.select("doc_id", F.concat(text.cast("binary"), odd).alias("content")).withColumn("ref", F.sha2("content", 256))
+    blobs = rows.select("ref", F.octet_length("content").cast("bigint").alias("length"), "content").dropDuplicates(["ref"])
+    before = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("ref").alias("before_ref"))
+    changes = rows.join(before, "doc_id", "left").select(
+        F.lit("docs").alias("session_id"), F.col("doc_id").cast("string").alias("path"), F.lit("available").alias("content"),
+        F.lit(None).cast("string").alias("content_note"), "before_ref", F.col("ref").alias("after_ref"),
+    )
+    lines = diff.line_diff(diff.diff_inputs(changes, blobs))
+    ordered = F.sort_array(F.collect_list(F.struct("line_no", "op")))
+    return lines.groupBy("path").agg(
+        F.array_join(F.transform(ordered, lambda x: x["op"]), "").alias("ops"),
+        F.coalesce(F.bool_or(F.contains("text", F.lit("\ufffd")) & F.col("op").isin("+", " ")), F.lit(False)).alias("replaced"),
+    )

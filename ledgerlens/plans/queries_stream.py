@@ -91,7 +91,8 @@ END_MS = 1_800_000_000_000
 @query("t3_stream_settled_writes", with_base() + """ SELECT session_id, path, id||'-2' AS id, (ts_ms+100)::BIGINT AS ts_ms, 'a' AS before_ref, 'd' AS after_ref
  FROM b WHERE kind='file.write'""")
 def t3_stream_settled_writes(spark, sf_dir):
-    """Each write comes as a burst of three and a later no-op, the middle of the burst first; one row is left."""
+    """Each write comes as a burst of three and a later no-op, the middle of the burst first, and once without a
+    time; one row is left."""
     w = bridge.ledger_events(spark, sf_dir).where(F.col("kind") == "file.write").select(
         "session_id", "path", "id", "ts_ms"
     )
@@ -104,13 +105,34 @@ def t3_stream_settled_writes(spark, sf_dir):
         F.lit(END_MS).cast("bigint").alias("ts_ms"), F.lit("a").alias("before_ref"), F.lit("b").alias("after_ref"),
     )
     arrivals = [part(1, 50, "b", "c").unionByName(part(3, 400, "d", "d")), part(0, 0, "a", "b"), part(2, 100, "c", "d"), end]
+    arrivals[1] = arrivals[1].unionByName(timeless(arrivals[1], "id"))
     return run_arrivals(spark, "writes", arrivals, lambda s: ingest.settled_writes(s, "40 days"))
 
 
-@query("t4_stream_session_status", with_base(RAW_SQL) + """
- SELECT session_id, CASE WHEN bool_or(rkind='session.end') THEN 'closed' ELSE 'stale' END AS status, max(ts_ms) AS last_ms FROM raw GROUP BY session_id""")
+def timeless(rows, name):
+    """A row without a time beside every row."""
+    return rows.withColumns({"ts_ms": F.lit(None).cast("bigint"), name: F.concat(name, F.lit("-untimed"))})
+
+
+T4_SQL = """,
+ h AS (SELECT session_id, ts < '2024-01-16' AS early, max(ts_ms) AS last_ms, bool_or(rkind='session.end') AS ended FROM raw GROUP BY ALL),
+ w AS (SELECT max(ts_ms) FILTER (ts < '2024-01-16') - 600000 AS mark FROM raw),
+ p AS (SELECT session_id, max(last_ms) FILTER (early) AS first_ms, coalesce(bool_or(ended) FILTER (early), false) AS first_ended,
+   max(last_ms) FILTER (NOT early) AS next_ms, coalesce(bool_or(ended) FILTER (NOT early), false) AS next_ended FROM h GROUP BY session_id),
+ q AS (SELECT *, first_ms IS NOT NULL AND first_ms + 3600000 < mark AS over FROM p, w)
+ SELECT session_id, CASE WHEN first_ended THEN 'closed' ELSE 'stale' END AS status, first_ms AS last_ms FROM q
+ WHERE first_ms IS NOT NULL AND (first_ended OR over OR next_ms IS NULL)
+ UNION ALL SELECT session_id, CASE WHEN next_ended THEN 'closed' ELSE 'stale' END, next_ms FROM q
+ WHERE next_ms IS NOT NULL AND (over OR NOT first_ended)"""
+
+
+@query("t4_stream_session_status", with_base(RAW_SQL) + T4_SQL)
 def t4_stream_session_status(spark, sf_dir):
-    """Events before and after the middle of the month, then every closed session's first event once more."""
+    """The operator's own hour of quiet: events before and after the middle of the month, a row without a
+    time beside each, then every closed session's first event once more.
+
+    A session that is silent at the end of the first half is stale there and watched anew in the second.
+    """
     raw = settle(bridge.ledger_drafts(spark, sf_dir).select(
         "session_id", "kind", "ts", F.unix_millis(F.try_to_timestamp("ts")).alias("ts_ms")
     ), "status-events")
@@ -122,9 +144,16 @@ def t4_stream_session_status(spark, sf_dir):
     end = rows.limit(1).select(
         F.lit("end").alias("session_id"), F.lit("session.end").alias("kind"), F.lit(END_MS).cast("bigint").alias("ts_ms"),
     )
-    arrivals = [raw.where(F.col("ts") < HALF).drop("ts"), raw.where(F.col("ts") >= HALF).drop("ts"), again, end]
-    quiet = 40 * 86_400_000
-    return run_arrivals(spark, "status", arrivals, lambda s: ingest.session_status(s, quiet, "40 days"))
+    first, second = (raw.where(part).drop("ts") for part in (F.col("ts") < HALF, F.col("ts") >= HALF))
+    arrivals = [first.unionByName(timeless(first, "kind")), second.unionByName(timeless(second, "session_id")), again, end]
+    return run_arrivals(spark, "status", arrivals, ingest.session_status)
+
+
+@query("t3_t4_untimed", with_base() + """ SELECT session_id, id||'-untimed' AS id, 'no time (ts_ms)' AS reason FROM b""")
+def t3_t4_untimed(spark, sf_dir):
+    """Every event comes with and without its time; the latter are put out with the reason."""
+    e = bridge.ledger_events(spark, sf_dir).select("session_id", "id", "ts_ms")
+    return run_arrivals(spark, "untimed", [e, timeless(e, "id")], ingest.untimed).select("session_id", "id", "reason")
 
 
 @query("t5_stream_facts", with_base(RAW_SQL, VIEW_SQL, VIEW_FACTS) + " SELECT * FROM vf")

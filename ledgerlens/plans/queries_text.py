@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.addresses import address_kind, cite, repo_signal, target_id
@@ -9,15 +11,15 @@ from ledgerlens.functions.commands import is_completed_test_shape, is_test_shape
 from ledgerlens.functions.paths import (
     display_path, in_scope, is_footprint, is_ignored, is_sensitive_path, path_key, query_path,
 )
-from ledgerlens.functions.redact import output_tail, redact_args, redact_command
+from ledgerlens.functions.redact import output_tail, redact_args, redact_command, redact_json
 from ledgerlens.functions.remotes import root_commits
 from ledgerlens.operators import cleaning
 from ledgerlens.plans import bridge
 from ledgerlens.plans.oracle import with_base
 from ledgerlens.plans.register import query
-from ledgerlens.settings import DEFAULT_PRODUCER
-from ledgerlens.sources.blobs import looks_binary
-from ledgerlens.sources.objects import embedded_record
+from ledgerlens.settings import DEFAULT_PRODUCER, checkpoint_root
+from ledgerlens.sources.blobs import blob_manifest, blob_table, looks_binary
+from ledgerlens.sources.objects import embedded_record, read_object_files
 
 
 def numbered(spark, sf_dir):
@@ -375,3 +377,63 @@ def s13_document_blobs(spark, sf_dir):
         F.min(F.octet_length("text")).cast("bigint").alias("length"), F.count(F.lit(1)).alias("holders"),
         F.bool_or(looks_binary(probe)).alias("has_binary"),
     )
+
+
+# ---- files of every sort -------------------------------------------------------------
+
+_EMBEDDED = f'<script type="application/json" id="{DEFAULT_PRODUCER.record_format}">'
+PAGE_FILES = f"""WITH f AS (SELECT page_id, CASE page_id%4 WHEN 0 THEN encode('<p>'||html)||'\\xFF\\xFE\\x00'::BLOB
+  WHEN 1 THEN encode('<p>'||html||'{_EMBEDDED}{{"page":'||page_id||'}}</script>') WHEN 2 THEN encode('<p>'||html)
+  ELSE '\\xEF\\xBB\\xBF'::BLOB||encode('{{"page":'||page_id||'}}') END || '\\x0A'::BLOB AS content FROM pages)"""
+
+
+def page_files(spark, sf_dir):
+    """Every page as a file: with bytes that are no UTF-8, with a record inside, without one, or a bare record."""
+    n = F.col("page_id")
+    html = F.concat(F.lit("<p>"), "html")
+    record = F.concat(F.lit('{"page":'), n.cast("string"), F.lit("}"))
+    content = (
+        F.when(n % 4 == 0, F.concat(html.cast("binary"), F.unhex(F.lit("FFFE00"))))
+        .when(n % 4 == 1, F.concat(html, F.lit(_EMBEDDED), record, F.lit("</script>")).cast("binary"))
+        .when(n % 4 == 2, html.cast("binary"))
+        .otherwise(F.concat(F.unhex(F.lit("EFBBBF")), record.cast("binary")))
+    )
+    path = f"{checkpoint_root(spark)}/page-files-{uuid.uuid4().hex}"
+    pages = bridge.load(spark, sf_dir, "pages").select("page_id", content.cast("string").alias("value"))
+    pages.repartition("page_id").sortWithinPartitions("page_id").write.partitionBy("page_id").text(path)
+    return path
+
+
+def _page_of(path):
+    return F.regexp_extract(path, r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
+
+
+@query("s4_page_files", PAGE_FILES + """ SELECT page_id, CASE page_id%4 WHEN 1 THEN '{"page":'||page_id||'}' WHEN 3 THEN '{"page":'||page_id||'}'||chr(10) END AS doc,
+  CASE page_id%4 WHEN 0 THEN 'cannot read: the file is not valid UTF-8' WHEN 2 THEN 'this HTML file carries no embedded evidence record' END AS error FROM f""")
+def s4_page_files(spark, sf_dir):
+    """Files that cannot be read are refused one by one, with the reason; the others are read."""
+    read = read_object_files(spark, page_files(spark, sf_dir))
+    return read.select(_page_of(F.col("source")), "doc", F.try_element_at("errors", F.lit(1)).alias("error"))
+
+
+@query("s13_page_blobs", PAGE_FILES + """ SELECT page_id, octet_length(content)::BIGINT AS bytes, sha256(content) AS ref, page_id%4=0 AS "binary", octet_length(content)::BIGINT AS held FROM f""")
+def s13_page_blobs(spark, sf_dir):
+    """The manifest of files, and the length of the content that each names."""
+    path = page_files(spark, sf_dir)
+    held = blob_table(spark, path).select("ref", F.octet_length("content").cast("bigint").alias("held"))
+    return blob_manifest(spark, path).join(held, "ref").select(_page_of(F.col("path")), "bytes", "ref", "binary", "held")
+
+
+@query("c6_nested_documents", """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text,''), '[^aeiou ]', '', 'g') AS t, (doc_id%40+1)::INT AS depth FROM documents)
+ SELECT doc_id, repeat('[',depth)||'{"DB_PASSWORD=k":"DB_PASSWORD=[REDACTED] \\ud800","t":"'||t||'"}'||repeat(']',depth) AS clean, 1::BIGINT AS n FROM d""")
+def c6_nested_documents(spark, sf_dir):
+    """Every text in JSON of 1 to 40 levels, with a secret before half of a surrogate pair."""
+    depth = (F.col("doc_id") % 40 + 1).cast("int")
+    kept = F.regexp_replace(F.coalesce("text", F.lit("")), "[^aeiou ]", "")
+    body = F.concat(
+        F.lit('{"DB_PASSWORD=k": "DB_PASSWORD=hunter'), F.col("doc_id").cast("string"), F.lit(' \\ud800", "t" : "'), kept, F.lit('"}')
+    )
+    docs = bridge.load(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.repeat(F.lit("["), depth), body, F.repeat(F.lit("]"), depth)).alias("text")
+    )
+    return docs.withColumn("r", redact_json(F.col("text"))).select("doc_id", F.col("r.value").alias("clean"), F.col("r.count").alias("n"))

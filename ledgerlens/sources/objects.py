@@ -31,7 +31,8 @@ def read_object_files(
     """``source, doc, errors`` for every file below ``path``.
 
     Where ``max_bytes`` is given it is tested on the file listing, so an oversized file is
-    refused without being read.
+    refused without being read.  A file whose bytes are not UTF-8 is refused, too; all others
+    are still read.  Files of no bytes are not listed.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
@@ -42,7 +43,8 @@ def read_object_files(
             F.lit(f" bytes; the ingestion bound is {max_bytes}"),
         )).alias("errors"),
     )
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
+    held = F.col("content").cast("string")
+    text = F.when(F.is_valid_utf8(held), F.regexp_replace(F.make_valid_utf8(held), "^\ufeff", ""))
     is_html = F.col("source").rlike(r"(?i)\.html?\z") | F.col("text").rlike(r"^\s*<")
     embedded = embedded_record(F.col("text"), producer)
     read = files.where(fits).select(
@@ -50,7 +52,8 @@ def read_object_files(
     ).select(
         "source",
         F.when(is_html, embedded).otherwise(F.col("text")).alias("doc"),
-        F.when(
+        F.when(F.col("text").isNull(), F.array(F.lit("cannot read: the file is not valid UTF-8")))
+        .when(
             is_html & embedded.isNull(),
             F.array(F.lit("this HTML file carries no embedded evidence record")),
         ).otherwise(F.array().cast("array<string>")).alias("errors"),

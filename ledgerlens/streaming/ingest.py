@@ -103,6 +103,16 @@ def start_sealing(drafts: DataFrame, sink: str, checkpoint: str, exact: bool = T
     )
 
 
+# ---- rows without a time -----------------------------------------------------------------
+
+def untimed(rows: DataFrame) -> DataFrame:
+    """What T3 and T4 refuse: rows without ``ts_ms``, which no watermark can place, with the reason.
+
+    Stateless, so it runs as a query of its own beside them or over a table.
+    """
+    return rows.where(F.col("ts_ms").isNull()).withColumn("reason", F.lit("no time (ts_ms)"))
+
+
 # ---- T3: no-op writes and bursts ------------------------------------------------------
 
 _WRITE = "session_id string, path string, id string, ts_ms bigint, before_ref string, after_ref string"
@@ -136,9 +146,12 @@ def _settle_path(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -
 
 
 def settled_writes(writes: DataFrame, delay: str = "1 second") -> DataFrame:
-    """T3 over ``_WRITE`` columns: bursts within 120 ms collapse, no-op writes vanish."""
+    """T3 over ``_WRITE`` columns: bursts within 120 ms collapse, no-op writes vanish.
+
+    Writes without a time never reach the state; ``untimed`` returns them.
+    """
     return (
-        writes.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", delay)
+        writes.where(F.col("ts_ms").isNotNull()).withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", delay)
         .groupBy("session_id", "path")
         .applyInPandasWithState(
             _settle_path, _WRITE,
@@ -177,9 +190,13 @@ def _watch_session(quiet_ms: int):
 
 
 def session_status(events: DataFrame, quiet_ms: int = 3_600_000, delay: str = "10 minutes") -> DataFrame:
-    """T4: ``closed`` when a session ends, ``stale`` when it falls silent without an end."""
+    """T4: ``closed`` when a session ends, ``stale`` when it falls silent without an end.
+
+    A silence longer than ``quiet_ms`` that spans arrivals makes a session stale; if it goes
+    on, it is watched anew.  Events without a time are left to ``untimed``.
+    """
     return (
-        events.select("session_id", "kind", "ts_ms", F.timestamp_millis("ts_ms").alias("at"))
+        events.where(F.col("ts_ms").isNotNull()).select("session_id", "kind", "ts_ms", F.timestamp_millis("ts_ms").alias("at"))
         .withWatermark("at", delay).groupBy("session_id")
         .applyInPandasWithState(
             _watch_session(quiet_ms), _STATUS, "last_ms bigint, ended boolean", "append",
