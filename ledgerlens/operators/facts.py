@@ -20,9 +20,10 @@ from ledgerlens.functions.commands import (
 )
 from ledgerlens.functions.paths import basename
 from ledgerlens.functions.text import trimmed
-from ledgerlens.operators.ancestry import failing_ancestry
+from ledgerlens.operators.ancestry import Ancestry
 from ledgerlens.operators.chain import clock_regression
 from ledgerlens.operators.ordered import attach, seq_bucket
+from ledgerlens.settings import settle
 from ledgerlens.schemas import EVIDENCE, number_text
 
 FACT_COLUMNS = ("session_id", "fact_id", "statement", "confidence", "ts", "tie", "evidence")
@@ -84,18 +85,17 @@ def command_history(events: DataFrame) -> DataFrame:
 
 
 def rf01(events: DataFrame) -> DataFrame:
-    failures = (
+    failures = settle((
         command_history(events)
         .where(F.col("failed").isNotNull())
         .select("session_id", "first_seq", "last_verdict", "failed.*")
-    )
-    subsumed, descends = failing_ancestry(
-        failures.select("session_id", "seq", "exec_id", "parent_exec_id"), readable_exits(events)
-    )
-    reported = failures.join(subsumed, ["session_id", "seq"], "left_anti")
+    ), "failures")
+    ancestry = Ancestry(failures.select("session_id", "seq", "exec_id", "parent_exec_id"), readable_exits(events))
+    reported = failures.join(ancestry.subsumed(), ["session_id", "seq"], "left_anti")
+    above = reported.where(F.col("exec_id").isNotNull()).select("session_id", F.col("exec_id").alias("node")).distinct()
     beneath = (
-        descends.join(failures, ["session_id", "seq"])
-        .where(~F.col("exec_id").eqNullSafe(F.col("ancestor")) & F.col("exec_id").isNotNull())
+        ancestry.beneath(above).join(failures, ["session_id", "seq"])
+        .where(F.col("exec_id").isNotNull())
         .select("session_id", "ancestor", "first_seq", pointer("process_exit").alias("below"))
         .groupBy("session_id", F.col("ancestor").alias("exec_id"))
         .agg(F.array_sort(F.collect_list(F.struct("first_seq", "below"))).alias("beneath"))

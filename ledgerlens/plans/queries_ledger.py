@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import chain, facts
-from ledgerlens.operators.ancestry import failing_ancestry
+from ledgerlens.operators.ancestry import Ancestry
+from ledgerlens.operators.ordered import ordered_view
 from ledgerlens.plans import bridge
 from ledgerlens.plans.oracle import CLOCK, FACTS, RF, RF01_FAILED, with_base
 from ledgerlens.plans.register import query
@@ -90,10 +91,22 @@ def a1_command_history(spark, sf_dir):
 def j1_failing_ancestors(spark, sf_dir):
     e = ledger(spark, sf_dir)
     failures = facts.command_history(e).where(F.col("failed").isNotNull()).select("session_id", "failed.*")
-    _, descends = failing_ancestry(
-        failures.select("session_id", "seq", "exec_id", "parent_exec_id"), facts.readable_exits(e)
-    )
-    return descends
+    return Ancestry(failures.select("session_id", "seq", "exec_id", "parent_exec_id"), facts.readable_exits(e)).descends()
+
+
+@query("j1_deep_ancestors", """WITH r AS (SELECT concat('d',user_id%3) AS session_id, row_number() OVER (PARTITION BY user_id%3 ORDER BY event_id)-1 AS seq FROM events),
+ f AS (SELECT session_id, seq FROM r WHERE seq%50=7)
+ SELECT f.session_id, f.seq, 'x'||a.seq AS ancestor FROM f JOIN f a ON a.session_id=f.session_id AND a.seq<f.seq AND a.seq//1000=f.seq//1000""")
+def j1_deep_ancestors(spark, sf_dir):
+    """All events as process trees a thousand deep, in which every fiftieth command fails."""
+    e = bridge.load(spark, sf_dir, "events").select("event_id", F.concat(F.lit("d"), (F.col("user_id") % 3).cast("string")).alias("session_id"))
+    placed = ordered_view(e, ["session_id"], F.floor(F.col("event_id") / 4096).cast("bigint"), ["event_id"], position="n")
+    seq = F.col("n") - 1
+    name = lambda c: F.concat(F.lit("x"), c.cast("string"))
+    exits = settle(placed.select(
+        "session_id", seq.alias("seq"), name(seq).alias("exec_id"), F.when(seq % 1000 > 0, name(seq - 1)).alias("parent_exec_id")
+    ), "deep-exits")
+    return Ancestry(exits.where(F.col("seq") % 50 == 7), exits).descends()
 
 
 @query("w2_clock_regression", with_base(CLOCK) + " SELECT session_id, at_seq, drift_ms FROM clock")
