@@ -1,25 +1,32 @@
-"""Mixing sources to target weights: blocks, fixed quotas, permuted indices.
-
-Every source's documents are packed end to end and cut into blocks of a fixed number
-of words.  A source gets a fixed quota of slots, as many as its target asks for; source
-counts are not drawn.  Each slot also has a pseudorandom shard, which the mix by documents
-below does not read.  Slot ``i`` of a source takes the block whose place in the source's
-pseudorandom permutation is ``i``; a source that is taken more than once runs through its
-blocks again.  Slots and blocks meet in one join by index.
+"""Mixing sources to target weights: blocks, drawn source counts, permuted block indices.
+
+Every source's documents are packed end to end and cut into blocks of a fixed number of
+words.  The mix is a list of shards with the same number of slots.  How many slots of a
+shard go to which source is drawn: every source gets the whole part of its expected number,
+and what is left of the shard is a multinomial draw by the remaining parts, so that a source
+meets its target within a few blocks however small the mix is.  Running sums of the counts
+number the slots of a source through all shards; slot ``i`` takes the block at place ``i`` of
+the source's pseudorandom permutation, and a source that is taken more than once runs
+through its blocks again in another order.  Slots and blocks meet in one join by index.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerlens.llm.common import DOCUMENT_COLUMNS, count_words, lean, narrow_batches
-from ledgerlens.operators.ordered import attach, hash_salt, ordered_view
+from ledgerlens.operators.ordered import attach, hash_salt
 from ledgerlens.settings import settle
 
-BLOCK_WORDS = 64
+BLOCK_WORDS = 32
 PASSES = 3
 BUCKETS = 1024
+SHARD_SLOTS = 4096
+#: Shards that one row spells out at once.
 CHUNK = 4096
 
 
@@ -86,48 +93,123 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumns({"no_source": F.col("source").isNull(), "source": F.coalesce("source", F.lit(""))})
 
 
-def slots_of(per: DataFrame, seed: int, slots_per_shard: int = 65536) -> DataFrame:
-    """``no_source, source, index, pass, shard`` of every slot, spelled out in chunks so
-    that one source's slots are made by many tasks."""
-    live = _named(per).where(F.col("slots") > 0)
-    shards = F.greatest(F.lit(1), F.ceil(F.sum("slots").over(Window.partitionBy(F.lit(1))) / slots_per_shard).cast("bigint"))
-    chunks = live.withColumn("shards", shards).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), ((F.col("slots") - 1) / CHUNK).cast("bigint")))
-    ).repartition("no_source", "source", "chunk")
-    low = F.col("chunk") * CHUNK
-    slot = chunks.withColumn("slot", F.explode(F.sequence(low, F.least(low + CHUNK, F.col("slots")) - 1)))
-    return slot.select(
-        "no_source", "source", (F.col("slot") % F.col("blocks")).alias("index"),
-        (F.col("slot") / F.col("blocks")).cast("bigint").cast("int").alias("pass"),
-        F.pmod(F.xxhash64(F.lit(seed), "no_source", "source", "slot"), F.col("shards")).alias("shard"),
-    )
-
-
-def permuted_blocks(per: DataFrame, seed: int) -> DataFrame:
-    """``no_source, source, block, index``: a block's index is its rank under a seeded hash."""
-    live = _named(per).where(F.col("blocks") > 0)
-    chunks = live.withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), ((F.col("blocks") - 1) / CHUNK).cast("bigint")))
-    ).repartition("no_source", "source", "chunk")
-    low = F.col("chunk") * CHUNK
-    block = chunks.select(
-        "no_source", "source", F.explode(F.sequence(low, F.least(low + CHUNK, F.col("blocks")) - 1)).alias("block")
-    ).withColumn("hash", F.xxhash64(F.lit(seed), "no_source", "source", "block"))
-    view = ordered_view(
-        settle(block, "mix-block-hashes"), ["no_source", "source"], F.shiftright("hash", 54), ["hash", "block"], position="index"
-    )
-    return view.select("no_source", "source", "block", (F.col("index") - 1).alias("index"))
+def _uniform(*parts: Column) -> Column:
+    """A pseudorandom number in [0, 1) from a seed and the names of what it is for."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def taken_blocks(per: DataFrame, seed: int, slots_per_shard: int = 65536) -> DataFrame:
-    """Slots joined with blocks by index: one row per slot of the mix.
+def _left_over(live: DataFrame, slots: int, last: bool) -> tuple[DataFrame, int]:
+    """How a shard of ``slots`` slots is shared out: whole parts, and the ranges of what is left.
 
-    Both sides are written first: they are spelled out from a few rows per source, and
-    only a table that exists tells Spark how large they are.
+    ``whole`` is a source's sure slots; a number in ``[low, high)`` of the ``left`` units of
+    remaining parts falls to it.  One row per source and unit that its range touches.
+    """
+    expected = F.col("share") * slots
+    order = Window.orderBy("no_source", "source")
+    rows = live.withColumns({"last": F.lit(last), "whole": F.floor(expected).cast("bigint")})
+    rows = rows.withColumn("high", F.sum(expected - F.col("whole")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("low", F.lag("high", 1, 0.0).over(order))
+    left = slots - rows.agg(F.sum("whole")).first()[0]
+    # The end of the last range takes what rounding left open.
+    end = F.when(F.lead("high").over(order).isNull(), F.lit(left + 1.0)).otherwise(F.col("high"))
+    return rows.withColumn("high", end), left
+
+
+def drawn_counts(per: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """``no_source, source, shard, count``: slots of every source in every shard, where it has any."""
+    live = _named(per).where(F.col("slots") > 0)
+    total = live.agg(F.sum("slots")).first()[0] or 0
+    spark = per.sparkSession
+    shards = -(-total // shard_slots)
+    live = settle(live.withColumn("share", F.col("slots") / F.lit(float(total or 1))), "mix-shares")
+    parts = []
+    for last, first, count, slots in ((False, 0, shards - 1, shard_slots), (True, shards - 1, min(shards, 1), total - (shards - 1) * shard_slots)):
+        if count <= 0:
+            continue
+        shared, left = _left_over(live, slots, last)
+        chunk = F.explode(F.sequence(F.lit(0), F.lit((count - 1) // CHUNK)))
+        sure = shared.where(F.col("whole") > 0).select("no_source", "source", F.col("whole").alias("count"), chunk.alias("chunk"))
+        low = F.lit(first).cast("bigint") + F.col("chunk") * CHUNK
+        spelled = sure.repartition("no_source", "source", "chunk").select(
+            "no_source", "source", F.explode(F.sequence(low, F.least(low + CHUNK, F.lit(first + count)) - 1)).alias("shard"), "count"
+        )
+        parts.append(spelled)
+        if left > 0:
+            draws = spark.range(first, first + count).select(
+                F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(left - 1))).alias("draw")
+            ).withColumn("at", _uniform(F.lit(seed), F.col("shard"), F.col("draw")) * left)
+            units = shared.where(F.col("high") > F.col("low")).select(
+                "no_source", "source", "low", "high",
+                F.explode(F.sequence(F.floor("low"), F.greatest(F.floor("low"), F.ceil("high") - 1))).alias("unit"),
+            )
+            fell = draws.withColumn("unit", F.floor("at")).join(units, "unit").where(
+                (F.col("at") >= F.col("low")) & (F.col("at") < F.col("high"))
+            )
+            parts.append(fell.select("no_source", "source", "shard", F.lit(1).cast("bigint").alias("count")))
+    if not parts:
+        return live.select("no_source", "source", F.lit(0).cast("bigint").alias("shard"), F.col("slots").alias("count"))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("no_source", "source", "shard").agg(F.sum("count").alias("count"))
+
+
+def permuted(n: np.ndarray, key: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """Place ``i`` of the permutation of ``0 .. n-1`` that ``key`` names, for whole arrays.
+
+    Four rounds on a pair of digits whose ranges hold hardly more than ``n`` numbers; what
+    falls outside goes round again, so every number below ``n`` comes up once.
     """
-    slots = settle(slots_of(per, seed, slots_per_shard), "mix-slots")
-    blocks = settle(permuted_blocks(per, seed), "mix-blocks")
-    return slots.join(blocks, ["no_source", "source", "index"])
+    n, x = n.astype(np.int64), i.astype(np.int64).copy()
+    wide = np.maximum(np.ceil(np.sqrt(n)).astype(np.int64), 1)
+    high = -(-n // wide)
+    todo = np.arange(len(x))
+    with np.errstate(over="ignore"):
+        while len(todo):
+            w, h, k = wide[todo], high[todo], key[todo].astype(np.uint64)
+            a, b = x[todo] // w, x[todo] % w
+            for turn in range(4):
+                seen = (b if turn % 2 == 0 else a).astype(np.uint64)
+                mix = (seen + np.uint64(turn + 1) * np.uint64(0x9E3779B97F4A7C15)) ^ k
+                mix = (mix ^ (mix >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                mix = (mix ^ (mix >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                step = (mix >> np.uint64(2)).astype(np.int64)
+                if turn % 2 == 0:
+                    a = (a + step % h) % h
+                else:
+                    b = (b + step % w) % w
+            x[todo] = a * w + b
+            todo = todo[x[todo] >= n[todo]]
+    return x
+
+
+@F.pandas_udf(T.LongType())
+def _permuted(n: pd.Series, key: pd.Series, i: pd.Series) -> pd.Series:
+    return pd.Series(permuted(n.to_numpy(), key.to_numpy(), i.to_numpy()))
+
+
+def slots_of(per: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS, passes: int = PASSES) -> DataFrame:
+    """``shard, place, no_source, source, block, pass`` of every slot of the mix.
+
+    Slots of a source beyond ``passes`` times its blocks, which a draw may ask for, stay empty.
+    """
+    counts = settle(drawn_counts(per, seed, shard_slots), "mix-counts")
+    before = Window.partitionBy("no_source", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard").orderBy("no_source", "source").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumns({
+        "offset": F.coalesce(F.sum("count").over(inside), F.lit(0)), "slots": F.sum("count").over(Window.partitionBy("shard")),
+    })
+    blocks = _named(per).select("no_source", "source", "blocks")
+    slot = attach(numbered, blocks, ["no_source", "source"], hash_salt("shard"), "inner").select(
+        "shard", "no_source", "source", "blocks", "first", "offset", "slots",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("count") - 1)).alias("k"),
+    ).withColumn("slot", F.col("first") + F.col("k")).where(F.col("slot") < F.col("blocks") * passes)
+    turn = F.floor(F.col("slot") / F.col("blocks")).cast("int")
+    return slot.select(
+        "shard", _permuted("slots", F.xxhash64(F.lit(seed), "shard"), F.col("offset") + F.col("k")).alias("place"),
+        "no_source", "source", turn.alias("pass"),
+        _permuted("blocks", F.xxhash64(F.lit(seed), "no_source", "source", turn), F.col("slot") % F.col("blocks")).alias("block"),
+    )
 
 
 def pieces(spans: DataFrame) -> DataFrame:
@@ -142,34 +224,38 @@ def pieces(spans: DataFrame) -> DataFrame:
     return out.withColumns({"from": (first - low).cast("int"), "upto": (last - low).cast("int")})
 
 
-def plan(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Spans of documents, sources with their targets, and the blocks taken."""
+def mix(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans of documents, sources with their targets, and the written mix.
+
+    The mix has one row per slot and document in it: ``shard, place`` (its place in the
+    shard), ``no_source, source, block, pass`` and the document's words ``from .. upto``.
+    """
     rows = settle(sized(docs), "mix-sizes")
     per = settle(targets(rows), "mix-targets")
     spans = settle(packed(rows), "mix-spans")
-    return spans, per, taken_blocks(per, seed)
+    # Written first: slots are spelled out from a few rows, and only a table tells Spark their size.
+    slots = settle(slots_of(per, seed), "mix-slots")
+    taken = slots.join(pieces(spans), ["no_source", "source", "block"])
+    return spans, per, settle(taken, "mix")
 
 
 def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every row.
 
-    ``taken`` is the number of the document's words that the mix holds, repeats
-    counted; no block is taken more than ``PASSES`` times.  A source takes its target
-    to within half a block.  Null and empty texts take nothing, a null source is a
+    ``taken`` is the number of the document's words in the written mix, repeats counted; no
+    block is taken more than ``PASSES`` times.  A source misses its target by the draws for
+    what is left of each shard, each of which has a variance below one block: with ``N``
+    shards by some ``sqrt(N)`` blocks.  Null and empty texts take nothing, a null source is a
     source, repeated rows are packed one by one, an empty table gives no rows, other
     columns are ignored.  The same table and seed give the same mix.
     """
-    spans, per, taken = plan(docs, seed)
-    times = taken.groupBy("no_source", "source", "block").agg(F.count(F.lit(1)).alias("times"))
-    shared = pieces(spans).join(times, ["no_source", "source", "block"], "left")
-    sums = shared.groupBy("no_source", "source", "start", "doc_id", "size").agg(
-        F.sum((F.col("upto") - F.col("from")) * F.coalesce("times", F.lit(0))).alias("taken")
-    )
-    none = _named(spans.where(F.col("size") == 0)).select(
-        "no_source", "source", "start", "doc_id", "size", F.lit(0).cast("bigint").alias("taken")
-    )
+    spans, per, taken = mix(docs, seed)
+    at = ["no_source", "source", "start", "doc_id", "size"]
+    words = taken.groupBy(*at).agg(F.sum(F.col("upto") - F.col("from")).alias("taken"))
+    none = _named(spans).select(*at, F.lit(0).cast("bigint").alias("taken"))
+    sums = words.unionByName(none).groupBy(*at).agg(F.sum("taken").alias("taken"))
     goals = _named(per).select("no_source", "source", "source_size", "target")
-    return attach(sums.unionByName(none), goals, ["no_source", "source"], hash_salt("doc_id", "start")).select(
+    return attach(sums, goals, ["no_source", "source"], hash_salt("doc_id", "start")).select(
         "doc_id", "size", "source_size", "target", "taken"
     )
 
@@ -181,8 +267,8 @@ def mixed_texts(docs: DataFrame, seed: int = 17) -> DataFrame:
     Columns are those of ``documents``; ``n_chars`` is counted anew.
     """
     narrow_batches(docs.sparkSession)
-    spans, _, taken = plan(docs, seed)
-    cut = pieces(spans).join(taken, ["no_source", "source", "block"]).groupBy(
+    _, _, taken = mix(docs, seed)
+    cut = taken.groupBy(
         "doc_id", "text_hash", "start", "pass"
     ).agg(F.sort_array(F.collect_list(F.struct("from", "upto"))).alias("words"))
     wanted = cut.groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).agg(

@@ -350,7 +350,8 @@ def test_mixing_meets_targets(spark):
         assert x.size == len((texts[x.doc_id] or "").split()) and x.source_size == size[s]
         assert abs(x.target - goal[s]) < 1e-6 * max(1, goal[s]) and x.taken <= 3 * x.size
         taken[s] = taken.get(s, 0) + x.taken
-    assert all(abs(taken[s] - goal[s]) <= mixing.BLOCK_WORDS for s in goal)
+    # One shard: what is left of it, less than a block for every source, is drawn.
+    assert all(abs(taken[s] - goal[s]) <= len(goal) * mixing.BLOCK_WORDS for s in goal)
     assert {(x.doc_id, x.taken) for x in mixing.mix_documents(docs).collect()} == {(x.doc_id, x.taken) for x in rows}
     texts_out = {}
     for x in mixing.mixed_texts(docs).collect():
