@@ -156,13 +156,35 @@ def t3_t4_untimed(spark, sf_dir):
     return run_arrivals(spark, "untimed", [e, timeless(e, "id")], ingest.untimed).select("session_id", "id", "reason")
 
 
-@query("t5_stream_facts", with_base(RAW_SQL, VIEW_SQL, VIEW_FACTS) + " SELECT * FROM vf")
-def t5_stream_facts(spark, sf_dir):
-    """Facts kept current over two arrivals equal those of the whole ledger."""
+FIFTHS = ("2024-01-07", "2024-01-13", "2024-01-19", "2024-01-25")
+
+
+def in_five_parts(rows, path):
+    """Write rows as five arrivals, each with one more stretch of the month."""
+    edges = ("", *FIFTHS, "~")
+    for low, high in zip(edges, edges[1:]):
+        yield rows.where((F.col("ts") >= low) & (F.col("ts") < high)).write.mode("append").parquet(path)
+    yield rows.where(F.col("ts").isNull()).write.mode("append").parquet(path)
+
+
+def facts_of_arrivals(spark, sf_dir, ended_only):
     raw = sealed(spark, sf_dir)
     names = ("sealed-in", "ledger-out", "facts-out", "facts-state")
     source, ledger, found, checkpoint = (scratch(spark, n) for n in names)
-    for _ in in_two_parts(raw, source):
+    for _ in in_five_parts(raw, source):
         stream = spark.readStream.schema(raw.schema).parquet(source)
-        ingest.start_facts(stream, ledger, found, checkpoint).awaitTermination()
+        ingest.start_facts(stream, ledger, found, checkpoint, ended_only=ended_only).awaitTermination()
     return flat(ingest.current_facts(spark, found))
+
+
+@query("t5_stream_facts", with_base(RAW_SQL, VIEW_SQL, VIEW_FACTS) + " SELECT * FROM vf")
+def t5_stream_facts(spark, sf_dir):
+    """Facts kept current over five arrivals equal those of the whole ledger."""
+    return facts_of_arrivals(spark, sf_dir, False)
+
+
+@query("t5_stream_final_facts", with_base(RAW_SQL, VIEW_SQL, VIEW_FACTS) + """
+ SELECT * FROM vf WHERE session_id IN (SELECT session_id FROM raw WHERE rkind='session.end')""")
+def t5_stream_final_facts(spark, sf_dir):
+    """Facts of sessions that ended, judged when they did."""
+    return facts_of_arrivals(spark, sf_dir, True)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -19,7 +19,7 @@ from ledgerlens.functions.canon import event_body
 from ledgerlens.operators.chain import canonical_docs
 from ledgerlens.operators.cleaning import classify_events, redact_ledger
 from ledgerlens.operators.facts import evaluate
-from ledgerlens.schemas import DRAFT_COLUMNS, RAW_EVENTS, non_empty, number_at, payload_view, text_at
+from ledgerlens.schemas import DRAFT_COLUMNS, EVIDENCE, RAW_EVENTS, non_empty, number_at, payload_view, text_at
 from ledgerlens.settings import DEFAULT_PRODUCER, GENESIS, Producer
 
 # Stands for the sequence number until state assigns it; JSON text cannot contain it.
@@ -207,23 +207,55 @@ def session_status(events: DataFrame, quiet_ms: int = 3_600_000, delay: str = "1
 
 # ---- T5: facts that follow the ledger ---------------------------------------------------
 
+_FACTS = f"session_id string, fact_id string, statement string, confidence string, ts string, tie bigint, evidence {EVIDENCE}"
+#: Parts that a stored ledger is kept in; a session's rows are all in one.
+LEDGER_BUCKETS = 256
+
+
+def ledger_bucket(session: str = "session_id") -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(LEDGER_BUCKETS)).cast("int")
+
+
+def stored_ledger(spark: SparkSession, ledger_path: str, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
+    """The ledger that ``start_facts`` keeps, or the given parts of it; no other part is read."""
+    whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+    rows = spark.read.schema(whole).parquet(ledger_path)
+    kept = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+    return kept.drop("bucket", "batch")
+
+
+def _write_parts(rows: DataFrame, path: str) -> None:
+    """Write into the partitions that the rows name and replace only those."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+
+
 def start_facts(
     sealed: DataFrame, ledger_path: str, facts_path: str, checkpoint: str,
-    producer: Producer = DEFAULT_PRODUCER,
+    producer: Producer = DEFAULT_PRODUCER, ended_only: bool = False,
 ) -> StreamingQuery:
     """T5: each micro-batch re-judges only the sessions it touched.
 
-    Every batch owns one partition of the output and overwrites it when it is retried,
-    so a batch that ran twice is not counted twice.
+    The ledger lies in ``LEDGER_BUCKETS`` parts by session, and a batch reads the parts of its
+    sessions.  Every batch owns its partitions of all outputs and replaces them when it is
+    retried, so a batch that ran twice is not counted twice.  With ``ended_only`` a session is
+    judged when its ``session.end`` comes, and again if rows come after that.
     """
     def judge_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{ledger_path}/batch={batch_id}")
-        touched = batch.select("session_id").distinct()
-        ledger = spark.read.parquet(ledger_path).join(touched, "session_id", "left_semi")
-        found = evaluate(payload_view(ledger, producer).drop("_p"))
-        found.write.mode("overwrite").parquet(f"{facts_path}/facts/batch={batch_id}")
-        touched.write.mode("overwrite").parquet(f"{facts_path}/touched/batch={batch_id}")
+        placed = batch.withColumns({"bucket": ledger_bucket(), "batch": F.lit(batch_id).cast("bigint")})
+        _write_parts(placed.repartition("bucket"), ledger_path)
+        own = spark.read.schema(placed.schema).parquet(ledger_path).where(F.col("batch") == batch_id)
+        touched = own.select("session_id", "bucket", "batch").distinct()
+        # At most LEDGER_BUCKETS numbers.
+        buckets = [r.bucket for r in touched.select("bucket").distinct().collect()]
+        ledger = stored_ledger(spark, ledger_path, batch.schema, buckets)
+        if ended_only:
+            over = ledger.where(F.col("kind") == "session.end").select("session_id").distinct()
+            touched = touched.join(over, "session_id", "left_semi")
+        sessions = touched.select("session_id").distinct()
+        found = evaluate(payload_view(ledger.join(sessions, "session_id", "left_semi"), producer).drop("_p"))
+        _write_parts(found.withColumns({"bucket": ledger_bucket(), "batch": F.lit(batch_id).cast("bigint")}), f"{facts_path}/facts")
+        _write_parts(touched, f"{facts_path}/touched")
 
     return (
         sealed.writeStream.foreachBatch(judge_batch).option("checkpointLocation", checkpoint)
@@ -231,8 +263,9 @@ def start_facts(
     )
 
 
-def current_facts(spark, facts_path: str) -> DataFrame:
-    """Facts of each session as of the last batch that touched it."""
-    touched = spark.read.parquet(f"{facts_path}/touched")
-    latest = touched.groupBy("session_id").agg(F.max("batch").alias("batch"))
-    return spark.read.parquet(f"{facts_path}/facts").join(latest, ["session_id", "batch"]).drop("batch")
+def current_facts(spark: SparkSession, facts_path: str) -> DataFrame:
+    """Facts of each session as of the last batch that judged it."""
+    touched = spark.read.schema("session_id string, bucket int, batch bigint").parquet(f"{facts_path}/touched")
+    latest = touched.groupBy("bucket", "session_id").agg(F.max("batch").alias("batch"))
+    facts = spark.read.schema(f"{_FACTS}, bucket int, batch bigint").parquet(f"{facts_path}/facts")
+    return facts.join(latest, ["bucket", "session_id", "batch"]).drop("bucket", "batch")
