@@ -98,13 +98,7 @@ def build_records(
     sessions whose events alone exceed it come back with ``doc`` null and status
     ``oversize``.
     """
-    docs = canonical_docs(raw, exact).withColumn("json", event_json())
-    # Facts, notes and chain read typed columns only; payloads are parsed once.
-    view = settle(payload_view(raw, producer).drop("_p"), "record-view")
-    sizes = docs.groupBy("session_id").agg(
-        F.count(F.lit(1)).alias("count"),
-        (F.sum(F.octet_length("json")) + F.count(F.lit(1))).alias("bytes"),
-    )
+    docs, view, sizes = prepared(raw, producer, exact)
     kept = docs.select("session_id", "seq", "json")
     if max_bytes is not None:
         fits = sizes.where(F.col("bytes") <= max_bytes).select("session_id")
@@ -119,6 +113,27 @@ def build_records(
         F.count(F.lit(1)).alias("fact_count"),
         F.array_join(F.transform(in_order, lambda x: x["json"]), ",").alias("facts"),
     )
+    own = session_parts(raw, view, sizes, sessions, producer, exact)
+    joined = reduce(lambda a, b: a.join(b, "session_id", "left"), [*own, events, fact_lists])
+    return _document(joined, producer)
+
+
+def prepared(raw: DataFrame, producer: Producer, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Events with their JSON, the view that facts and notes read, and each session's count and bytes of events."""
+    docs = canonical_docs(raw, exact).withColumn("json", event_json())
+    # Facts, notes and chain read typed columns only; payloads are parsed once.
+    view = settle(payload_view(raw, producer).drop("_p"), "record-view")
+    sizes = docs.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("count"),
+        (F.sum(F.octet_length("json")) + F.count(F.lit(1))).alias("bytes"),
+    )
+    return docs, view, sizes
+
+
+def session_parts(
+    raw: DataFrame, view: DataFrame, sizes: DataFrame, sessions: DataFrame, producer: Producer, exact: bool
+) -> list[DataFrame]:
+    """Tables with one row per session: what a record says besides its events and facts."""
     start = view.where((F.col("signal_tier") == "groundTruth") & (F.col("kind") == "session.start"))
     identity = start.groupBy("session_id").agg(F.min_by("identity", "seq").alias("identity"))
     coverage = view.where(
@@ -127,22 +142,21 @@ def build_records(
 
     flags = session_flags(view)
     degraded = degradations(view, producer, flags)
-    parts = [
+    return [
         sessions.withColumnRenamed("id", "session_id"),
         sizes,
         integrity(degraded, verify_chain(raw, exact)).drop("events"),
-        events, fact_lists, identity, coverage,
+        identity, coverage,
         flags.select("session_id", "closed"),
         gather(degraded, "degraded"),
         gather(limitations(view, producer, flags), "limitations"),
         gather(interference(view, producer), "interference"),
         gather(recorder_errors(view), "recorder_errors"),
     ]
-    joined = reduce(lambda a, b: a.join(b, "session_id", "left"), parts)
-    return _document(joined, producer)
 
 
-def _document(joined: DataFrame, producer: Producer) -> DataFrame:
+def passages_of(producer: Producer) -> dict[str, Column]:
+    """The texts of a record around its facts and events, and what its header says, from one row per session."""
     chain = F.concat(
         F.lit("{"),
         F.coalesce(F.concat(F.lit('"brokenAt":'), F.col("broken_at").cast("string"), F.lit(",")), F.lit("")),
@@ -161,11 +175,13 @@ def _document(joined: DataFrame, producer: Producer) -> DataFrame:
     empty = F.col("count").isNull()
     status = F.when(empty, "DEGRADED").otherwise(F.col("status"))
     catalog = "[" + ",".join(f'"{f}"' for f in FACT_CATALOG) + "]"
-    evidence = F.concat(
+    before_facts = F.concat(
         F.lit(f'"evidence":{{"catalog":{catalog},"closed":'),
         F.coalesce("closed", F.lit(False)).cast("string"),
         F.lit(',"coverage":'), F.coalesce("coverage_json", F.lit("[]")),
-        F.lit(',"facts":['), F.coalesce("facts", F.lit("")),
+        F.lit(',"facts":['),
+    )
+    after_facts = F.concat(
         F.lit('],"integrity":{"chain":'), chain,
         F.lit(',"degraded":'), F.when(empty, _texts(no_probe)).otherwise(_json_list("degraded")),
         F.lit(',"status":'), json_string(status),
@@ -179,15 +195,15 @@ def _document(joined: DataFrame, producer: Producer) -> DataFrame:
         for k in ("gitCommit", "machineId", "model", "runtimeVersion")
     ])
     head = F.coalesce("head", F.lit(GENESIS))
-    before = F.concat(
-        evidence,
+    before_events = F.concat(
+        after_facts,
         F.lit(f',"format":"{producer.record_format}","formatVersion":{FORMAT_VERSION},"generator":'
               f'{{"name":"{producer.name}","version":"{producer.version}"}},"identity":{{'),
         F.substr(members, F.lit(2)),
         F.lit('},"observations":{"count":'), F.coalesce("count", F.lit(0)).cast("string"),
-        F.lit(',"events":['), F.when(empty, "").otherwise(F.col("events")),
-        F.lit(f'],"genesis":"{GENESIS}","head":"'), head, F.lit('"}'),
+        F.lit(',"events":['),
     )
+    after_events = F.concat(F.lit(f'],"genesis":"{GENESIS}","head":"'), head, F.lit('"}'))
     subject = F.concat(
         F.lit('"subject":{"cwd":'), json_string(F.col("cwd")),
         F.lit(',"endedAt":'), json_string(F.col("ended_at")),
@@ -198,13 +214,28 @@ def _document(joined: DataFrame, producer: Producer) -> DataFrame:
         F.lit(',"sessionNumber":'), F.col("number").cast("string"),
         F.lit(',"startedAt":'), json_string(F.col("started_at")), F.lit("}"),
     )
-    # In steps, so that the long texts are put together and hashed once.
-    texts = joined.select(
-        "session_id", F.col("number").alias("session_number"), status.alias("status"),
-        head.alias("chain_head"), F.coalesce("count", F.lit(0)).alias("event_count"),
-        F.coalesce("fact_count", F.lit(0)).alias("fact_count"), "ended_at",
-        before.alias("before"), subject.alias("subject"),
+    return {
+        "before_facts": before_facts, "before_events": before_events, "after_events": after_events, "subject": subject,
+        "status": status, "chain_head": head,
+    }
+
+
+def header_columns(passages: dict[str, Column]) -> list[Column]:
+    return [
+        F.col("session_id"), F.col("number").alias("session_number"), passages["status"].alias("status"),
+        passages["chain_head"].alias("chain_head"), F.coalesce("count", F.lit(0)).alias("event_count"),
+        F.coalesce("fact_count", F.lit(0)).alias("fact_count"), F.col("ended_at"),
+    ]
+
+
+def _document(joined: DataFrame, producer: Producer) -> DataFrame:
+    said = passages_of(producer)
+    before = F.concat(
+        said["before_facts"], F.coalesce("facts", F.lit("")), said["before_events"],
+        F.when(F.col("count").isNull(), "").otherwise(F.col("events")), said["after_events"],
     )
+    # In steps, so that the long texts are put together and hashed once.
+    texts = joined.select(*header_columns(said), before.alias("before"), said["subject"].alias("subject"))
     addressed = texts.withColumn(
         "record_id", sha256(F.concat(F.lit("{"), "before", F.lit(","), "subject", F.lit("}")))
     )

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import links, record
+from ledgerlens.operators import links, record, record_rows
 from ledgerlens.operators.identity import resolve
 from ledgerlens.plans import bridge, extract
 from ledgerlens.plans.oracle import with_base
@@ -187,3 +187,49 @@ def s7_store_walk(spark, sf_dir):
     )
     files = bridge.load(spark, sf_dir, "events").select("event_id", path.alias("path"))
     return classify_paths(files).select("event_id", "path_class", "kind", "filed_id")
+
+
+# ---- records in rows -----------------------------------------------------------------
+
+def row_store(spark):
+    return record_rows.RowStore(spark, f"{checkpoint_root(spark)}/rows-{uuid.uuid4().hex}")
+
+
+@query("a16_sealed_rows", RECORDS + """
+ SELECT session_id, session_number, status, chain_head, event_count, fact_count, record_id,
+   octet_length(encode('{'||head_part||',"recordId":"'||record_id||'",'||subject||'}'))::BIGINT AS bytes FROM recs""")
+def a16_sealed_rows(spark, sf_dir):
+    """Records whose events stay rows: the same addresses as those of whole texts."""
+    sessions = bridge.ledger_sessions(spark, sf_dir).drop("first_ms", "last_ms")
+    headers, _ = record_rows.sealed_rows(sealed(spark, sf_dir), sessions, exact=False)
+    return headers.select(
+        "session_id", "session_number", "status", "chain_head", "event_count",
+        F.col("fact_count").cast("bigint").alias("fact_count"), "record_id", "bytes",
+    )
+
+
+@query("s8_row_store", RECORDS + """ SELECT 'session #'||session_number AS source, run, CASE WHEN ended_at IS NULL THEN 'skipped-open' WHEN run=1 OR session_number%2=1 THEN 'added' ELSE 'duplicate' END AS status,
+   CASE WHEN ended_at IS NOT NULL THEN record_id END AS object_id FROM recs, (VALUES (1),(2)) AS r(run) WHERE run=2 OR session_number%2=0""")
+def s8_row_store(spark, sf_dir):
+    """Sealing into a store of rows twice, the second time with all sessions."""
+    sessions = settle(bridge.ledger_sessions(spark, sf_dir).drop("first_ms", "last_ms"), "row-sessions")
+    raw = sealed(spark, sf_dir)
+    store = row_store(spark)
+    first = sessions.where(F.col("number") % 2 == 0)
+    own = raw.join(first.select(F.col("id").alias("session_id")), "session_id", "left_semi")
+    one = settle(store.add_sessions(own, first, exact=False), "row-first")
+    two = store.add_sessions(raw, sessions, exact=False)
+    return one.withColumn("run", F.lit(1)).unionByName(two.withColumn("run", F.lit(2)))
+
+
+@query("p8_check_rows", RECORDS + """ SELECT session_id, CASE WHEN session_number%7=3 THEN 'missing'
+   WHEN session_number%7=5 AND contains(split_part(head_part,'"observations":',2),'git push --force') THEN 'altered' ELSE 'verified' END AS verdict FROM recs""")
+def p8_check_rows(spark, sf_dir):
+    """Parts of some records are changed or gone."""
+    sessions = bridge.ledger_sessions(spark, sf_dir).drop("first_ms", "last_ms")
+    headers, parts = record_rows.sealed_rows(sealed(spark, sf_dir), sessions, exact=False)
+    number = headers.select("session_id", "session_number")
+    u = F.col("session_number") % 7
+    text = F.when((u == 5) & (F.col("section") == record_rows.EVENTS), F.replace("text", F.lit("git push --force"), F.lit("git push")))
+    damaged_parts = parts.join(number, "session_id").where(u != 3).withColumn("text", F.coalesce(text, "text")).drop("session_number")
+    return record_rows.checked_rows(headers, damaged_parts).select("session_id", "verdict")
