@@ -10,6 +10,7 @@ from ledgerlens.operators import links, record, record_rows
 from ledgerlens.operators.identity import resolve
 from ledgerlens.plans import bridge, extract
 from ledgerlens.plans.oracle import with_base
+from ledgerlens.plans.queries_graph import IDENTITY_SQL
 from ledgerlens.plans.queries_ledger import RAW_SQL, SESSIONS_SQL
 from ledgerlens.plans.queries_report import RECORDS, VIEW_SQL, built_records, sealed
 from ledgerlens.plans.register import query
@@ -104,15 +105,22 @@ def s15_facts(spark, sf_dir):
     )
 
 
-@query("s15_resolved_repos", with_base(RAW_SQL, VIEW_SQL, SESSIONS_SQL) + """,
- st AS (SELECT session_id FROM gv WHERE kind='session.start')
- SELECT CASE WHEN number%4=3 THEN 'github.com:8443' ELSE 'github.com' END||'/acme/r'||(number%12) AS display_name
- FROM s JOIN st ON st.session_id=s.id WHERE number%5<>0 GROUP BY 1""")
+# Repositories of sealed records; a session without a readable start has neither machine, remotes nor roots.
+RESOLVED = RECORDS + """, st AS (SELECT DISTINCT session_id FROM gv WHERE kind='session.start'),
+ rec AS (SELECT r.record_id, r.session_id, r.chain_head, s.runtime_id, s.started_at, s.cwd, CASE WHEN st.session_id IS NOT NULL THEN 'm'||(number%20) END AS machine_id,
+   CASE WHEN st.session_id IS NOT NULL AND number%5<>0 THEN CASE WHEN number%4=3 THEN 'github.com:8443' ELSE 'github.com' END||'/acme/r'||(number%12) END AS origin,
+   CASE WHEN origin IS NULL THEN [] ELSE [origin] END AS remotes,
+   CASE WHEN st.session_id IS NOT NULL AND number%7<>0 THEN ['root'||(number%9)] ELSE [] END AS roots,
+   substr(sha256(coalesce(machine_id,'unknown')||chr(0)||s.cwd),1,16) AS path_key
+   FROM recs r JOIN s ON s.id=r.session_id LEFT JOIN st ON st.session_id=r.session_id),
+ dirs AS (SELECT '' AS kind, '' AS a, '' AS b, '' AS link_id, '' AS author WHERE false),""" + IDENTITY_SQL
+
+
+@query("s15_resolved_repos", RESOLVED + " SELECT display_name, basis, session_count FROM grp")
 def s15_resolved_repos(spark, sf_dir):
-    """From documents to origin-based repositories."""
+    """From documents to repositories: those known by origin, by root commit and by path alone."""
     tables = extract.extract(documents(spark, sf_dir).select("source", "doc"))
-    groups = resolve(tables.evidence).groups
-    return groups.where(F.col("basis") == "origin").select("display_name")
+    return resolve(tables.evidence).groups.select("display_name", "basis", "session_count")
 
 
 def new_store(spark, name):
