@@ -141,7 +141,9 @@ def repos(g: Graph) -> dict[str, DataFrame]:
         "declared_distinct": g.resolution.declared_distinct,
         "applied_merges": g.resolution.applied.withColumn("cite", cite_link(F.col("link_id"))),
         "unresolved": g.resolution.unresolved.withColumn("cite", cite_link(F.col("link_id"))),
-        "coverage": coverage_block(g, g.records),
+        "coverage": coverage_block(g, g.records).withColumn("_k", F.lit(1)).join(
+            g.resolution.groups.agg(F.count(F.lit(1)).alias("groups")).withColumn("_k", F.lit(1)), "_k"
+        ).drop("_k"),
     }
 
 

@@ -248,6 +248,12 @@ def q1_repos(spark, sf_dir):
     )
 
 
+@query("q1_coverage", G + """ SELECT (SELECT count(*) FROM rec) AS records, (SELECT count(DISTINCT session_id||chain_head) FROM rec) AS sessions, (SELECT count(*) FROM grp) AS groups""")
+def q1_coverage(spark, sf_dir):
+    """What the list of repositories is based on, and how many there are."""
+    return gq.repos(graph(spark, sf_dir))["coverage"].select("records", "sessions", "groups")
+
+
 REPO = "github.com/acme/r1"
 IN_REPO = f"(SELECT lab FROM grp WHERE display_name='{REPO}' OR list_contains(origins,'{REPO}'))"
 
