@@ -1,9 +1,12 @@
 """URL filters by a tree of path templates.
 
-Per host, paths are read segment by segment.  A segment stays literal where it recurs
-and its labelled pages differ, statistically, from the rest of its branch; all others
-share one wildcard branch.  A template is judged by the smoothed share of bad labels.
-A branch is followed as deep as its labels are mixed; below that no segment can differ.
+Per host, paths are read segment by segment.  A segment stays literal where its
+labelled pages differ, statistically, from the rest of its branch; all others share one
+wildcard branch.  A template is judged by the smoothed share of bad labels.
+
+A branch is read at all its depths at once, down to the first one where a segment
+becomes literal; so a round ends at a split, and rounds follow the number of nested
+splits, not the length of paths.
 """
 
 from __future__ import annotations
@@ -22,10 +25,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-#: Tails without mixed labels are spelled out up to this segment.
-DEPTH = 8
-MIN_PAGES = 5
-DIFFERENT = 1.96
+#: How often a branch may, by chance alone, have a literal segment at one depth.
+CHANCE = 0.05
 PRIOR_PAGES = 5.0
 BAD_SHARE = 0.5
 
@@ -56,44 +57,64 @@ def paths(pages: DataFrame) -> DataFrame:
     ).withColumn("bad", F.coalesce("bad", F.lit(0)))
 
 
-def templates(distinct: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``host, path, template``.
+def chance_bound() -> Column:
+    """Logarithm of a bound on the chance of a section's labels at the rate of the rest (Chernoff's bound of binomial tails)."""
+    rest_labelled, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
+    good = F.col("labelled") - F.col("bad")
+    rate = (rest_bad + 1) / (rest_labelled + 2)
+    likelihood = lambda n, p: F.when(n > 0, n * F.log(p * F.col("labelled") / n)).otherwise(F.lit(0.0))
+    return likelihood(F.col("bad"), rate) + likelihood(good, 1 - rate)
+
+
+def literal_segments(live: DataFrame) -> DataFrame:
+    """``branch, level, part``: the literal segments of each branch at the first level that has any.
 
-    Each round reads one more segment of the paths in branches that hold good and bad
-    labels, for as many rounds as there are such branches.  In any other branch nothing
-    can differ statistically: its segments are wildcards, those beyond ``depth`` one ``**``.
+    A segment is literal if the rest of its branch at that level has labels too, and the
+    chance of its own, times the number of labelled segments beside it, is below ``CHANCE``.
     """
+    sums = [F.sum(c).alias(c) for c in ("labelled", "bad")]
+    child = live.where("labelled > 0").select(
+        "branch", "level", "labelled", "bad", F.posexplode(F.slice("parts", F.col("level") + 1, F.size("parts"))).alias("at", "part")
+    ).withColumn("level", F.col("level") + F.col("at")).groupBy("branch", "level", "part").agg(*sums)
+    child = settle(child, "url-sections")
+    node = child.groupBy("branch", "level").agg(
+        F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"), F.count(F.lit(1)).alias("sections")
+    ).where("all_bad > 0 AND all_bad < all_labelled AND sections > 1")
+    apart = chance_bound() + F.log("sections") < F.log(F.lit(CHANCE))
+    found = settle(attach(child, node, ["branch", "level"], hash_salt("part"), "inner").where(apart).select("branch", "level", "part"), "url-literals")
+    first = found.groupBy("branch").agg(F.min("level").alias("level"))
+    return attach(found, first, ["branch", "level"], hash_salt("part"), "inner").select("branch", "level", "part")
+
+
+def templates(distinct: DataFrame) -> DataFrame:
+    """``host, path, template`` with the counts of the path; other segments than literal ones are ``*``."""
     parts = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split(F.substring(F.col("path"), 2, 1 << 30), "/", -1))
     names = ["host", "path", "pages", "labelled", "bad", "template"]
-    rows = settle(distinct.withColumn("parts", parts).withColumn("template", F.lit("")), "url-paths")
-    out, live, i = rows.where(F.size("parts") == 0).select(*names), rows.where(F.size("parts") > 0), 0
-    while not live.isEmpty():
-        live = live.withColumn("part", F.get("parts", F.lit(i)))
-        sums = [F.sum(c).alias(c) for c in ("pages", "labelled", "bad")]
-        child = live.groupBy("host", "template", "part").agg(*sums)
-        node = child.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("pages", "labelled", "bad")])
-        mixed = node.where((F.col("all_pages") >= MIN_PAGES) & (F.col("all_bad") > 0) & (F.col("all_bad") < F.col("all_labelled")))
-        both = attach(child, mixed, ["host", "template"], hash_salt("part"), "inner")
-        rest_labelled, rest_bad = F.col("all_labelled") - F.col("labelled"), F.col("all_bad") - F.col("bad")
-        pooled = F.try_divide("all_bad", "all_labelled")
-        own, rest = F.try_divide("bad", "labelled"), F.try_divide(rest_bad, rest_labelled)
-        inverse = F.try_divide(F.lit(1.0), F.col("labelled")) + F.try_divide(F.lit(1.0), rest_labelled)
-        apart = F.abs(own - rest) > DIFFERENT * F.sqrt(pooled * (1 - pooled) * inverse)
-        literal = both.where(
-            (F.col("pages") >= MIN_PAGES) & (F.col("labelled") > 0) & (rest_labelled > 0) & apart
-        ).select("host", "template", "part", F.lit(True).alias("literal"))
-        opened = attach(live, mixed.select("host", "template", F.lit(True).alias("open")), ["host", "template"], hash_salt("path"))
-        marked = attach(opened, literal, ["host", "template", "part"], hash_salt("path"))
-        left = F.size("parts")
-        tail = F.when(left <= depth, F.repeat(F.lit("/*"), left - i)).otherwise(F.lit("/*" * max(0, depth - i) + "/**"))
-        step = F.when(F.col("open").isNull(), tail).when(F.col("literal"), F.concat(F.lit("/"), "part")).otherwise("/*")
-        i += 1
-        rows = settle(marked.withColumns({
-            "template": F.concat("template", step), "ended": F.col("open").isNull() | (left == i),
-        }).select(*names, "parts", "ended"), "url-templates")
-        out = out.unionByName(rows.where("ended").select(*names))
-        live = rows.where("NOT ended").drop("ended")
-    return out
+    branch = F.md5(F.concat("host", "template"))  # no host holds a slash
+    live = distinct.withColumn("parts", parts).withColumns({"template": F.lit(""), "level": F.lit(0)})
+    live = settle(live.withColumn("branch", branch), "url-paths")
+    literal_name = F.when(F.col("part") == "*", r"\*").otherwise(F.col("part"))
+    out = None
+    while True:
+        literal = settle(literal_segments(live), "url-splits")
+        split = literal.select("branch", F.col("level").alias("at")).distinct()
+        rows = attach(live, split, ["branch"], hash_salt("path")).withColumn("part", F.get("parts", F.col("at")))
+        rows = attach(rows, literal.select("branch", "part", F.lit(True).alias("literal")), ["branch", "part"], hash_salt("path"))
+        deep = F.size("parts")
+        wild = lambda n: F.repeat(F.lit("/*"), n.cast("int"))
+        on = F.col("at").isNotNull() & (F.col("at") < deep)
+        step = F.when(~on, wild(deep - F.col("level"))).otherwise(F.concat(
+            wild(F.col("at") - F.col("level")), F.when(F.col("literal"), F.concat(F.lit("/"), literal_name)).otherwise("/*")
+        ))
+        rows = settle(rows.select(
+            "host", "path", "pages", "labelled", "bad", F.concat("template", step).alias("template"), "parts",
+            F.when(on, F.col("at") + 1).otherwise(deep).cast("int").alias("level"),
+        ).withColumn("branch", branch), "url-templates")
+        ended = rows.where(F.col("level") >= F.size("parts")).select(*names)
+        out = ended if out is None else out.unionByName(ended)
+        live = rows.where(F.col("level") < F.size("parts"))
+        if live.isEmpty():
+            return out
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -397,7 +397,7 @@ def test_templates_follow_the_labels(spark):
     got = {r.page_id: r for r in url_templates.judge(pages, rules=()[:0] or (("allow", "none", "/"),)).collect()}
     assert len(got) == len(rows)
     assert got[i].verdict == got[i + 1].verdict == "block" and got[i].template == "/spam/*/*"
-    assert {got[j].verdict for j in range(0, 360, 3)} == {"allow"} and got[i + 2].template.endswith("/**")
+    assert {got[j].verdict for j in range(0, 360, 3)} == {"allow"} and got[i + 2].template == "/*" * 41
 
 
 # -- 10: sharding -------------------------------------------------------------
