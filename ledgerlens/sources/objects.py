@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ledgerlens.functions.canon import canonical_json
 from ledgerlens.operators.links import check_links, dangling_links
 from ledgerlens.operators.record import build_records, check_records
 from ledgerlens.settings import DEFAULT_PRODUCER, Producer, settle
+from ledgerlens.sources.digests import missing_ids, prefix_digests
 
 RESULT = "source string, kind string, object_id string, status string, errors array<string>"
 #: Rows of one stored file; longer appends write more files.
@@ -261,29 +264,35 @@ class ObjectStore:
 def union_stores(local: ObjectStore, remote: ObjectStore, exact: bool = True) -> DataFrame:
     """Pull what is missing here through the gate, push what is missing there.
 
-    Nothing is ever deleted, and a second run finds nothing to do.
+    Nothing is ever deleted, and a second run finds nothing to do.  Only prefixes whose
+    digests differ are read, and of those only the texts that one side misses; stores
+    that hold the same objects are told so by their file listings and kept digests.
     """
-    reports = []
-    missing = {}
+    reports, missing = [], {}
     for kind in ("record", "link"):
-        here, there = local.objects(kind), remote.objects(kind)
-        missing[kind] = (
-            settle(there.join(here.select("object_id"), "object_id", "left_anti"), f"pull-{kind}s"),
-            settle(here.join(there.select("object_id"), "object_id", "left_anti"), f"push-{kind}s"),
-        )
+        prefixes, pull, push = missing_ids(local, remote, kind)
+        if prefixes:
+            part = F.col("prefix").isin(prefixes)
+            missing[kind] = (
+                settle(remote.objects(kind).where(part).join(pull, "object_id", "left_semi"), f"pull-{kind}s"),
+                settle(local.objects(kind).where(part).join(push, "object_id", "left_semi"), f"push-{kind}s"),
+            )
     for kind, (pull, push) in missing.items():
-        offered = pull.select(F.col("object_id").alias("source"), "doc")
+        # An id may be stored with several texts; each of them is put to the gate.
+        offered = pull.select(F.concat("object_id", F.lit("/"), F.sha2("doc", 256)).alias("source"), "doc").distinct()
         pulled = local._add(kind, offered, exact)
+        push = push.dropDuplicates(["object_id", "doc"])
         remote._append(kind, push.select("object_id", "doc", F.substring("object_id", 1, 2).alias("prefix")))
         reports.append(pulled.select(F.lit("pull").alias("direction"), "kind", "object_id", "status", "errors"))
         reports.append(push.select(
             F.lit("push").alias("direction"), F.lit(kind).alias("kind"), "object_id",
             F.lit("added").alias("status"), F.array().cast("array<string>").alias("errors"),
         ))
-    out = reports[0]
-    for more in reports[1:]:
-        out = out.unionByName(more)
-    return out
+        for store in (local, remote):
+            prefix_digests(store, kind)  # kept for the next run
+    if not reports:
+        return local.spark.createDataFrame([], f"direction string, {RESULT}").drop("source")
+    return reduce(DataFrame.unionByName, reports)
 
 
 def write_canonical(docs: DataFrame, doc_col: str, path: str) -> None:
