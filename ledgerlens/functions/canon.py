@@ -126,10 +126,10 @@ def hash_of(text: Column, exact: bool = True) -> Column:
 
 
 def without_key(text: Column, key: str, exact: bool = True) -> Column:
-    """Canonical JSON of an object text with one top-level key removed."""
+    """Canonical JSON of an object text with one top-level key removed; null for any other text."""
     parsed = F.try_parse_json(text)
     members = F.transform_values(
-        F.map_filter(parsed.cast("map<string,variant>"), lambda k, _: k != key),
+        F.map_filter(F.try_variant_get(parsed, "$", "map<string,variant>"), lambda k, _: k != key),
         lambda _, v: F.coalesce(F.to_json(v), F.lit("null")),
     )
     parts = F.transform(

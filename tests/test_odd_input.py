@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.redact import redact_json
-from ledgerlens.operators import diff
+from ledgerlens.operators import diff, links, record
 from ledgerlens.plans.queries_stream import run_arrivals
 from ledgerlens.sources.objects import read_object_files
 from ledgerlens.streaming import ingest
@@ -101,3 +101,12 @@ def test_few_edits_in_long_files_are_found_quickly():
     script = diff._align("\n".join(a), "\n".join(b))
     assert sum(op != " " for op, _ in script) == 50
     assert [t for op, t in script if op != "+"] == a and [t for op, t in script if op != "-"] == b
+
+
+def test_json_that_is_no_object_is_refused_among_others(spark):
+    texts = ["[]", "[1]", "3", "1e400", "-0.0", '"x"', "true", "null", "", None, "{}", '[{"a":1e30}]', "nope", '{"recordId":[],"linkId":{}}']
+    objects = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "source string, doc string")
+    for check in (record.check_records, links.check_links):
+        rows = check(objects).collect()
+        assert sorted(int(r.source) for r in rows) == list(range(len(texts)))
+        assert {r.verdict for r in rows} == {"invalid"} and all(r.errors for r in rows)
