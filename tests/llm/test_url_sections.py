@@ -40,13 +40,15 @@ def test_paths_of_thousands_of_segments(spark):
 
 
 def test_a_section_of_four_is_enough_and_single_pages_are_not_learnt(spark):
-    """Four bad pages make a literal section; the smoothing blocks it from five or six on."""
-    rows = [(f"http://h.org/p/{k}", k == 7) for k in range(100)] + [(f"http://h.org/few/{k}", True) for k in range(4)]
+    """Four bad pages make a literal section; at this share of bad labels the smoothing blocks six of them, not four."""
+    rows = [(f"http://h.org/p/{k}", k == 7) for k in range(200)] + [(f"http://h.org/few/{k}", True) for k in range(4)]
     rows += [(f"http://h.org/six/{k}", True) for k in range(6)]
     got = judged(spark, rows)
-    assert {got[i].template for i in range(100)} == {"/p/*"} and {got[i].verdict for i in range(100)} == {"allow"}
-    assert {(got[i].template, got[i].verdict) for i in range(100, 104)} == {("/few/*", "allow")}
-    assert {(got[i].template, got[i].verdict) for i in range(104, 110)} == {("/six/*", "block")}
+    prior = 11 / 210
+    shares = {"/p/*": (1 + 5 * prior) / 205, "/few/*": (4 + 5 * prior) / 9, "/six/*": (6 + 5 * prior) / 11}
+    for few, template, verdict in ((range(200), "/p/*", "allow"), (range(200, 204), "/few/*", "allow"), (range(204, 210), "/six/*", "block")):
+        assert {(got[i].template, got[i].verdict) for i in few} == {(template, verdict)}
+        assert all(abs(got[i].bad_share - shares[template]) < 1e-12 for i in few)
 
 
 def test_splits_below_splits_and_a_segment_that_is_a_star(spark):
