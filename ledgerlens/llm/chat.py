@@ -7,13 +7,15 @@ with two other texts.  A template whose output does not begin with what it said
 rewrites history and is reported.
 
 Only a template that is marked ``by_turn`` is rendered in segments; any other sees every
-turn with the whole conversation before it.  The mark is checked at linear cost: the whole
-conversation is rendered once more, and where that is not what the segments say, its turns
-are rendered with their whole history as for any other template.
+turn with the whole conversation before it.  The mark is checked at linear cost, whatever the
+length: the whole conversation is rendered once more, and where that is not what the segments
+say, its turns are rendered with their whole history as for any other template.  A template
+that is made of a function of one turn (``from_turns``) needs no check and is never held.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import re
@@ -30,7 +32,7 @@ CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS))
 _TURN = re.compile(r"<s>\[INST\](.*?)\[/INST\](.*?)</s>", re.S)
 SEGMENT_TURNS = 32
-#: Characters of texts up to which a conversation of a ``by_turn`` template is held to check the mark.
+#: Without effect: marks are checked at every length.  Callers may still set it.
 CHECKED_CHARS = 16 << 20
 OUT_CHARS = 4 << 20
 
@@ -53,10 +55,20 @@ def unescape(text: str) -> str:
     return re.sub(r"\\([\\|])", lambda m: "\\" if m[1] == "\\" else "", text)
 
 
-@by_turn
-def bracket_template(messages: list[tuple[str, str]]) -> str:
+def from_turns(turn: Callable[[str, str], str]) -> Template:
+    """A template that joins what ``turn(role, text)`` says, so it is by turn as it is made."""
+    @functools.wraps(turn)
+    def template(messages: list[tuple[str, str]]) -> str:
+        return "".join(turn(role, text) for role, text in messages)
+
+    template.from_turns = True
+    return by_turn(template)
+
+
+@from_turns
+def bracket_template(role: str, text: str) -> str:
     """The default: role and text of every turn between control strings, both escaped."""
-    return "".join(f"<s>[INST]{escape(role)}[/INST]{escape(text)}</s>" for role, text in messages)
+    return f"<s>[INST]{escape(role)}[/INST]{escape(text)}</s>"
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -98,12 +110,12 @@ def format_conversations(
     """``conv_id, segment, turns, formatted, spans, loss, rewrites_history``, one row per segment.
 
     Rows of a conversation stream in turn order (ties by role and text, null turns
-    first) through one sorted task.  Of a ``by_turn`` template only ``segment_turns`` turns
-    are held and rendered together, so a conversation of any length needs bounded memory
-    and linear time, and its segments follow one another.  A conversation of up to
-    ``CHECKED_CHARS`` is also rendered whole; where that is not what the segments say, the
-    mark is wrong and the template is treated as one without it.  Of longer ones the mark
-    is believed.  With any other template a conversation is one segment: it is held whole
+    first) through one sorted task.  Of a template made ``from_turns`` only ``segment_turns``
+    turns are held and rendered together, so a conversation of any length needs bounded memory
+    and linear time, and its segments follow one another.  Of one that is marked ``by_turn`` a
+    conversation is held and also rendered whole, whatever its length; where that is not what
+    the segments say, the mark is wrong and the template is treated as one without it.  With
+    any other template a conversation is one segment: it is held whole
     and rendered up to each of its turns, in time that grows with the square of its turns.
     ``spans`` and ``loss`` are character ranges of ``formatted``; a turn without a place of its
     own has a null span, ``loss`` is null if such a turn belongs to it, and both are null where
@@ -112,6 +124,7 @@ def format_conversations(
     """
     narrow_batches(conversations.sparkSession, 1024)
     most = segment_turns if getattr(template, "by_turn", False) else None
+    of_turns = getattr(template, "from_turns", False)
     rows = conversations.select(
         F.col("conv_id").cast("bigint"), F.col("turn"),
         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
@@ -139,24 +152,24 @@ def format_conversations(
             if most is None:
                 yield made(conv, 0, list(messages))
                 return
-            segment, held, whole, waiting, size = 0, [], [], [], 0
-            for message in messages:
-                if len(held) == most:
-                    waiting.append(made(conv, segment, held))
-                    segment, held = segment + 1, []
-                held.append(message)
-                size += len(message[0]) + len(message[1])
-                if whole is not None and size <= CHECKED_CHARS:
-                    whole.append(message)
-                else:
-                    whole = None
-                    yield from waiting
-                    waiting = []
-            waiting.append(made(conv, segment, held))
-            # Segments that begin anew must say what the whole conversation says.
-            if whole is not None and segment and template(whole) != "".join(row[3] for row in waiting):
-                waiting = [made(conv, 0, whole)]
-            yield from waiting
+            if not of_turns:
+                # Segments that begin anew must say what the whole conversation says.
+                messages = list(messages)
+                if len(messages) > most and not joined(messages):
+                    yield made(conv, 0, messages)
+                    return
+            for segment, held in enumerate(itertools.batched(messages, most)):
+                yield made(conv, segment, list(held))
+
+        def joined(messages):
+            """Whether the whole conversation's output is that of its segments, one after the other."""
+            said, at = template(messages), 0
+            for held in itertools.batched(messages, most):
+                text = template(list(held))
+                if not said.startswith(text, at):
+                    return False
+                at += len(text)
+            return at == len(said)
 
         def messages_of():
             for batch in batches:
