@@ -98,53 +98,52 @@ def verify_chain(raw: DataFrame, exact: bool = True) -> DataFrame:
     )
 
 
+#: Stands for the sequence number until the fold assigns it; JSON text cannot contain it.
+SLOT = "\u0001"
+
+
 def build_chain(drafts: DataFrame, exact: bool = True) -> DataFrame:
     """Order drafts by (ts, id), nulls last, assign seq and fold the hashes.
 
     The fold is sequential by definition: a session's events stream, in order, through
-    one task that holds one Arrow batch at a time.
+    one task that holds one Arrow batch at a time.  Whole rows pass through it, so events
+    are put together and sorted once.
     """
     docs = canonical_docs(drafts.select(*DRAFT_COLUMNS), exact)
-    minute = F.substring("ts", 1, 16)
-    placed = ordered_view(docs, ["session_id"], minute, ["ts", "id"], position="seq")
     head, tail = event_body()
-    hashes = fold_hashes(placed.select("session_id", "seq", head.alias("h"), tail.alias("t")))
-    sealed = hashes.withColumnsRenamed({"session_id": "_session", "seq": "_seq"})
-    return placed.join(
-        sealed, F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("seq") == F.col("_seq"))
-    ).drop("_session", "_seq")
-
-
-_SEALED = T.StructType([
-    T.StructField("session_id", T.StringType()),
-    T.StructField("seq", T.LongType()),
-    T.StructField("prev_hash", T.StringType()),
-    T.StructField("hash", T.StringType()),
-])
+    return fold_hashes(docs.withColumn("seq", F.lit(SLOT)).select(*DRAFT_COLUMNS, head.alias("h"), tail.alias("t")))
 
 
 def fold_hashes(bodies: DataFrame) -> DataFrame:
-    """Fold ``(session_id, seq, h, t)`` into prev_hash and hash.
+    """Rows with ``h, t``, the body around ``prevHash`` with ``SLOT`` for its number, to rows with seq, prev_hash and hash.
 
     Sessions meet the fold as a stream of Arrow batches in key order, never as one
-    in-memory group: partitions are cut by session and sorted by (session, seq).
+    in-memory group: partitions are cut by session and sorted by (session, ts, id).
     """
-    ordered = bodies.repartition("session_id").sortWithinPartitions("session_id", "seq")
-    return ordered.mapInPandas(_fold_batches, _SEALED)
+    ordered = bodies.repartition("session_id").sortWithinPartitions(
+        "session_id", F.col("ts").asc_nulls_last(), F.col("id").asc_nulls_last()
+    )
+    kept = [f for f in bodies.schema.fields if f.name not in ("h", "t")]
+    added = [T.StructField("seq", T.LongType()), T.StructField("prev_hash", T.StringType()), T.StructField("hash", T.StringType())]
+    return ordered.mapInArrow(_fold_batches, T.StructType([*kept, *added]))
 
 
 def _fold_batches(batches):
     import hashlib
 
-    session, prev = None, GENESIS
-    for pdf in batches:
-        prevs, hashes = [], []
-        for sid, head, tail in zip(pdf["session_id"], pdf["h"], pdf["t"]):
+    import pyarrow as pa
+
+    session, seq, prev = None, 0, GENESIS
+    for batch in batches:
+        seqs, prevs, hashes = [], [], []
+        for sid, head, tail in zip(*(batch.column(c).to_pylist() for c in ("session_id", "h", "t"))):
             if sid != session:
-                session, prev = sid, GENESIS
+                session, seq, prev = sid, 0, GENESIS
+            seq += 1
+            seqs.append(seq)
             prevs.append(prev)
-            prev = hashlib.sha256((prev + head + prev + tail).encode("utf-8")).hexdigest()
+            prev = hashlib.sha256((prev + head + prev + tail.replace(SLOT, str(seq))).encode("utf-8")).hexdigest()
             hashes.append(prev)
-        out = pdf[["session_id", "seq"]].copy()
-        out["prev_hash"], out["hash"] = prevs, hashes
-        yield out
+        rows = batch.drop_columns(["h", "t"])
+        added = {"seq": pa.array(seqs, pa.int64()), "prev_hash": pa.array(prevs, pa.string()), "hash": pa.array(hashes, pa.string())}
+        yield pa.RecordBatch.from_arrays([*rows.columns, *added.values()], [*rows.schema.names, *added])
