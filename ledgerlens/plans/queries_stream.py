@@ -93,9 +93,9 @@ END_MS = 1_800_000_000_000
 def t3_stream_settled_writes(spark, sf_dir):
     """Each write comes as a burst of three and a later no-op, the middle of the burst first, and once without a
     time; one row is left."""
-    w = bridge.ledger_events(spark, sf_dir).where(F.col("kind") == "file.write").select(
+    w = settle(bridge.ledger_events(spark, sf_dir).where(F.col("kind") == "file.write").select(
         "session_id", "path", "id", "ts_ms"
-    )
+    ), "writes")
     part = lambda n, ms, before, after: w.select(
         "session_id", "path", F.concat("id", F.lit(f"-{n}")).alias("id"), (F.col("ts_ms") + ms).alias("ts_ms"),
         F.lit(before).alias("before_ref"), F.lit(after).alias("after_ref"),

@@ -118,44 +118,57 @@ def untimed(rows: DataFrame) -> DataFrame:
 _WRITE = "session_id string, path string, id string, ts_ms bigint, before_ref string, after_ref string"
 
 
-def _settle_path(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Hold the writes of a path until the watermark has passed them and the quiet time after
+#: Groups that paths are dealt to, so that a batch calls Python a bounded number of times.
+WRITE_BUCKETS = 1024
+_HELD = ("session_id", "path", "id", "ts_ms", "before_ref", "after_ref")
+
+
+def _settle_bucket(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Hold the writes of each path until the watermark has passed them and the quiet time after
     them, so that late rows take their place before bursts are put together."""
     held = list(zip(*state.get)) if state.exists else []
     if not state.hasTimedOut:
         for part in parts:
-            held += list(part[["id", "ts_ms", "before_ref", "after_ref"]].itertuples(index=False, name=None))
-    held.sort(key=lambda w: (w[1], w[0] is None, w[0]))
-    bursts: list[list[tuple]] = []
+            held += list(part[list(_HELD)].itertuples(index=False, name=None))
+    paths: dict[tuple, list[tuple]] = {}
     for write in held:
-        if bursts and write[1] - bursts[-1][-1][1] <= DEBOUNCE_MS:
-            bursts[-1].append(write)
-        else:
-            bursts.append([write])
-    passed = state.getCurrentWatermarkMs()
-    done = [b for b in bursts if b[-1][1] + DEBOUNCE_MS < passed]
-    open_ = bursts[len(done):]
+        paths.setdefault(write[:2], []).append(write)
+    passed, out, open_, wake = state.getCurrentWatermarkMs(), [], [], []
+    for writes in paths.values():
+        writes.sort(key=lambda w: (w[3], w[2] is None, w[2]))
+        bursts: list[list[tuple]] = []
+        for write in writes:
+            if bursts and write[3] - bursts[-1][-1][3] <= DEBOUNCE_MS:
+                bursts[-1].append(write)
+            else:
+                bursts.append([write])
+        done = [b for b in bursts if b[-1][3] + DEBOUNCE_MS < passed]
+        out += [(*b[0][:2], b[-1][2], int(b[-1][3]), b[0][4], b[-1][5]) for b in done]
+        if len(done) < len(bursts):
+            open_ += [w for b in bursts[len(done):] for w in b]
+            wake.append(int(bursts[len(done)][-1][3]) + DEBOUNCE_MS + 1)
     if open_:
-        state.update(tuple(map(list, zip(*[w for b in open_ for w in b]))))
-        state.setTimeoutTimestamp(max(int(open_[0][-1][1]) + DEBOUNCE_MS + 1, passed + 1))
+        state.update(tuple(map(list, zip(*open_))))
+        state.setTimeoutTimestamp(max(min(wake), passed + 1))
     elif state.exists:
         state.remove()
-    out = [(*key, b[-1][0], int(b[-1][1]), b[0][2], b[-1][3]) for b in done]
-    kept = [w for w in out if w[4] is None or w[4] != w[5]]
-    yield pd.DataFrame(kept, columns=["session_id", "path", "id", "ts_ms", "before_ref", "after_ref"])
+    yield pd.DataFrame([w for w in out if w[4] is None or w[4] != w[5]], columns=list(_HELD))
 
 
 def settled_writes(writes: DataFrame, delay: str = "1 second") -> DataFrame:
     """T3 over ``_WRITE`` columns: bursts within 120 ms collapse, no-op writes vanish.
 
-    Writes without a time never reach the state; ``untimed`` returns them.
+    Writes without a time never reach the state; ``untimed`` returns them.  Paths share
+    ``WRITE_BUCKETS`` groups, each with the open writes of its paths as its state.
     """
+    bucket = F.pmod(F.xxhash64("session_id", "path"), F.lit(WRITE_BUCKETS)).cast("int")
     return (
         writes.where(F.col("ts_ms").isNotNull()).withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", delay)
-        .groupBy("session_id", "path")
+        .withColumn("bucket", bucket).groupBy("bucket")
         .applyInPandasWithState(
-            _settle_path, _WRITE,
-            "id array<string>, ts_ms array<bigint>, before_ref array<string>, after_ref array<string>",
+            _settle_bucket, _WRITE,
+            "session_id array<string>, path array<string>, id array<string>, ts_ms array<bigint>, "
+            "before_ref array<string>, after_ref array<string>",
             "append", GroupStateTimeout.EventTimeTimeout,
         )
     )
