@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 # exponent, with more digits than a double holds or tiny ones, control and surrogate escapes.
 _AT = r"(?:^|[:,\[\s])-?"
 _EXACT_PATH = (
-    rf"{_AT}[0-9.]+[eE]|{_AT}[0-9.]{{16}}|{_AT}0\.0{{6}}|\\u(?:00[01]|[dD][89a-fA-F])"
+    rf"{_AT}(?:[0-9.]+[eE]|[0-9.]{{16}}|0\.0{{6}})|\\u(?:00[01]|[dD][89a-fA-F])"
 )
 
 
@@ -93,9 +93,14 @@ def _exact_without_udf(texts: pd.Series, keys: pd.Series) -> pd.Series:
     return pd.Series([_exact(t, k) for t, k in zip(texts, keys)], dtype=object)
 
 
+def needs_exact_text(text: Column) -> Column:
+    """Texts with numbers or escapes that the variant printer does not bring into canonical form."""
+    return text.rlike(_EXACT_PATH)
+
+
 def needs_exact(text: Column) -> Column:
     """Texts that the variant printer alone does not bring into canonical form."""
-    return text.rlike(_EXACT_PATH) | F.try_parse_json(text).isNull()
+    return needs_exact_text(text) | F.try_parse_json(text).isNull()
 
 
 def canonical_json(text: Column, exact: bool = True) -> Column:
@@ -125,9 +130,8 @@ def hash_of(text: Column, exact: bool = True) -> Column:
     return sha256(canonical_json(text, exact))
 
 
-def without_key(text: Column, key: str, exact: bool = True) -> Column:
-    """Canonical JSON of an object text with one top-level key removed; null for any other text."""
-    parsed = F.try_parse_json(text)
+def variant_without_key(parsed: Column, key: str) -> Column:
+    """JSON of a parsed object with one top-level key removed, as the variant printer gives it; null for any other value."""
     members = F.transform_values(
         F.map_filter(F.try_variant_get(parsed, "$", "map<string,variant>"), lambda k, _: k != key),
         lambda _, v: F.coalesce(F.to_json(v), F.lit("null")),
@@ -136,7 +140,13 @@ def without_key(text: Column, key: str, exact: bool = True) -> Column:
         F.array_sort(F.map_entries(members)),
         lambda e: F.concat(F.to_json(e["key"].cast("variant")), F.lit(":"), e["value"]),
     )
-    fast = F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+    return F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}"))
+
+
+def without_key(text: Column, key: str, exact: bool = True) -> Column:
+    """Canonical JSON of an object text with one top-level key removed; null for any other text."""
+    parsed = F.try_parse_json(text)
+    fast = variant_without_key(parsed, key)
     if not exact:
         return fast
     needs_exact = text.rlike(_EXACT_PATH) | parsed.isNull()

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.canon import (
-    canonical_json, chain_hash, content_address, event_body, json_string, needs_exact, sha256,
+    canonical_json, chain_hash, content_address, event_body, json_string, needs_exact, needs_exact_text, sha256,
+    variant_without_key,
 )
 from ledgerlens.operators.chain import break_reason, canonical_docs, verify_chain
 from ledgerlens.operators.facts import evaluate
@@ -281,7 +283,8 @@ def record_events(parsed: DataFrame, exact: bool = True) -> DataFrame:
         "body": body_of(e),
     }
     out = rows.select("source", "subject_id", "pos", "e", *[c.alias(k) for k, c in cols.items()])
-    body = canonical_json(F.col("body"), exact)
+    # Without odd numbers the variant printer's own text is canonical already.
+    body = canonical_json(F.col("body"), True) if exact else F.col("body")
     return out.withColumn("computed", sha256(F.concat("prev_hash", body))).drop("body")
 
 
@@ -358,6 +361,43 @@ def check_by_kind(objects: DataFrame, check, exact: bool) -> DataFrame:
     return check(objects.where(~odd), False).unionByName(check(objects.where(odd), True))
 
 
+@dataclass(frozen=True)
+class ReadObjects:
+    """Documents parsed and addressed once: ``source, v, actual_id``, and ``doc`` of the ``odd`` ones.
+
+    ``odd`` holds what the variant printer alone does not bring into canonical form, or is None.
+    """
+
+    even: DataFrame
+    odd: DataFrame | None
+
+    def texts(self, exact: bool = True) -> DataFrame:
+        """``source, doc`` with every document in canonical form."""
+        even = self.even.select("source", F.to_json("v").alias("doc"))
+        if self.odd is None:
+            return even
+        return even.unionByName(self.odd.select("source", canonical_json(F.col("doc"), exact).alias("doc")))
+
+
+def read_objects(objects: DataFrame, id_key: str = "recordId", exact: bool = True) -> ReadObjects:
+    """Parse ``source, doc`` and take the content address of every document, in one pass that is written down."""
+    v = F.col("v")
+    parsed = objects.select("source", "doc", F.try_parse_json("doc").alias("v"))
+    odd = F.coalesce(needs_exact_text(F.col("doc")), F.lit(False)) | v.isNull() if exact else F.lit(False)
+    marked = parsed.select("source", "doc", "v", odd.alias("odd"))
+    read = settle(marked.select(
+        "source", "odd", "v", F.when(F.col("odd"), F.col("doc")).alias("doc"),
+        F.when(~F.col("odd"), sha256(variant_without_key(v, id_key))).alias("actual_id"),
+    ), "read-objects")
+    even = read.where(~F.col("odd")).select("source", "v", "actual_id")
+    if not exact or read.where("odd").isEmpty():
+        return ReadObjects(even, None)
+    repaired = F.try_parse_json(canonical_json(F.when(v.isNull(), F.col("doc"))))
+    return ReadObjects(even, settle(read.where("odd").select(
+        "source", "doc", F.coalesce(v, repaired).alias("v"), content_address(F.col("doc"), id_key).alias("actual_id"),
+    ), "read-odd"))
+
+
 def check_records(
     objects: DataFrame, producer: Producer = DEFAULT_PRODUCER, exact: bool = True
 ) -> DataFrame:
@@ -365,11 +405,16 @@ def check_records(
 
     ``objects`` holds one document per ``source``, each within the object bound.
     """
-    return check_by_kind(objects, lambda o, e: _check_records(o, producer, e), exact)
+    return check_read(read_objects(objects, exact=exact), producer)
+
+
+def check_read(read: ReadObjects, producer: Producer = DEFAULT_PRODUCER) -> DataFrame:
+    """P8 over documents that are read already."""
+    checked = _check_records(read.even, producer, False)
+    return checked if read.odd is None else checked.unionByName(_check_records(read.odd, producer, True))
 
 
-def _check_records(objects: DataFrame, producer: Producer, exact: bool) -> DataFrame:
-    parsed = parse_objects(objects, exact)
+def _check_records(parsed: DataFrame, producer: Producer, exact: bool) -> DataFrame:
     v = F.col("v")
     frame = frame_errors(v, producer.record_format, FORMAT_VERSION, f"{producer.label} evidence record", "")
     not_json = F.when(v.isNull(), F.array(F.lit("not valid JSON")))
@@ -377,7 +422,7 @@ def _check_records(objects: DataFrame, producer: Producer, exact: bool) -> DataF
         "source",
         F.coalesce(not_json, frame, _structural(v)).alias("shape_errors"),
         text_at(v, "$.recordId").alias("record_id"),
-        content_address(F.col("doc"), "recordId", exact).alias("actual_id"),
+        "actual_id",
         text_at(v, "$.subject.sessionId").alias("subject_id"),
         text_at(v, "$.observations.head").alias("head"),
         number_at(v, "$.observations.count").alias("count"),

@@ -7,10 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.canon import canonical_json, needs_exact
+from ledgerlens.functions.canon import canonical_json
 from ledgerlens.functions.paths import rel_path_of
 from ledgerlens.operators.identity import evidence_from
-from ledgerlens.operators.record import check_records, parse_objects, record_events
+from ledgerlens.operators.record import check_read, read_objects, record_events
 from ledgerlens.schemas import (
     array_at, flag_at, iso_ms, non_empty, number_at, text_at, texts_in,
 )
@@ -32,17 +32,13 @@ def extract(objects: DataFrame, producer: Producer = DEFAULT_PRODUCER, exact: bo
 
     Documents that are altered but well-formed are extracted; others are counted.
     """
-    checks = settle(
-        check_records(objects, producer, exact).select("source", "verdict"), "extract-checks"
-    )
-    readable = objects.join(checks.where(F.col("verdict") != "invalid"), "source", "left_semi")
-    if exact:
+    read = read_objects(objects, exact=exact)
+    checks = settle(check_read(read, producer).select("source", "verdict"), "extract-checks")
+    parsed = read.even.select("source", "v")
+    if read.odd is not None:
         # Only documents with odd numbers or repeated keys go through Python.
-        odd = needs_exact(F.col("doc"))
-        readable = readable.where(~odd).select("source", "doc").unionByName(
-            readable.where(odd).select("source", canonical_json(F.col("doc")).alias("doc"))
-        )
-    parsed = parse_objects(readable, exact=False)
+        parsed = parsed.unionByName(read.odd.select("source", F.try_parse_json(canonical_json(F.col("doc"))).alias("v")))
+    parsed = parsed.join(checks.where(F.col("verdict") != "invalid"), "source", "left_semi")
     v = F.col("v")
     events = record_events(parsed, exact=False)
     p = lambda path: text_at(F.col("e"), f"$.payload.{path}")

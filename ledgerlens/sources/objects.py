@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.canon import canonical_json
 from ledgerlens.operators.links import check_links, dangling_links
-from ledgerlens.operators.record import build_records, check_records
+from ledgerlens.operators.record import build_records, check_read, check_records, read_objects
 from ledgerlens.settings import DEFAULT_PRODUCER, Producer, settle
 from ledgerlens.sources.digests import missing_ids, prefix_digests
 
@@ -93,9 +93,9 @@ def verify_objects(
 
     Both inputs hold ``source, filed_id, doc``.
     """
-    checked_records = check_records(records, producer, exact).join(
+    checked_records = settle(check_records(records, producer, exact).join(
         records.select("source", "filed_id"), "source"
-    )
+    ), "checked-records")
     checked_links = check_links(links, producer, exact).join(links.select("source", "filed_id"), "source")
     report = lambda df, kind, id_: df.select(
         F.lit(kind).alias("kind"), "source", F.col(id_).alias("object_id"),
@@ -151,7 +151,12 @@ class ObjectStore:
     def _add(self, kind: str, objects: DataFrame, exact: bool) -> DataFrame:
         """Check, refuse or store; the outcome is written down before the store changes."""
         is_record = kind == "record"
-        checked = (check_records if is_record else check_links)(objects, self.producer, exact)
+        if is_record:
+            read = read_objects(objects, exact=exact)
+            checked, texts = check_read(read, self.producer), read.texts(exact)
+        else:
+            checked = check_links(objects, self.producer, exact)
+            texts = objects.select("source", canonical_json(F.col("doc"), exact).alias("doc"))
         id_col = f"{kind}_id"
         errors = F.col("errors")
         if is_record:
@@ -162,7 +167,7 @@ class ObjectStore:
             said_broken = (F.col("verdict") == "altered") & (F.col("stated_status") == "BROKEN")
             errors = F.when(said_broken, F.concat("errors", F.array(F.lit(note)))).otherwise(errors)
         with_doc = checked.select("source", id_col, "ok", errors.alias("errors")).join(
-            objects.select("source", canonical_json(F.col("doc"), exact).alias("doc")), "source"
+            texts, "source"
         )
         size = F.octet_length("doc")
         stored = self.objects(kind).select(F.col("object_id").alias(id_col), F.lit(True).alias("stored"))
