@@ -16,6 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 MOST_PARTS = 100_000
+# Words whose ids a worker keeps from one group of texts to the next: some 50 bytes each.
+MOST_PIECES = 500_000
 BATCH_BYTES = 1 << 20
 # What some version of Unicode has called white space, or may be taken for it.
 _WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2028\u2029\u202f\u205f\u2060\u3000\ufeff" + "".join(
@@ -94,8 +96,8 @@ class SpaceEncoder(Encoder):
     token, a single line feed between two such characters is one, and letters never share
     a token with the signs after them.  So a plain text falls into pieces: words after a
     space, words after a line feed, and signs after a letter.  Arrow finds the distinct
-    pieces of a group of texts, each is encoded once, as a line of a longer text, and the
-    ids of the texts are gathered from those.  Texts with other white space or with
+    pieces of a group of texts, those that a worker does not hold from earlier groups are
+    encoded as lines of a longer text, and the ids of the texts are gathered from both.  Texts with other white space or with
     special strings are cut at safe spaces only.
     """
 
@@ -105,6 +107,36 @@ class SpaceEncoder(Encoder):
         special = "".join("|" + re.escape(str(a.content)) for a in self.tokenizer.get_added_tokens_decoder().values())
         self.odd = rf"\A[{_WHITE}]|[{_WHITE}]\z|[ \n][{_WHITE}]|[{_WHITE}][ \n]" + special
         self.not_a_word = re.compile(rf"[{_WHITE}]" + special)
+        self._hold(pa.array([], pa.string()), np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64))
+
+    def _hold(self, pieces: pa.Array, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> None:
+        self.pieces, self.piece_ids, self.starts, self.lengths = pieces, ids, starts, lengths
+
+    def _coded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``_lines`` of distinct pieces, of which only those not held from earlier groups are encoded.
+
+        When more than ``MOST_PIECES`` are held, those of the group at hand alone stay.
+        """
+        pieces = pieces.cast(pa.string())
+        at = pc.index_in(pieces, value_set=self.pieces)
+        new = pieces.filter(pc.is_null(at))
+        ids, starts, lengths = self._lines(new)
+        held = len(self.pieces)
+        self._hold(
+            pa.concat_arrays([self.pieces, new]), np.concatenate([self.piece_ids, ids]),
+            np.concatenate([self.starts, starts + len(self.piece_ids)]), np.concatenate([self.lengths, lengths]),
+        )
+        index = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        index[at.is_null().to_numpy(zero_copy_only=False)] = np.arange(held, held + len(new))
+        ids, starts, lengths = self.piece_ids, self.starts[index], self.lengths[index]
+        if len(self.pieces) > MOST_PIECES:
+            if len(pieces) > MOST_PIECES:
+                self._hold(self.pieces.slice(0, 0), *(a[:0].copy() for a in (ids, starts, lengths)))
+            else:
+                ends = np.cumsum(lengths)
+                own = ids[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+                self._hold(pieces, own, ends - lengths, lengths)
+        return ids, starts, lengths
 
     def _lines(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids of the pieces, with the start and the number of each piece's own.
@@ -141,7 +173,7 @@ class SpaceEncoder(Encoder):
         spaced = pc.binary_join_element_wise("\n", pc.replace_substring(spaced, "\n", " \n"), "")
         words = pc.split_pattern(spaced, " ")
         coded = words.flatten().dictionary_encode()
-        ids, starts, lengths = self._lines(coded.dictionary)
+        ids, starts, lengths = self._coded(coded.dictionary)
         return _gather(ids, starts, lengths, coded.indices.to_numpy(), words.offsets.to_numpy(), end_id, led=True)
 
     def _odd(self, texts: list[str], end_id: int) -> pa.ListArray:
@@ -157,7 +189,7 @@ class SpaceEncoder(Encoder):
                 if known is None and not self.not_a_word.search(p):
                     known = words.setdefault(p, len(words))
                 coded.append(~others.setdefault(" " + p, len(others)) if known is None else known)
-        ids, starts, lengths = self._lines(pa.array(list(words), pa.string()))
+        ids, starts, lengths = self._coded(pa.array(list(words), pa.string()))
         whole = [np.array(i, dtype=np.int32) for i in self.encode(list(others))]
         sizes = np.array([len(w) for w in whole], dtype=np.int64)
         starts = np.concatenate([starts, len(ids) + np.cumsum(sizes) - sizes])
