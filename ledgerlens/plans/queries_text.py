@@ -18,7 +18,7 @@ from ledgerlens.plans import bridge
 from ledgerlens.plans.oracle import with_base
 from ledgerlens.plans.register import query
 from ledgerlens.settings import DEFAULT_PRODUCER, checkpoint_root
-from ledgerlens.sources.blobs import blob_manifest, blob_table, looks_binary
+from ledgerlens.sources.blobs import blob_manifest, blob_table, files_below, looks_binary
 from ledgerlens.sources.objects import embedded_record, read_object_files
 
 
@@ -387,6 +387,10 @@ PAGE_FILES = f"""WITH f AS (SELECT page_id, CASE page_id%4 WHEN 0 THEN encode('<
   ELSE '\\xEF\\xBB\\xBF'::BLOB||encode('{{"page":'||page_id||'}}') END || '\\x0A'::BLOB AS content FROM pages)"""
 
 
+#: Folders that hold the pages' own: each is written, moved and listed as a whole.
+PAGE_PARTS = 256
+
+
 def page_files(spark, sf_dir):
     """Every page as a file: with bytes that are no UTF-8, with a record inside, without one, or a bare record."""
     n = F.col("page_id")
@@ -399,8 +403,11 @@ def page_files(spark, sf_dir):
         .otherwise(F.concat(F.unhex(F.lit("EFBBBF")), record.cast("binary")))
     )
     path = f"{checkpoint_root(spark)}/page-files-{uuid.uuid4().hex}"
-    pages = bridge.load(spark, sf_dir, "pages").select("page_id", content.cast("string").alias("value"))
-    pages.repartition("page_id").sortWithinPartitions("page_id").write.partitionBy("page_id").text(path)
+    part = F.pmod(F.xxhash64("page_id"), F.lit(PAGE_PARTS)).cast("int").alias("part")
+    pages = bridge.load(spark, sf_dir, "pages").select(part, "page_id", content.cast("string").alias("value"))
+    # Small files cost time by their number: their bytes must not decide how many tasks write them.
+    parted = pages.repartition(PAGE_PARTS, "part").sortWithinPartitions("part", "page_id")
+    parted.write.partitionBy("part", "page_id").text(path)
     return path
 
 
@@ -420,8 +427,9 @@ def s4_page_files(spark, sf_dir):
 def s13_page_blobs(spark, sf_dir):
     """The manifest of files, and the length of the content that each names."""
     path = page_files(spark, sf_dir)
-    held = blob_table(spark, path).select("ref", F.octet_length("content").cast("bigint").alias("held"))
-    return blob_manifest(spark, path).join(held, "ref").select(_page_of(F.col("path")), "bytes", "ref", "binary", "held")
+    files = files_below(spark, path)
+    held = blob_table(spark, path, files=files).select("ref", F.octet_length("content").cast("bigint").alias("held"))
+    return blob_manifest(spark, path, files=files).join(held, "ref").select(_page_of(F.col("path")), "bytes", "ref", "binary", "held")
 
 
 @query("c6_nested_documents", """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text,''), '[^aeiou ]', '', 'g') AS t, (doc_id%40+1)::INT AS depth FROM documents)

@@ -14,35 +14,41 @@ def looks_binary(content: Column, probe: int | None = None) -> Column:
     return F.position(F.lit(b"\x00"), head) > 0
 
 
-def blob_manifest(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+def files_below(spark: SparkSession, path: str) -> DataFrame:
+    """Every file below ``path``; tables made of the same frame share its listing."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
+def blob_manifest(
+    spark: SparkSession, path: str, max_bytes: int | None = None, files: DataFrame | None = None,
+) -> DataFrame:
     """``path, bytes, ref, binary, oversized, sensitive`` of every file.
 
-    Content is not read of credential-shaped files, nor of files above ``max_bytes``
-    where a bound is given.
+    No digest is taken of credential-shaped files, nor of files above ``max_bytes`` where a
+    bound is given; the latter are not read.  ``files`` is a listing made before.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    sensitive = is_sensitive_path(F.col("path"))
+    files = files_below(spark, path) if files is None else files
     stamp = F.unix_millis("modificationTime").cast("double")
-    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
-    held = lambda df, s, o: df.select(
-        "path", F.col("length").alias("bytes"), stamp.alias("mtime_ms"),
-        F.lit(None).cast("string").alias("ref"), F.lit(False).alias("binary"),
-        F.lit(o).alias("oversized"), F.lit(s).alias("sensitive"),
-    )
-    read = files.where(~sensitive & small).select(
-        "path", F.col("length").alias("bytes"), stamp.alias("mtime_ms"),
-        F.sha2("content", 256).alias("ref"), looks_binary(F.col("content")).alias("binary"),
-        F.lit(False).alias("oversized"), F.lit(False).alias("sensitive"),
+    open_ = ~is_sensitive_path(F.col("path"))
+    manifest = lambda df, ref, binary, oversized: df.select(
+        "path", F.col("length").alias("bytes"), stamp.alias("mtime_ms"), ref.alias("ref"), binary.alias("binary"),
+        oversized.alias("oversized"), (~open_).alias("sensitive"),
     )
-    return (
-        read.unionByName(held(files.where(sensitive), True, False))
-        .unionByName(held(files.where(~sensitive & ~small), False, True))
+    fits = files if max_bytes is None else files.where(F.col("length") <= max_bytes)
+    read = manifest(
+        fits, F.when(open_, F.sha2("content", 256)), F.coalesce(open_ & looks_binary(F.col("content")), F.lit(False)), F.lit(False)
     )
+    if max_bytes is None:
+        return read
+    large = files.where(F.col("length") > max_bytes)
+    return read.unionByName(manifest(large, F.lit(None).cast("string"), F.lit(False), open_))
 
 
-def blob_table(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+def blob_table(
+    spark: SparkSession, path: str, max_bytes: int | None = None, files: DataFrame | None = None,
+) -> DataFrame:
     """Distinct contents: ``ref, length, content``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files_below(spark, path) if files is None else files
     small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     kept = files.where(~is_sensitive_path(F.col("path")) & small)
     return kept.select(
