@@ -64,19 +64,39 @@ def line_diff(inputs: DataFrame, max_lines: int | None = None) -> DataFrame:
         "session_id", "path", F.lit(0).alias("line_no"), F.lit("note").alias("op"), F.col("note").alias("text")
     )
     todo = noted.where(F.col("note").isNull()).select("session_id", "path", "before", "after")
-    return todo.mapInPandas(_align_batches, _LINES).unionByName(notes)
+    return todo.mapInArrow(_align_batches, _LINES).unionByName(notes)
 
 
-def _align_batches(batches):
-    import pandas as pd
+#: Lines that leave a task together.
+OUT_LINES = 65_536
+
 
-    for pdf in batches:
-        rows = [
-            (sid, path, i, op, text)
-            for sid, path, before, after in pdf.itertuples(index=False)
-            for i, (op, text) in enumerate(_align(before, after))
-        ]
-        yield pd.DataFrame(rows, columns=[f.name for f in _LINES.fields])
+def _align_batches(batches):
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        owners = batch.select(["session_id", "path"])
+        places, counts, ops, texts = [], [], [], []
+
+        def flush():
+            at = pa.array(np.repeat(places, counts).astype(np.int64))
+            number = np.concatenate([np.arange(n, dtype=np.int32) for n in counts])
+            columns = [*(c.take(at) for c in owners.columns), pa.array(number), pa.array(ops, pa.string()), pa.array(texts, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, [f.name for f in _LINES.fields])
+
+        for place, (before, after) in enumerate(zip(batch.column("before"), batch.column("after"))):
+            script = _align(before.as_py(), after.as_py())
+            if script:
+                places.append(place)
+                counts.append(len(script))
+                ops += [op for op, _ in script]
+                texts += [text for _, text in script]
+            if len(ops) >= OUT_LINES:
+                yield flush()
+                places, counts, ops, texts = [], [], [], []
+        if ops:
+            yield flush()
 
 
 #: Boxes of fewer cells are halved at once; larger ones are searched by number of edits first.
@@ -91,12 +111,15 @@ def _align(before: str | None, after: str | None) -> list[tuple[str, str]]:
     A box of lines against lines is cut at a point that a shortest script passes, until one
     side is empty.  In a large box that point is looked for from both corners, edit by edit,
     so that few edits in long texts cost little; where there are many, and in small boxes, half
-    of the first text is matched against every split of the second.
+    of the first text is matched against every split of the second.  Texts without a common line
+    need no search.
     """
     import numpy as np
 
     a = [] if before is None else before.split("\n")
     b = [] if after is None else after.split("\n")
+    if set(a).isdisjoint(b):
+        return [("-", t) for t in a] + [("+", t) for t in b]
     codes: dict[str, int] = {}
     x = np.array([codes.setdefault(t, len(codes)) for t in a], dtype=np.int64)
     y = np.array([codes.setdefault(t, len(codes)) for t in b], dtype=np.int64)

@@ -347,9 +347,10 @@ def document_changes(spark, sf_dir):
     docs = bridge.load(spark, sf_dir, "documents").select("doc_id", "text")
     # Sentences as lines: the texts themselves have few line ends.
     lines = docs.select("doc_id", F.regexp_replace("text", r"\. ", ".\n").alias("text"))
-    ref = F.sha2(F.col("text").cast("binary"), 256)
+    lines = settle(lines.withColumn("ref", F.sha2(F.col("text").cast("binary"), 256)), "document-lines")
+    ref = F.col("ref")
     blobs = lines.select(
-        ref.alias("ref"), F.octet_length("text").cast("bigint").alias("length"),
+        "ref", F.octet_length("text").cast("bigint").alias("length"),
         F.col("text").cast("binary").alias("content"),
     ).dropDuplicates(["ref"])
     here = lines.select("doc_id", ref.alias("after_ref"))
