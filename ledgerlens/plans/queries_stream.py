@@ -49,7 +49,7 @@ SEALED_SQL = CLEAN_RAW_SQL.replace(
    prev_hash, hash FROM raw""")
 def t1_stream_chain(spark, sf_dir):
     """Chains sealed by two runs of one query, the second going on from state."""
-    drafts = bridge.ledger_drafts(spark, sf_dir)
+    drafts = settle(bridge.ledger_drafts(spark, sf_dir), "stream-drafts")
     source, sink, checkpoint = (scratch(spark, n) for n in ("drafts", "chain", "chain-state"))
     for _ in in_two_parts(drafts, source):
         stream = ingest.read_drafts(spark, source, drafts.schema)

@@ -1,7 +1,7 @@
 """Live ingest of ledger events.
 
-Session state is two values, the last sequence number and the last hash, kept in
-the state store: a restarted query goes on from there and never reads its sink.
+A session's state is two values, the last sequence number and the last hash, kept in
+the state store with those of its bucket: a restarted query goes on from there and never reads its sink.
 """
 
 from __future__ import annotations
@@ -46,21 +46,33 @@ def without_repeats(drafts: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def _chain_session(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+#: Groups that sessions are dealt to, so that a batch calls Python a bounded number of times.
+CHAIN_BUCKETS = 4096
+
+
+def _chain_bucket(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Chain the new events of every session of a bucket; its state holds their last numbers and hashes."""
     import hashlib
 
-    seq, head = state.get if state.exists else (0, GENESIS)
+    known = {session: (seq, head) for session, seq, head in zip(*state.get)} if state.exists else {}
     # A micro-batch arrives in any order; (ts, id) makes the chain's order its own.
-    batch = pd.concat(parts).sort_values(["ts", "id"], kind="stable", ignore_index=True)
-    prevs, hashes = [], []
-    for n, (before, after) in enumerate(zip(batch["h"], batch["t"]), seq + 1):
+    batch = pd.concat(parts).sort_values(["session_id", "ts", "id"], kind="stable", ignore_index=True)
+    session, seq, head = None, *known.get(None, (0, GENESIS))
+    seqs, prevs, hashes = [], [], []
+    for owner, before, after in zip(batch["session_id"], batch["h"], batch["t"]):
+        owner = owner if isinstance(owner, str) else None
+        if owner != session:
+            known[session] = seq, head
+            session, (seq, head) = owner, known.get(owner, (0, GENESIS))
+        seq += 1
+        seqs.append(seq)
         prevs.append(head)
-        tail = after.replace(SLOT, str(n))
-        head = hashlib.sha256((head + before + head + tail).encode("utf-8")).hexdigest()
+        head = hashlib.sha256((head + before + head + after.replace(SLOT, str(seq))).encode("utf-8")).hexdigest()
         hashes.append(head)
-    state.update((seq + len(batch), head))
-    batch["seq"] = range(seq + 1, seq + len(batch) + 1)
-    batch["prev_hash"], batch["hash"] = prevs, hashes
+    known[session] = seq, head
+    held = [(owner, *last) for owner, last in known.items() if last[0]]
+    state.update(tuple(map(list, zip(*held))))
+    batch["seq"], batch["prev_hash"], batch["hash"] = seqs, prevs, hashes
     yield batch[_SEALED]
 
 
@@ -83,15 +95,18 @@ def classified(drafts: DataFrame) -> DataFrame:
 def seal_stream(drafts: DataFrame, exact: bool = True) -> DataFrame:
     """Classify, redact, canonicalise and chain; whole events (schemas.RAW_EVENTS).
 
-    A session's share of one micro-batch is sorted in memory: ``read_drafts(max_files=...)`` bounds it.
+    Sessions share ``CHAIN_BUCKETS`` groups.  A group's part of one micro-batch is sorted in
+    memory: ``read_drafts(max_files=...)`` bounds it.
     """
     clean = redact_ledger(classified(drafts.select(*DRAFT_COLUMNS))).drop("redaction_count")
     docs = canonical_docs(clean, exact)
     head, tail = event_body()
     slotted = docs.withColumn("seq", F.lit(SLOT))
     bodies = slotted.select(*DRAFT_COLUMNS, head.alias("h"), tail.alias("t"))
-    return bodies.groupBy("session_id").applyInPandasWithState(
-        _chain_session, RAW_EVENTS, "seq bigint, head string", "append", GroupStateTimeout.NoTimeout
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(CHAIN_BUCKETS)).cast("int")
+    return bodies.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
+        _chain_bucket, RAW_EVENTS, "session_id array<string>, seq array<bigint>, head array<string>", "append",
+        GroupStateTimeout.NoTimeout,
     )
 
 
@@ -223,6 +238,8 @@ def session_status(events: DataFrame, quiet_ms: int = 3_600_000, delay: str = "1
 _FACTS = f"session_id string, fact_id string, statement string, confidence string, ts string, tie bigint, evidence {EVIDENCE}"
 #: Parts that a stored ledger is kept in; a session's rows are all in one.
 LEDGER_BUCKETS = 256
+#: Tasks that write them; files cost time by their number, so their bytes must not decide it.
+LEDGER_WRITERS = 64
 
 
 def ledger_bucket(session: str = "session_id") -> Column:
@@ -230,7 +247,7 @@ def ledger_bucket(session: str = "session_id") -> Column:
 
 
 def stored_ledger(spark: SparkSession, ledger_path: str, schema: T.StructType, buckets: list[int] | None = None) -> DataFrame:
-    """The ledger that ``start_facts`` keeps, or the given parts of it; no other part is read."""
+    """The ledger that ``start_facts`` keeps (or its parsed events), or the given parts of it; no other part is read."""
     whole = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
     rows = spark.read.schema(whole).parquet(ledger_path)
     kept = rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
@@ -238,8 +255,14 @@ def stored_ledger(spark: SparkSession, ledger_path: str, schema: T.StructType, b
 
 
 def _write_parts(rows: DataFrame, path: str) -> None:
-    """Write into the partitions that the rows name and replace only those."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+    """Write into the partitions that the rows name and replace only those; one task and one file for each."""
+    parted = rows.repartition(LEDGER_WRITERS, "bucket").sortWithinPartitions("bucket", "batch")
+    parted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def start_facts(
@@ -249,25 +272,32 @@ def start_facts(
     """T5: each micro-batch re-judges only the sessions it touched.
 
     The ledger lies in ``LEDGER_BUCKETS`` parts by session, and a batch reads the parts of its
-    sessions.  Every batch owns its partitions of all outputs and replaces them when it is
+    sessions.  Payloads are parsed once, when they arrive: the parsed events lie beside the facts,
+    in parts like the ledger's (made of the whole ledger where they are missing), and only their
+    columns are read again.  Every batch owns its partitions of all outputs and replaces them when it is
     retried, so a batch that ran twice is not counted twice.  With ``ended_only`` a session is
     judged when its ``session.end`` comes, and again if rows come after that.
     """
     def judge_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         placed = batch.withColumns({"bucket": ledger_bucket(), "batch": F.lit(batch_id).cast("bigint")})
-        _write_parts(placed.repartition("bucket"), ledger_path)
-        own = spark.read.schema(placed.schema).parquet(ledger_path).where(F.col("batch") == batch_id)
+        _write_parts(placed, ledger_path)
+        stored = spark.read.schema(placed.schema).parquet(ledger_path)
+        own = stored.where(F.col("batch") == batch_id)
+        views = f"{facts_path}/views"
+        fresh = payload_view((own if _exists(spark, views) else stored).drop("bucket", "batch"), producer).drop("_p")
+        at = {"bucket": ledger_bucket(), "batch": F.lit(batch_id).cast("bigint")}
+        _write_parts(fresh.withColumns(at), views)
         touched = own.select("session_id", "bucket", "batch").distinct()
         # At most LEDGER_BUCKETS numbers.
         buckets = [r.bucket for r in touched.select("bucket").distinct().collect()]
-        ledger = stored_ledger(spark, ledger_path, batch.schema, buckets)
+        ledger = stored_ledger(spark, views, fresh.schema, buckets)
         if ended_only:
             over = ledger.where(F.col("kind") == "session.end").select("session_id").distinct()
             touched = touched.join(over, "session_id", "left_semi")
         sessions = touched.select("session_id").distinct()
-        found = evaluate(payload_view(ledger.join(sessions, "session_id", "left_semi"), producer).drop("_p"))
-        _write_parts(found.withColumns({"bucket": ledger_bucket(), "batch": F.lit(batch_id).cast("bigint")}), f"{facts_path}/facts")
+        found = evaluate(ledger.join(sessions, "session_id", "left_semi"))
+        _write_parts(found.withColumns(at), f"{facts_path}/facts")
         _write_parts(touched, f"{facts_path}/touched")
 
     return (

@@ -1,6 +1,7 @@
 """Facts that follow the ledger: only the parts of touched sessions are read."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -53,3 +54,22 @@ def test_a_batch_reads_the_parts_of_its_sessions(spark, tmp_path):
     read = {r.f for r in part.select(F.input_file_name().alias("f")).collect()}
     assert read and all(f"/bucket={bucket}/" in f for f in read)
     assert part.where("session_id = 's1'").count() == 3
+
+
+def test_events_are_parsed_once_and_parts_are_single_files(spark, tmp_path, monkeypatch):
+    ledger, found, state, source = (str(tmp_path / n) for n in ("ledger", "facts", "state", "in"))
+    parsed, whole_view = [], ingest.payload_view
+    monkeypatch.setattr(ingest, "payload_view", lambda rows, producer: (parsed.append(rows.count()), whole_view(rows, producer))[1])
+    everything = []
+    for n in (1, 2, 3):
+        rows = [failed(f"s{i}", n) for i in range(20)]
+        everything += rows
+        raw(spark, rows).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(raw(spark, rows).schema).parquet(source)
+        ingest.start_facts(stream, ledger, found, state).awaitTermination()
+    assert parsed == [20, 20, 20]
+    key = lambda df: sorted((r.session_id, r.statement) for r in df.collect())
+    assert key(ingest.current_facts(spark, found)) == key(evaluate(whole_view(raw(spark, everything)).drop("_p")))
+    for kept in (ledger, f"{found}/views", f"{found}/facts", f"{found}/touched"):
+        files = [(folder, f) for folder, _, names in os.walk(kept) for f in names if f.endswith(".parquet")]
+        assert files and len(files) == len({folder for folder, _ in files})
