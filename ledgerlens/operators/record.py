@@ -22,7 +22,7 @@ from ledgerlens.schemas import (
     array_at, class_of, is_object_at, number_at, number_text, payload_view, text_at, variant_at,
 )
 from ledgerlens.settings import (
-    DEFAULT_PRODUCER, FACT_CATALOG, FORMAT_VERSION, GENESIS, Producer, settle,
+    DEFAULT_PRODUCER, FACT_CATALOG, FORMAT_VERSION, GENESIS, Producer, settle, settle_texts,
 )
 
 HEX64 = r"^[0-9a-f]{64}(?![\s\S])"
@@ -363,8 +363,9 @@ def check_by_kind(objects: DataFrame, check, exact: bool) -> DataFrame:
 
 @dataclass(frozen=True)
 class ReadObjects:
-    """Documents parsed and addressed once: ``source, v, actual_id``, and ``doc`` of the ``odd`` ones.
+    """Documents parsed and addressed once: ``source, row, v, actual_id``, and ``doc`` of the ``odd`` ones.
 
+    ``row`` is a number of its own for every document, whatever its source.
     ``odd`` holds what the variant printer alone does not bring into canonical form, or is None.
     """
 
@@ -372,11 +373,11 @@ class ReadObjects:
     odd: DataFrame | None
 
     def texts(self, exact: bool = True) -> DataFrame:
-        """``source, doc`` with every document in canonical form."""
-        even = self.even.select("source", F.to_json("v").alias("doc"))
+        """``source, row, doc`` with every document in canonical form."""
+        even = self.even.select("source", "row", F.to_json("v").alias("doc"))
         if self.odd is None:
             return even
-        return even.unionByName(self.odd.select("source", canonical_json(F.col("doc"), exact).alias("doc")))
+        return even.unionByName(self.odd.select("source", "row", canonical_json(F.col("doc"), exact).alias("doc")))
 
 
 def read_objects(objects: DataFrame, id_key: str = "recordId", exact: bool = True) -> ReadObjects:
@@ -385,16 +386,16 @@ def read_objects(objects: DataFrame, id_key: str = "recordId", exact: bool = Tru
     parsed = objects.select("source", "doc", F.try_parse_json("doc").alias("v"))
     odd = F.coalesce(needs_exact_text(F.col("doc")), F.lit(False)) | v.isNull() if exact else F.lit(False)
     marked = parsed.select("source", "doc", "v", odd.alias("odd"))
-    read = settle(marked.select(
-        "source", "odd", "v", F.when(F.col("odd"), F.col("doc")).alias("doc"),
+    read = settle_texts(marked.select(
+        "source", F.monotonically_increasing_id().alias("row"), "odd", "v", F.when(F.col("odd"), F.col("doc")).alias("doc"),
         F.when(~F.col("odd"), sha256(variant_without_key(v, id_key))).alias("actual_id"),
     ), "read-objects")
-    even = read.where(~F.col("odd")).select("source", "v", "actual_id")
+    even = read.where(~F.col("odd")).select("source", "row", "v", "actual_id")
     if not exact or read.where("odd").isEmpty():
         return ReadObjects(even, None)
     repaired = F.try_parse_json(canonical_json(F.when(v.isNull(), F.col("doc"))))
-    return ReadObjects(even, settle(read.where("odd").select(
-        "source", "doc", F.coalesce(v, repaired).alias("v"), content_address(F.col("doc"), id_key).alias("actual_id"),
+    return ReadObjects(even, settle_texts(read.where("odd").select(
+        "source", "row", "doc", F.coalesce(v, repaired).alias("v"), content_address(F.col("doc"), id_key).alias("actual_id"),
     ), "read-odd"))
 
 

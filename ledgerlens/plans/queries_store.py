@@ -14,14 +14,14 @@ from ledgerlens.plans.queries_graph import IDENTITY_SQL
 from ledgerlens.plans.queries_ledger import RAW_SQL, SESSIONS_SQL
 from ledgerlens.plans.queries_report import RECORDS, VIEW_SQL, built_records, sealed
 from ledgerlens.plans.register import query
-from ledgerlens.settings import checkpoint_root, settle
+from ledgerlens.settings import checkpoint_root, settle, settle_texts
 from ledgerlens.sources.objects import ObjectStore, classify_paths, union_stores, verify_objects
 
 
 def documents(spark, sf_dir):
     """``source, doc, u`` of every sealed session."""
     built = built_records(spark, sf_dir).where(F.col("doc").isNotNull())
-    return settle(built.select(
+    return settle_texts(built.select(
         F.col("session_id").alias("source"), "doc", F.col("session_number").alias("u"), "record_id"
     ), "documents")
 

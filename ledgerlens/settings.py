@@ -89,3 +89,19 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: How tables of long texts are written: in row groups of a few rows and MB.  Spark's reader decodes up to
+#: 4096 rows of a row group at once, so whole documents must not share larger ones.
+LONG_TEXTS = {
+    "parquet.block.size": 8 * 1024 * 1024, "parquet.block.row.count.limit": 128,
+    "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 16,
+}
+
+
+def settle_texts(df: DataFrame, label: str) -> DataFrame:
+    """:func:`settle` for rows that hold whole documents: a task reads few of them at once."""
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.options(**LONG_TEXTS).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
