@@ -38,7 +38,6 @@ def extract(objects: DataFrame, producer: Producer = DEFAULT_PRODUCER, exact: bo
     if read.odd is not None:
         # Only documents with odd numbers or repeated keys go through Python.
         parsed = parsed.unionByName(read.odd.select("source", F.try_parse_json(canonical_json(F.col("doc"))).alias("v")))
-    parsed = parsed.join(checks.where(F.col("verdict") != "invalid"), "source", "left_semi")
     v = F.col("v")
     events = record_events(parsed, exact=False)
     p = lambda path: text_at(F.col("e"), f"$.payload.{path}")
@@ -53,14 +52,14 @@ def extract(objects: DataFrame, producer: Producer = DEFAULT_PRODUCER, exact: bo
             texts_in(array_at(F.col("e"), "$.payload.gitRootCommits")).alias("git_root_commits"),
         ), "pos").alias("start"))
     )
-    frames = settle(parsed.join(start, "source", "left").select(
+    # Documents stay where they lie: what is taken of them meets the checks, not they themselves.
+    stated = parsed.select(
         "source",
         text_at(v, "$.recordId").alias("record_id"),
         text_at(v, "$.subject.sessionId").alias("session_id"),
         text_at(v, "$.observations.head").alias("chain_head"),
         text_at(v, "$.subject.runtimeId").alias("runtime_id"),
-        F.coalesce("start.machine_id", text_at(v, "$.identity.machineId")).alias("machine_id"),
-        F.coalesce("start.cwd", text_at(v, "$.subject.cwd")).alias("cwd"),
+        text_at(v, "$.identity.machineId").alias("machine_id"), text_at(v, "$.subject.cwd").alias("cwd"),
         text_at(v, "$.subject.startedAt").alias("started_at"),
         text_at(v, "$.subject.endedAt").alias("ended_at"),
         text_at(v, "$.generator.name").alias("generator_name"),
@@ -69,6 +68,12 @@ def extract(objects: DataFrame, producer: Producer = DEFAULT_PRODUCER, exact: bo
         number_at(v, "$.observations.count").cast("bigint").alias("event_count"),
         F.size(array_at(v, "$.evidence.facts")).cast("bigint").alias("fact_count"),
         texts_in(array_at(v, "$.evidence.catalog")).alias("catalog"),
+    ).join(checks.where(F.col("verdict") != "invalid"), "source", "left_semi")
+    own = [c for c in stated.columns if c not in ("machine_id", "cwd")]
+    frames = settle(stated.join(start, "source", "left").select(
+        *own[:own.index("started_at")],
+        F.coalesce("start.machine_id", "machine_id").alias("machine_id"), F.coalesce("start.cwd", "cwd").alias("cwd"),
+        *own[own.index("started_at"):],
         F.col("start.git_remotes").alias("git_remotes"),
         F.col("start.git_root_commits").alias("git_root_commits"),
     ), "extract-frames")
@@ -104,7 +109,7 @@ def extract(objects: DataFrame, producer: Producer = DEFAULT_PRODUCER, exact: bo
         .where(F.col("abs_path").isNotNull())
     )
     f = F.col("f")
-    stated = parsed.select(
+    listed = parsed.select(
         "source", F.posexplode(array_at(v, "$.evidence.facts")).alias("ord", "f")
     ).select(
         "source", "ord", text_at(f, "$.id").alias("fact_id"),
@@ -115,7 +120,7 @@ def extract(objects: DataFrame, producer: Producer = DEFAULT_PRODUCER, exact: bo
             number_at(p, "$.eventSeq").cast("bigint").alias("eventSeq"), text_at(p, "$.ts").alias("ts"),
         )).alias("evidence"),
     )
-    facts = stated.join(ids.select("source", "record_id"), "source").drop("source")
+    facts = listed.join(ids.select("source", "record_id"), "source").drop("source")
     unreadable = checks.agg(F.count_if(F.col("verdict") == "invalid").alias("unreadable"))
     records = frames.drop("source", "git_remotes", "git_root_commits")
     return GraphTables(records, signals, file_events, facts, unreadable, evidence)
