@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
 
 from pyspark.sql import functions as F
@@ -18,7 +20,8 @@ from ledgerlens.plans import bridge
 from ledgerlens.plans.oracle import with_base
 from ledgerlens.plans.register import query
 from ledgerlens.settings import DEFAULT_PRODUCER, checkpoint_root
-from ledgerlens.sources.blobs import blob_manifest, blob_table, files_below, looks_binary
+from ledgerlens.sources.blobs import blob_manifest, blob_table, looks_binary
+from ledgerlens.sources.files import read_in_turns
 from ledgerlens.sources.objects import embedded_record, read_object_files
 
 
@@ -387,10 +390,39 @@ PAGE_FILES = f"""WITH f AS (SELECT page_id, CASE page_id%4 WHEN 0 THEN encode('<
   ELSE '\\xEF\\xBB\\xBF'::BLOB||encode('{{"page":'||page_id||'}}') END || '\\x0A'::BLOB AS content FROM pages)"""
 
 
-#: Folders that hold the pages' own: each is written, moved and listed as a whole.
+#: Folders that hold the pages' files: each is written and listed as a whole.
 PAGE_PARTS = 256
 
 
+def _write_files(root):
+    """Rows ``part, page_id, value`` in order to one file per page, each value a line, below a folder that tasks share.
+
+    Spark's own writer starts a process for every file on a local file system, to set its mode.
+    """
+    def write(batches):
+        import os
+
+        import pyarrow as pa
+
+        held, at, n = None, None, 0
+        try:
+            for batch in batches:
+                for part, page, value in zip(*(batch.column(c).to_pylist() for c in ("part", "page_id", "value"))):
+                    if (part, page) != at:
+                        if held is not None:
+                            held.close()
+                        at, n = (part, page), n + 1
+                        os.makedirs(f"{root}/part={part}", exist_ok=True)
+                        held = open(f"{root}/part={part}/part-page_id={page}.txt", "wb")
+                    held.write((value or b"") + b"\n")
+        finally:
+            if held is not None:
+                held.close()
+        yield pa.RecordBatch.from_pydict({"files": pa.array([n], pa.int64())})
+
+    return write
+
+
 def page_files(spark, sf_dir):
     """Every page as a file: with bytes that are no UTF-8, with a record inside, without one, or a bare record."""
     n = F.col("page_id")
@@ -404,15 +436,20 @@ def page_files(spark, sf_dir):
     )
     path = f"{checkpoint_root(spark)}/page-files-{uuid.uuid4().hex}"
     part = F.pmod(F.xxhash64("page_id"), F.lit(PAGE_PARTS)).cast("int").alias("part")
-    pages = bridge.load(spark, sf_dir, "pages").select(part, "page_id", content.cast("string").alias("value"))
+    pages = bridge.load(spark, sf_dir, "pages").select(part, "page_id", content.alias("value"))
     # Small files cost time by their number: their bytes must not decide how many tasks write them.
     parted = pages.repartition(PAGE_PARTS, "part").sortWithinPartitions("part", "page_id")
-    parted.write.partitionBy("part", "page_id").text(path)
+    local = re.fullmatch(r"(?:file:(?://)?)?(/(?!/).*)", path)
+    if local:
+        os.makedirs(local[1], exist_ok=True)
+        parted.mapInArrow(_write_files(local[1]), "files bigint").agg(F.sum("files")).collect()
+    else:
+        parted.select("part", "page_id", F.col("value").cast("string")).write.partitionBy("part", "page_id").text(path)
     return path
 
 
 def _page_of(path):
-    return F.regexp_extract(path, r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
+    return F.regexp_extract(path, r"page_id=(\d+)[/.]", 1).cast("bigint").alias("page_id")
 
 
 @query("s4_page_files", PAGE_FILES + """ SELECT page_id, CASE page_id%4 WHEN 1 THEN '{"page":'||page_id||'}' WHEN 3 THEN '{"page":'||page_id||'}'||chr(10) END AS doc,
@@ -427,9 +464,12 @@ def s4_page_files(spark, sf_dir):
 def s13_page_blobs(spark, sf_dir):
     """The manifest of files, and the length of the content that each names."""
     path = page_files(spark, sf_dir)
-    files = files_below(spark, path)
-    held = blob_table(spark, path, files=files).select("ref", F.octet_length("content").cast("bigint").alias("held"))
-    return blob_manifest(spark, path, files=files).join(held, "ref").select(_page_of(F.col("path")), "bytes", "ref", "binary", "held")
+
+    def rows_of(files):
+        held = blob_table(spark, path, files=files).select("ref", F.octet_length("content").cast("bigint").alias("held"))
+        return blob_manifest(spark, path, files=files).join(held, "ref").select(_page_of(F.col("path")), "bytes", "ref", "binary", "held")
+
+    return read_in_turns(spark, path, rows_of, "page-blobs")
 
 
 @query("c6_nested_documents", """WITH d AS (SELECT doc_id, regexp_replace(coalesce(text,''), '[^aeiou ]', '', 'g') AS t, (doc_id%40+1)::INT AS depth FROM documents)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.paths import is_sensitive_path
+from ledgerlens.sources.files import files_below, read_in_turns
 
 
 def looks_binary(content: Column, probe: int | None = None) -> Column:
@@ -14,20 +15,17 @@ def looks_binary(content: Column, probe: int | None = None) -> Column:
     return F.position(F.lit(b"\x00"), head) > 0
 
 
-def files_below(spark: SparkSession, path: str) -> DataFrame:
-    """Every file below ``path``; tables made of the same frame share its listing."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-
-
 def blob_manifest(
     spark: SparkSession, path: str, max_bytes: int | None = None, files: DataFrame | None = None,
 ) -> DataFrame:
     """``path, bytes, ref, binary, oversized, sensitive`` of every file.
 
     No digest is taken of credential-shaped files, nor of files above ``max_bytes`` where a
-    bound is given; the latter are not read.  ``files`` is a listing made before.
+    bound is given; the latter are not read.  ``files`` is a listing made before; without
+    one, folders are listed in turns.
     """
-    files = files_below(spark, path) if files is None else files
+    if files is None:
+        return read_in_turns(spark, path, lambda some: blob_manifest(spark, path, max_bytes, some), "blob-manifest")
     stamp = F.unix_millis("modificationTime").cast("double")
     open_ = ~is_sensitive_path(F.col("path"))
     manifest = lambda df, ref, binary, oversized: df.select(
@@ -47,8 +45,10 @@ def blob_manifest(
 def blob_table(
     spark: SparkSession, path: str, max_bytes: int | None = None, files: DataFrame | None = None,
 ) -> DataFrame:
-    """Distinct contents: ``ref, length, content``."""
-    files = files_below(spark, path) if files is None else files
+    """Distinct contents: ``ref, length, content``; without a listing, folders are read in turns and contents are kept."""
+    if files is None:
+        turns = read_in_turns(spark, path, lambda some: blob_table(spark, path, max_bytes, some), "blob-table", texts=True)
+        return turns.dropDuplicates(["ref"])
     small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     kept = files.where(~is_sensitive_path(F.col("path")) & small)
     return kept.select(

@@ -12,6 +12,7 @@ from ledgerlens.operators.links import check_links, dangling_links
 from ledgerlens.operators.record import build_records, check_read, check_records, read_objects
 from ledgerlens.settings import DEFAULT_PRODUCER, LONG_TEXTS, Producer, settle, settle_texts
 from ledgerlens.sources.digests import missing_ids, prefix_digests
+from ledgerlens.sources.files import read_in_turns
 
 RESULT = "source string, kind string, object_id string, status string, errors array<string>"
 #: Rows of one stored file; longer appends write more files.
@@ -35,9 +36,12 @@ def read_object_files(
 
     Where ``max_bytes`` is given it is tested on the file listing, so an oversized file is
     refused without being read.  A file whose bytes are not UTF-8 is refused, too; all others
-    are still read.  Files of no bytes are not listed.
+    are still read.  Files of no bytes are not listed.  Folders are read in turns.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return read_in_turns(spark, path, lambda files: _objects_of(files, producer, max_bytes), "object-files", texts=True)
+
+
+def _objects_of(files: DataFrame, producer: Producer, max_bytes: int | None) -> DataFrame:
     fits = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
     too_big = files.where(~fits).select(
         F.col("path").alias("source"), F.lit(None).cast("string").alias("doc"),
