@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.operators.ordered import attach, hash_salt
+from ledgerlens.settings import settle
+
+#: A content of more changes than this is spread over them; the others stay where they are told apart.
+POPULAR = 1000
 
 
 def diff_inputs(changes: DataFrame, blobs: DataFrame) -> DataFrame:
@@ -15,13 +19,27 @@ def diff_inputs(changes: DataFrame, blobs: DataFrame) -> DataFrame:
     Bytes that are not UTF-8 read as replacement characters.
     """
     salt = hash_salt("session_id", "path")
-    # Only referenced blobs move, and a popular content is spread over its changes.
-    refs = changes.where(F.col("content") == "available").select(
-        F.explode(F.array_compact(F.array("before_ref", "after_ref"))).alias("ref")
-    ).distinct()
-    held = blobs.join(refs, "ref", "left_semi").select("ref", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    side = lambda c: held.select(F.col("ref").alias(f"{c}_ref"), F.col("text").alias(c))
-    both = attach(attach(changes, side("before"), ["before_ref"], salt), side("after"), ["after_ref"], salt)
+    sides = F.array_compact(F.array("before_ref", "after_ref"))
+    refs = changes.where(F.col("content") == "available").select(F.explode(sides).alias("ref")).distinct()
+
+    def side(c, of):
+        # Only referenced blobs move.
+        held = blobs.join(of, "ref", "left_semi")
+        return held.select(F.col("ref").alias(f"{c}_ref"), F.make_valid_utf8(F.col("content").cast("string")).alias(c))
+
+    # Changes go to the contents, which are dealt out once, and only the first text of a change moves to the second.
+    uses = changes.select(F.explode(sides).alias("ref")).groupBy("ref").agg(F.count(F.lit(1)).alias("n"))
+    popular = settle(uses.where(F.col("n") > POPULAR).select("ref"), "popular-refs")
+    some = None if popular.isEmpty() else _either(changes, popular)
+    plain = changes if some is None else some.where(~F.col("_popular")).drop("_popular")
+    both = plain.join(side("after", refs), "after_ref", "left").join(side("before", refs), "before_ref", "left")
+    both = both.select(*changes.columns, "before", "after")
+    if some is not None:
+        # A popular content is spread over its changes.
+        rows = some.where("_popular").drop("_popular")
+        own = rows.select(F.explode(sides).alias("ref")).distinct().join(refs, "ref", "left_semi")
+        spread = attach(attach(rows, side("before", own), ["before_ref"], salt), side("after", own), ["after_ref"], salt)
+        both = both.unionByName(spread.select(*changes.columns, "before", "after"))
     gone = lambda c: F.col(f"{c}_ref").isNotNull() & F.col(c).isNull()
     return both.withColumn(
         "reason",
@@ -32,6 +50,16 @@ def diff_inputs(changes: DataFrame, blobs: DataFrame) -> DataFrame:
     )
 
 
+def _either(changes: DataFrame, popular: DataFrame) -> DataFrame:
+    """Changes, and whether one of their contents is ``_popular``."""
+    marked = changes
+    for c in ("before", "after"):
+        named = popular.select(F.col("ref").alias(f"{c}_ref"), F.lit(True).alias(f"_{c}"))
+        marked = marked.join(named, f"{c}_ref", "left")
+    either = F.col("_before").isNotNull() | F.col("_after").isNotNull()
+    return marked.select(*changes.columns, either.alias("_popular"))
+
+
 _LINES = T.StructType([
     T.StructField("session_id", T.StringType()),
     T.StructField("path", T.StringType()),
@@ -59,12 +87,10 @@ def line_diff(inputs: DataFrame, max_lines: int | None = None) -> DataFrame:
             F.lit("This file is "), F.col("n").cast("string"), F.lit(" lines — too large to diff.")))
         .when(same, "The content is identical between the two snapshots.")
     )
-    noted = sized.withColumn("note", note)
-    notes = noted.where(F.col("note").isNotNull()).select(
-        "session_id", "path", F.lit(0).alias("line_no"), F.lit("note").alias("op"), F.col("note").alias("text")
-    )
-    todo = noted.where(F.col("note").isNull()).select("session_id", "path", "before", "after")
-    return todo.mapInArrow(_align_batches, _LINES).unionByName(notes)
+    # Notes pass with the pairs, so that the contents are joined once.
+    open_ = lambda c: F.when(F.col("note").isNull(), F.col(c)).alias(c)
+    todo = sized.withColumn("note", note).select("session_id", "path", open_("before"), open_("after"), "note")
+    return todo.mapInArrow(_align_batches, _LINES)
 
 
 #: Lines that leave a task together.
@@ -85,8 +111,9 @@ def _align_batches(batches):
             columns = [*(c.take(at) for c in owners.columns), pa.array(number), pa.array(ops, pa.string()), pa.array(texts, pa.string())]
             return pa.RecordBatch.from_arrays(columns, [f.name for f in _LINES.fields])
 
-        for place, (before, after) in enumerate(zip(batch.column("before"), batch.column("after"))):
-            script = _align(before.as_py(), after.as_py())
+        noted = batch.column("note").to_pylist() if "note" in batch.schema.names else [None] * batch.num_rows
+        for place, (before, after, note) in enumerate(zip(batch.column("before"), batch.column("after"), noted)):
+            script = _align(before.as_py(), after.as_py()) if note is None else [("note", note)]
             if script:
                 places.append(place)
                 counts.append(len(script))

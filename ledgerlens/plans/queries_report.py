@@ -347,13 +347,13 @@ def document_changes(spark, sf_dir):
     docs = bridge.load(spark, sf_dir, "documents").select("doc_id", "text")
     # Sentences as lines: the texts themselves have few line ends.
     lines = docs.select("doc_id", F.regexp_replace("text", r"\. ", ".\n").alias("text"))
-    lines = settle(lines.withColumn("ref", F.sha2(F.col("text").cast("binary"), 256)), "document-lines")
-    ref = F.col("ref")
+    ref = F.sha2(F.col("text").cast("binary"), 256)
     blobs = lines.select(
-        "ref", F.octet_length("text").cast("bigint").alias("length"),
+        ref.alias("ref"), F.octet_length("text").cast("bigint").alias("length"),
         F.col("text").cast("binary").alias("content"),
     ).dropDuplicates(["ref"])
-    here = lines.select("doc_id", ref.alias("after_ref"))
+    # Names alone are written down, not the texts a second time.
+    here = settle(lines.select("doc_id", ref.alias("after_ref")), "document-refs")
     before = here.select((F.col("doc_id") + 1).alias("doc_id"), F.col("after_ref").alias("before_ref"))
     changes = here.join(before, "doc_id", "left").select(
         F.lit("docs").alias("session_id"), F.col("doc_id").cast("string").alias("path"),
@@ -384,8 +384,58 @@ def j16_diff_inputs(spark, sf_dir):
 def q12_line_diff(spark, sf_dir):
     """A diff must use every line of both sides exactly once and rebuild both texts."""
     changes, blobs = document_changes(spark, sf_dir)
-    lines = diff.line_diff(diff.diff_inputs(changes, blobs))
+    return rebuilt_texts(diff.line_diff(diff.diff_inputs(changes, blobs)))
+
+
+def rebuilt_texts(lines):
+    """``path, before_lines, after_lines, notes, before_hash, after_hash`` of every path's lines.
+
+    Lines that lie one after the other are counted and hashed where they are; only the lines of
+    paths that come in several runs are gathered.
+    """
+    runs = settle(lines.select("path", "line_no", "op", F.col("text").cast("binary").alias("text")).mapInArrow(_runs, RUNS), "line-runs")
+    several = settle(runs.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("path").alias("_path")), "line-several")
+    if several.isEmpty():
+        return runs
+    own = F.col("path").eqNullSafe(F.col("_path"))
+    return runs.join(several, own, "left_anti").unionByName(_gathered(lines.join(several, own, "left_semi")))
+
+
+RUNS = "path string, before_lines bigint, after_lines bigint, notes bigint, before_hash string, after_hash string"
+
+
+def _runs(batches):
+    """One row for each run of lines of one path whose numbers count up from the first."""
+    import hashlib
+
+    import pyarrow as pa
+
+    names = [c.split(" ")[0] for c in RUNS.split(", ")]
+    sides = {" ": (0, 1), "-": (0,), "+": (1,)}
+    at, last, counts, told = None, None, None, None
+
+    def ended():
+        return dict(zip(names, (at, *counts, *(t.hexdigest() for t in told))))
+
+    for batch in batches:
+        done = []
+        for path, number, op, text in zip(*(batch.column(c).to_pylist() for c in ("path", "line_no", "op", "text"))):
+            if counts is None or path != at or number != last + 1:
+                if counts is not None:
+                    done.append(ended())
+                at, counts, told = path, [0, 0, 0], (hashlib.sha256(), hashlib.sha256())
+            last = number
+            counts[2] += op == "note"
+            for side in sides.get(op, ()):
+                told[side].update(b"\n" + text if counts[side] else text)
+                counts[side] += 1
+        if done:
+            yield pa.RecordBatch.from_pylist(done)
+    if counts is not None:
+        yield pa.RecordBatch.from_pylist([ended()])
+
 
+def _gathered(lines):
     def rebuilt(*ops):
         side = F.sort_array(F.collect_list(F.when(F.col("op").isin(*ops), F.struct("line_no", "text"))))
         return F.sha2(F.array_join(F.transform(side, lambda x: x["text"]), "\n").cast("binary"), 256)
